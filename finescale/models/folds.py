@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _draw(cell: str, seed: int) -> Column:
-    return F.xxhash64(F.col(cell), F.lit(seed))
+from finescale.operators.tables import dense_index
 
 
 def assign_folds(df: DataFrame, k: int = 10, cell: str = "cell_id", stripe: Column | None = None) -> DataFrame:
     """Add ``fold`` 0..k-1, balanced by rows: cells go serpentine over the folds, largest first.
 
-    Balancing runs on one row per cell. For very many cells, ``stripe`` (say a hash of the cell)
-    splits that list; each stripe is balanced by itself, so no task sees every cell.
+    Balancing runs on one row per cell, striped by the first digit of ``md5(cell)`` (or ``stripe``);
+    each stripe is balanced by itself, so no task sees every cell.
     """
     if k < 2:
         raise ValueError("at least two folds are needed")
     sizes = df.groupBy(cell).agg(F.count("*").alias("_n"))
-    group = F.pmod(F.xxhash64(F.col(cell)), F.lit(16)) if stripe is None else stripe
+    group = F.substring(F.md5(F.col(cell).cast("string")), 1, 1) if stripe is None else stripe
     line = Window.partitionBy(group).orderBy(F.col("_n").desc(), cell)
     place = F.row_number().over(line) - 1
     lap, seat = F.floor(place / k), F.pmod(place, F.lit(k))
@@ -29,7 +27,7 @@ def assign_folds(df: DataFrame, k: int = 10, cell: str = "cell_id", stripe: Colu
 
 def hash_folds(df: DataFrame, k: int = 10, cell: str = "cell_id", seed: int = 42) -> DataFrame:
     """Unbalanced but shuffle-free folds from a hash of the cell."""
-    return df.withColumn("fold", F.pmod(_draw(cell, seed), F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(cell), F.lit(seed)), F.lit(k)).cast("int"))
 
 
 def require_cells(df: DataFrame, k: int, cell: str = "cell_id") -> DataFrame:
@@ -42,16 +40,8 @@ def require_cells(df: DataFrame, k: int, cell: str = "cell_id") -> DataFrame:
     return df
 
 
-def carve_holdout(df: DataFrame, frac: float = 0.2, seed: int = 42, cell: str = "cell_id",
-                  by: str | None = None) -> DataFrame:
-    """Add ``holdout``: a seeded ``frac`` of the cells, at least one (per value of ``by`` if given)."""
-    keys = [cell] if by is None else [by, cell]
-    cells = df.select(*keys).distinct().withColumn("_h", _draw(cell, seed))
-    part = F.lit(0) if by is None else F.col(by)
-    # a hash stripe bounds the ranking; the smallest hash overall is always taken
-    first = cells.groupBy(part.alias("_p")).agg(F.min("_h").alias("_first"))
-    cut = F.lit(int(frac * (1 << 32)))
-    chosen = F.pmod(F.col("_h"), F.lit(1 << 32)) < cut
-    marked = (cells.withColumn("_p", part).join(first, "_p")
-              .select(*keys, (chosen | (F.col("_h") == F.col("_first"))).alias("holdout")))
-    return df.join(marked, keys)
+def carve_holdout(df: DataFrame, frac: float = 0.2, seed: int = 42, cell: str = "cell_id") -> DataFrame:
+    """Add ``holdout``: a seeded choice of ``frac`` of the cells, at least one."""
+    cells = dense_index(df.select(cell).distinct(), cell, seed)
+    n_hold = F.greatest(F.bround(frac * F.col("n")), F.lit(1))
+    return df.join(cells.select(cell, (F.col("idx") < n_hold).alias("holdout")), cell)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from finescale.functions import metrics as M
 from finescale.functions.physics import ColumnLike, _c, coast_band, elevation_band
 from finescale.operators.quantiles import exact_quantiles, quantiles_wide
+from finescale.operators.tables import dense_index
 
 FOCUS_Z, FOCUS_HOURS = 500.0, (3, 9)      # fixed values: high-valley night regime
 TOLERANCE = 0.03                          # fixed value: calibration tolerance
@@ -214,18 +215,6 @@ def station_spread(stations: DataFrame, column: str = "rmse_down") -> DataFrame:
         "iqr", F.col("p75") - F.col("p25"))
 
 
-def dense_index(df: DataFrame, key: str) -> DataFrame:
-    """Add ``idx`` 0..n-1 in the order of ``md5(key)``, and ``n``; two levels, no global sort task."""
-    data = df.withColumn("_m", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_m", 1, 2))
-    sizes = data.groupBy("_b").agg(F.count("*").alias("_size"))
-    all_buckets = Window.partitionBy(F.lit(0))                 # 256 buckets at most
-    before = sizes.select("_b", (F.sum("_size").over(all_buckets.orderBy("_b")) - F.col("_size")).alias("_base"),
-                          F.sum("_size").over(all_buckets).alias("n"))
-    inside = Window.partitionBy("_b").orderBy("_m", key)
-    return (data.withColumn("_r", F.row_number().over(inside)).join(before, "_b")
-            .withColumn("idx", F.col("_base") + F.col("_r") - 1).drop("_m", "_b", "_r", "_base"))
-
-
 def bootstrap_ci(stations: DataFrame, column: str, n: int = 2000, seed: int = 42,
                  low: float = 0.025, high: float = 0.975, station: str = "station") -> DataFrame:
     """One row: mean and percentile interval from ``n`` resamples of the stations.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finescale.functions.time import in_window
@@ -75,6 +75,22 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[F.count_distinct(c).alias(f"n_{c}") for c in columns])
 
 
+def dense_index(df: DataFrame, key: str, seed: int | None = None) -> DataFrame:
+    """Add ``idx`` 0..n-1 in the (seeded) order of ``md5(key)``, and ``n``.
+
+    Two levels, hash bucket then order inside it: no task sees all keys, which must be distinct.
+    """
+    text = F.col(key).cast("string") if seed is None else F.concat_ws("_", F.lit(seed), F.col(key))
+    data = df.withColumn("_m", F.md5(text)).withColumn("_b", F.substring("_m", 1, 2))
+    sizes = data.groupBy("_b").agg(F.count("*").alias("_size"))
+    all_buckets = Window.partitionBy(F.lit(0))                 # 256 buckets at most
+    before = sizes.select("_b", (F.sum("_size").over(all_buckets.orderBy("_b")) - F.col("_size")).alias("_base"),
+                          F.sum("_size").over(all_buckets).alias("n"))
+    inside = Window.partitionBy("_b").orderBy("_m", key)
+    return (data.withColumn("_r", F.row_number().over(inside)).join(before, "_b")
+            .withColumn("idx", F.col("_base") + F.col("_r") - 1).drop("_m", "_b", "_r", "_base"))
+
+
 # --- observations -----------------------------------------------------------------------------------
 
 def attach_meta(obs: DataFrame, meta: DataFrame, station: str = "station") -> DataFrame:
