@@ -1 +1,185 @@
+"""Coarse-to-fine fields, features and the training matrix."""
 
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from checks.base import (CELL_SQL, COARSE_SQL, OBS_CELL_SQL, STATION_SQL, cells, check, coarse, hourly_obs, net, obs_cell, r6,
+                         rounded, station_cells, table)
+from finescale.functions.time import in_window
+from finescale.operators.grid import expand_hours
+from finescale.operators.interpolation import bilinear
+from finescale.operators.tables import replace_window
+from finescale.plans import features as FT
+from finescale.plans.matrix import build_matrix
+from finescale.sources.writers import field_columns
+
+# stencil and fallback spelled out with plain joins
+BILINEAR_SQL = COARSE_SQL + "," + CELL_SQL + """,
+  ax AS (SELECT max(lat_i) AS i1, max(lon_i) AS j1 FROM coarse),
+  st AS (SELECT iy, ix, lat, lon, least(floor(lat), i1 - 1) AS bi, least(floor(lon), j1 - 1) AS bj FROM cells, ax
+         WHERE lat BETWEEN 0 AND i1 AND lon BETWEEN 0 AND j1),
+  corner AS (SELECT iy, ix, lat, lon, bi + di AS lat_i, bj + dj AS lon_i,
+                    (CASE WHEN di = 1 THEN lat - bi ELSE 1 - (lat - bi) END) * (CASE WHEN dj = 1 THEN lon - bj ELSE 1 - (lon - bj) END) AS w
+             FROM st CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS c(di, dj)),
+  land AS (SELECT lat_i, lon_i, any_value(lat) AS lat, any_value(lon) AS lon FROM coarse WHERE t2m IS NOT NULL GROUP BY 1, 2),
+  dry AS (SELECT c.iy, c.ix, any_value(c.lat) AS lat, any_value(c.lon) AS lon FROM corner c
+          LEFT JOIN land l ON l.lat_i = c.lat_i AND l.lon_i = c.lon_i AND c.w > 0 GROUP BY 1, 2 HAVING count(l.lat_i) = 0),
+  near AS (SELECT d.iy, d.ix, l.lat_i, l.lon_i FROM dry d CROSS JOIN land l
+           QUALIFY row_number() OVER (PARTITION BY d.iy, d.ix ORDER BY sqrt(pow((l.lon - d.lon) * greatest(cos(radians(d.lat)), 0.25), 2)
+                   + pow(l.lat - d.lat, 2)), l.lat_i, l.lon_i) = 1),
+  fine AS (
+    SELECT c.iy, c.ix, k.ts, sum(c.w * k.t2m) / NULLIF(sum(CASE WHEN k.t2m IS NOT NULL THEN c.w END), 0) AS t2m,
+           sum(c.w * k.d2m) / NULLIF(sum(CASE WHEN k.d2m IS NOT NULL THEN c.w END), 0) AS d2m
+    FROM corner c JOIN coarse k ON k.lat_i = c.lat_i AND k.lon_i = c.lon_i
+    WHERE (c.iy, c.ix) NOT IN (SELECT (iy, ix) FROM dry) GROUP BY 1, 2, 3
+    UNION ALL SELECT n.iy, n.ix, k.ts, k.t2m, k.d2m FROM near n JOIN coarse k ON k.lat_i = n.lat_i AND k.lon_i = n.lon_i)"""
+
+
+def _fine(spark, d, ocean="nearest"):
+    return bilinear(coarse(spark, d), cells(spark, d), ["t2m", "d2m"], ocean=ocean)
+
+
+@check("bilinear_fill", f"""WITH {BILINEAR_SQL}
+  SELECT iy, ix, ts, {r6('t2m', 5)} AS t2m, {r6('d2m', 5)} AS d2m FROM fine""")
+def bilinear_fill(spark, d):
+    return rounded(_fine(spark, d), 5)
+
+
+@check("bilinear_ocean_missing", f"""WITH {BILINEAR_SQL}
+  SELECT f.iy, f.ix, f.ts, {r6('t2m', 5)} AS t2m FROM fine f WHERE t2m IS NOT NULL AND (f.iy, f.ix) NOT IN (SELECT (iy, ix) FROM dry)""")
+def bilinear_ocean_missing(spark, d):
+    return rounded(_fine(spark, d, "nan").select("iy", "ix", "ts", "t2m").filter("t2m IS NOT NULL"), 5)
+
+
+WANT = ["t2m_1km", "lapse", "dep_orvalho", "umidade_relativa", "z_era5_orog", "delta_z"]
+
+
+def _rh(t, td):
+    es = lambda x: f"exp(17.67 * ({x} - 273.15) / ({x} - 273.15 + 243.5))"
+    return f"100 * {es(td)} / {es(t)}"
+
+
+def _dynamic(spark, d):
+    c = cells(spark, d).withColumnRenamed("z_m", "z_alvo")
+    return FT.dynamic_features(coarse(spark, d), c, WANT)
+
+
+@check("dynamic_features", f"""WITH {BILINEAR_SQL}
+  SELECT f.iy, f.ix, f.ts, c.z_era5_orog, c.z_m - c.z_era5_orog AS delta_z, {r6('t2m', 5)} AS t2m_1km,
+         {r6('t2m - 0.0065 * (c.z_m - c.z_era5_orog)', 5)} AS lapse, {r6('t2m - d2m', 5)} AS dep_orvalho,
+         {r6(_rh('t2m', 'd2m'), 5)} AS umidade_relativa
+  FROM fine f JOIN cells c ON c.iy = f.iy AND c.ix = f.ix""")
+def dynamic_features(spark, d):
+    return rounded(_dynamic(spark, d), 5)
+
+
+STATICS_SQL = CELL_SQL + """,
+  frac AS (SELECT CAST(floor(l_partkey / 40) AS INTEGER) AS iy, CAST(l_partkey % 40 AS INTEGER) AS ix,
+                  avg(l_discount) AS fracao_t1, avg(l_tax) AS fracao_t2, 1.0 AS fracao_observada FROM lineitem GROUP BY 1, 2),
+  statics AS (SELECT c.iy, c.ix, c.z_m AS z_alvo, c.x_km AS coord_x, c.y_km AS coord_y, c.acctbal AS tri_mean_1km,
+                     f.fracao_t1, f.fracao_t2 FROM cells c LEFT JOIN frac f ON f.iy = c.iy AND f.ix = c.ix)"""
+
+
+def _statics(spark, d):
+    c = cells(spark, d)
+    frac = (table(spark, d, "lineitem")
+            .groupBy(F.floor(F.col("l_partkey") / 40).cast("int").alias("iy"), (F.col("l_partkey") % 40).cast("int").alias("ix"))
+            .agg(F.avg("l_discount").alias("fracao_t1"), F.avg("l_tax").alias("fracao_t2"), F.lit(1.0).alias("fracao_observada")))
+    grid = c.select("iy", "ix", F.col("z_m").alias("z_alvo"), F.col("x_km").alias("x"), F.col("y_km").alias("y"))
+    return FT.static_features([c.select("iy", "ix", F.col("acctbal").alias("tri_mean_1km")), frac], grid)
+
+
+@check("static_features", f"""WITH {STATICS_SQL}
+  SELECT iy, ix, z_alvo, coord_x, coord_y, tri_mean_1km, {r6('fracao_t1')} AS fracao_t1, {r6('fracao_t2')} AS fracao_t2 FROM statics""")
+def static_features(spark, d):
+    return rounded(_statics(spark, d), only=["fracao_t1", "fracao_t2"])
+
+
+# hourly stack over station cells: the same hour's mean over the whole network, cooled by height
+MATRIX_SQL = OBS_CELL_SQL + "," + STATICS_SQL + """,
+  by_hour AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, avg(value) + 273.15 AS t FROM events GROUP BY 1),
+  sc AS (SELECT DISTINCT iy, ix FROM obs_cell),
+  stack AS (SELECT sc.iy, sc.ix, h.ts, h.t - 0.5 * sc.iy AS t2m_1km FROM sc CROSS JOIN by_hour h),
+  feat AS (SELECT a.*, a.t2m_1km - l1.t2m_1km AS dt2m_1h, a.t2m_1km - 2 * l1.t2m_1km + l2.t2m_1km AS d2t2m_1h
+           FROM stack a LEFT JOIN stack l1 ON l1.iy = a.iy AND l1.ix = a.ix AND l1.ts = a.ts - INTERVAL 1 HOUR
+           LEFT JOIN stack l2 ON l2.iy = a.iy AND l2.ix = a.ix AND l2.ts = a.ts - INTERVAL 2 HOUR),
+  mat AS (
+    SELECT o.iy, o.ix, CAST(o.ts AS TIMESTAMP) AS ts, o.iy || '_' || o.ix AS cell_id, o.n_est_cel, o.temperatura_c_qc,
+           f.t2m_1km - 273.15 AS T_ERA5_bilinear, o.temperatura_c_qc - (f.t2m_1km - 273.15) AS y_residuo, f.dt2m_1h, f.d2t2m_1h,
+           sin(2 * pi() * hour(o.ts) / 24) AS hora_sin, s.z_alvo, s.fracao_t1
+    FROM obs_cell o JOIN feat f ON f.iy = o.iy AND f.ix = o.ix AND f.ts = o.ts
+    LEFT JOIN statics s ON s.iy = o.iy AND s.ix = o.ix
+    WHERE abs(o.temperatura_c_qc - (f.t2m_1km - 273.15)) <= 60)"""
+
+
+def _stack(spark, d):
+    hours = (table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
+             .agg((F.avg("value") + 273.15).alias("t")))
+    sc = station_cells(spark, d).select("iy", "ix").distinct()
+    return (expand_hours(sc, hours).join(hours, "ts")
+            .select("iy", "ix", "ts", (F.col("t") - 0.5 * F.col("iy")).alias("t2m_1km")))
+
+
+def matrix(spark, d):
+    """Training matrix of the driver's tables: 8 dynamic/time and memory columns plus the statics."""
+    return build_matrix(hourly_obs(spark, d), station_cells(spark, d), _stack(spark, d), _statics(spark, d), outlier=60.0,
+                        expected_features=None)
+
+
+@check("feature_matrix", f"""WITH {MATRIX_SQL}
+  SELECT iy, ix, ts, cell_id, n_est_cel, {r6('temperatura_c_qc')} AS temperatura_c_qc, {r6('T_ERA5_bilinear')} AS "T_ERA5_bilinear",
+         {r6('y_residuo')} AS y_residuo, {r6('dt2m_1h')} AS dt2m_1h, {r6('d2t2m_1h')} AS d2t2m_1h, {r6('hora_sin')} AS hora_sin,
+         z_alvo, {r6('fracao_t1')} AS fracao_t1 FROM mat""")
+def feature_matrix(spark, d):
+    return rounded(matrix(spark, d).select(
+        "iy", "ix", "ts", "cell_id", "n_est_cel", "temperatura_c_qc", "T_ERA5_bilinear", "y_residuo", "dt2m_1h", "d2t2m_1h",
+        "hora_sin", "z_alvo", "fracao_t1"))
+
+
+@check("matrix_in_order", f"""WITH {MATRIX_SQL}
+  SELECT cell_id, ts, {r6('y_residuo')} AS y_residuo FROM mat ORDER BY cell_id, ts""")
+def matrix_in_order(spark, d):
+    from finescale.operators.tables import order_matrix
+    return rounded(order_matrix(matrix(spark, d).select("cell_id", "ts", "y_residuo")))
+
+
+@check("scoring_rows", f"""WITH {MATRIX_SQL}
+  SELECT c.iy, c.ix, h.ts, c.iy || '_' || c.ix AS cell_id, {r6('f.t2m_1km')} AS t2m_1km, {r6('f.dt2m_1h')} AS dt2m_1h,
+         CASE WHEN f.iy IS NOT NULL THEN c.z_m END AS z_alvo
+  FROM cells c CROSS JOIN (SELECT DISTINCT ts FROM by_hour WHERE hour(ts) = 6) h
+  LEFT JOIN feat f ON f.iy = c.iy AND f.ix = c.ix AND f.ts = h.ts""")
+def scoring_rows(spark, d):
+    stack = _stack(spark, d)
+    hours = stack.select("ts").filter(F.hour("ts") == 6).distinct()
+    rows = FT.scoring_rows(cells(spark, d), hours, stack, _statics(spark, d))
+    return rounded(rows.select("iy", "ix", "ts", "cell_id", "t2m_1km", "dt2m_1h", "z_alvo"))
+
+
+@check("increments_out_of_training", f"""WITH {MATRIX_SQL}, {STATION_SQL},
+  keep AS (SELECT CAST(floor(station / 30) AS INTEGER) AS iy, CAST(floor(station / 30) AS INTEGER) % 7 AS ix,
+                  CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, avg(value) AS t FROM obs
+           WHERE event_type <> 'error' AND station NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1, 2, 3)
+  SELECT k.iy, k.ix, k.ts, {r6('k.t - (s.t2m_1km - 273.15)')} AS y_residuo, {r6('s.t2m_1km / 100 - (k.t - (s.t2m_1km - 273.15))')} AS inc
+  FROM keep k JOIN stack s ON s.iy = k.iy AND s.ix = k.ix AND s.ts = k.ts
+  WHERE k.ts >= TIMESTAMP '2024-01-20' AND k.ts < TIMESTAMP '2024-01-25'""")
+def increments_out_of_training(spark, d):
+    from finescale.plans.field import increments_out_of_training as run
+    codes = table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("station"))
+    # the stand-in model: a hundredth of the baseline
+    scored = _stack(spark, d).withColumn("pred_residuo", F.col("t2m_1km") / 100)
+    out = run(scored, hourly_obs(spark, d), station_cells(spark, d), datetime(2024, 1, 20), datetime(2024, 1, 25), codes)
+    return rounded(out.select("iy", "ix", "ts", "y_residuo", "inc"))
+
+
+@check("field_layout", f"""WITH {MATRIX_SQL}
+  SELECT s.iy, s.ix, s.ts, c.lon, c.lat, {r6('s.t2m_1km - 273.15 + 1.5')} AS "T_final", {r6('s.t2m_1km - 273.15 + 1.5')} AS "T_final_bc",
+         CAST(0.0 AS DOUBLE) AS "T_final_oi", {r6('s.t2m_1km - 273.15')} AS "T_ERA5", CAST(1.5 AS DOUBLE) AS pred_residuo
+  FROM stack s LEFT JOIN cells c ON c.iy = s.iy AND c.ix = s.ix""")
+def field_layout(spark, d):
+    from finescale.operators.anchoring import output_triple
+    f = _stack(spark, d).withColumns({"pred_residuo": F.lit(1.5), "T_final": F.col("t2m_1km") - 273.15 + 1.5})
+    out = field_columns(output_triple(f), cells(spark, d), extras=True)
+    return rounded(out, only=["T_final", "T_final_bc", "T_ERA5"])

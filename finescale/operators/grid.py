@@ -89,7 +89,7 @@ def region_mask(grid: DataFrame, edges: DataFrame, axes: Axes) -> DataFrame:
     y = F.lit(axes.y0) + F.col("iy") * F.lit(axes.dy)
     crossings = (edges.filter("y1 <> y2").withColumns({"_lo": lo, "_hi": hi, "_a": first, "_z": last})
                  .filter("_a <= _z")
-                 .withColumn("iy", F.explode(F.sequence(F.col("_a"), F.col("_z"))).cast("int"))
+                 .withColumn("iy", F.explode(F.sequence(F.col("_a").cast("int"), F.col("_z").cast("int"))))
                  .withColumn("_y", y)
                  .filter((F.col("_lo") <= F.col("_y")) & (F.col("_y") < F.col("_hi")))
                  .select("iy", (F.col("x1") + (F.col("_y") - F.col("y1")) * (F.col("x2") - F.col("x1"))
@@ -101,7 +101,7 @@ def region_mask(grid: DataFrame, edges: DataFrame, axes: Axes) -> DataFrame:
     start = F.greatest(F.ceil((F.col("_x") - axes.x0) / axes.dx), F.lit(0))
     stop = F.least(F.ceil((F.col("_to") - axes.x0) / axes.dx) - 1, F.lit(axes.nx - 1))
     inside = (spans.withColumns({"_s": start, "_e": stop}).filter("_s <= _e")
-              .select("iy", F.explode(F.sequence("_s", "_e")).cast("int").alias("ix")).distinct()
+              .select("iy", F.explode(F.sequence(F.col("_s").cast("int"), F.col("_e").cast("int"))).alias("ix")).distinct()
               .withColumn("in_region", F.lit(True)))
     return (grid.join(inside, ["iy", "ix"], "left")
             .withColumn("in_region", F.coalesce("in_region", F.lit(False))))

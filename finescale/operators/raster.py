@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -156,7 +157,7 @@ def ring_dev(pixels: DataFrame, r_in: float, r_out: float, res: float = 1000.0 /
              .withColumn("_tx", spread("px")).withColumn("_ty", spread("py")))
     side = tile + 2 * reach
 
-    def dev(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def dev(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         x0, y0 = int(key[0]) * tile - reach, int(key[1]) * tile - reach
         z = np.zeros((3, side, side + 1))
         rows, cols = pdf["py"].to_numpy() - y0, pdf["px"].to_numpy() - x0
