@@ -139,7 +139,7 @@ def _w(rule):
 
 
 def _loo_sql(rules):
-    hats = ", ".join(f"sum({_w(r)} * j.inc) / NULLIF(sum({_w(r)}), 0) AS h{i}" for i, r in enumerate(rules)).replace(".0.0", ".0")
+    hats = ", ".join(f"sum({_w(r)} * j.inc) / NULLIF(sum({_w(r)}) FILTER (j.inc IS NOT NULL), 0) AS h{i}" for i, r in enumerate(rules)).replace(".0.0", ".0")
     return INC_SQL + f""",
   sp AS (SELECT a.station, b.station AS other, sqrt((a.x_km - b.x_km) * (a.x_km - b.x_km) + (a.y_km - b.y_km) * (a.y_km - b.y_km)) AS d,
                 abs(a.z_m - b.z_m) AS dz FROM net a JOIN net b ON a.station <> b.station),

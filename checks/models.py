@@ -1 +1,90 @@
+"""Folds, out-of-fold scoring, bands and scored fields. Fits are rows-only: SQL cannot grow trees."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.base import OBS_CELL_SQL, cells, check, coarse, net, obs_cell, r6, rounded, table
+from checks.fields import _stack, matrix
+from finescale.models import band as B
+from finescale.models import folds as FO
+from finescale.models import residual as RM
+from finescale.plans.field import anchored_field, score_field
+from finescale.plans.features import dynamic_features
+
+PARAMS = RM.BoostParams(rounds=5, rate=0.3, depth=4, min_rows=20, features="all", rows=0.8, bins=64)
+FEATURES = ["t2m_1km", "dt2m_1h", "d2t2m_1h", "hora_sin", "hora_cos", "z_alvo", "tri_mean_1km"]
+
+
+@check("fold_assignment", """
+  WITH c AS (SELECT o_custkey AS cell_id, count(*) AS n FROM orders GROUP BY 1),
+  p AS (SELECT *, row_number() OVER (PARTITION BY substr(md5(CAST(cell_id AS VARCHAR)), 1, 1) ORDER BY n DESC, cell_id) - 1 AS p FROM c)
+  SELECT cell_id, n, CAST(CASE WHEN floor(p / 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS INTEGER) AS fold FROM p""")
+def fold_assignment(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("cell_id"))
+    return FO.assign_folds(o, 5).groupBy("cell_id", "fold").agg(F.count("*").alias("n"))
+
+
+@check("early_stop_cells", """
+  WITH c AS (SELECT DISTINCT o_custkey AS cell_id FROM orders),
+  p AS (SELECT *, row_number() OVER (ORDER BY md5('42_' || cell_id), cell_id) - 1 AS p, count(*) OVER () AS n FROM c)
+  SELECT o_orderkey, o_custkey AS cell_id, p < greatest(round_even(0.2 * n, 0), 1) AS holdout FROM orders JOIN p ON p.cell_id = o_custkey""")
+def early_stop_cells(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("cell_id"))
+    return FO.carve_holdout(o, 0.2, 42)
+
+
+@check("missing_policy", f"""WITH {OBS_CELL_SQL}
+  SELECT iy, ix, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN n_est_cel > 1 THEN CAST(n_est_cel AS DOUBLE) END AS n, COALESCE(CASE WHEN n_est_cel > 1
+         THEN CAST(n_est_cel AS DOUBLE) END, -9999.0) AS x_n, CASE WHEN n_est_cel > 1 THEN 0.0 ELSE 1.0 END AS m_n FROM obs_cell""")
+def missing_policy(spark, d):
+    o = obs_cell(spark, d).select("iy", "ix", "ts", F.when(F.col("n_est_cel") > 1, F.col("n_est_cel").cast("double")).alias("n"))
+    return RM.missing_policy(o, ["n"])[0]
+
+
+@check("gbt_out_of_fold")
+def gbt_out_of_fold(spark, d):
+    oof, _ = RM.oof_predict(matrix(spark, d), FEATURES, 3, PARAMS)
+    return oof.select("cell_id", "ts", "y_residuo", "pred_residuo", "fold")
+
+
+@check("gbt_fold_diagnostics")
+def gbt_fold_diagnostics(spark, d):
+    m = matrix(spark, d)
+    oof, models = RM.oof_predict(m, FEATURES, 3, PARAMS)
+    return RM.fold_diagnostics(oof).join(RM.fit_diagnostics(m, FEATURES, models, 3), "fold")
+
+
+@check("gbt_importance")
+def gbt_importance(spark, d):
+    from finescale.operators.skill import top_features
+    model = RM.fit_residual(matrix(spark, d), FEATURES, PARAMS, early_stop=False)
+    return top_features(RM.importance([model], FEATURES, spark), 12)
+
+
+@check("grid_score_anchored")
+def grid_score_anchored(spark, d):
+    m = matrix(spark, d)
+    model = RM.fit_residual(m, FEATURES, PARAMS, early_stop=False)
+    stack = _stack(spark, d)
+    from checks.fields import _statics
+    field = score_field(stack, _statics(spark, d), FEATURES, model, cells(spark, d).filter("z_m IS NOT NULL"))
+    inc = m.select(F.concat_ws("_", "iy", "ix").alias("station"), "ts", (F.col("y_residuo") / -2).alias("inc"))
+    stations = cells(spark, d).join(m.select("iy", "ix").distinct(), ["iy", "ix"]).select(
+        F.concat_ws("_", "iy", "ix").alias("station"), "x_km", "y_km", "z_m")
+    return anchored_field(field, cells(spark, d), inc, stations, k=5)
+
+
+@check("forest_band")
+def forest_band(spark, d):
+    m = matrix(spark, d)
+    band = B.fit_band(m, FEATURES, trees=8, depth=5, min_rows=20)
+    return B.predict_band(m, band).select("cell_id", "ts", "y_residuo", *B.NAMES)
+
+
+@check("branch_fields")
+def branch_fields(spark, d):
+    m = matrix(spark, d)
+    band = B.fit_band(m, FEATURES, trees=8, depth=5, min_rows=20)
+    centre = RM.fit_residual(m, FEATURES, PARAMS, early_stop=False)
+    return B.score_branches(m, band, centre, FEATURES)

@@ -24,7 +24,7 @@ def exact_quantiles(df: DataFrame, value: ColumnLike, qs: Sequence[float],
     """
     by = list(by)
     key = by or ["_all"]
-    data = df.select(*by, _c(value).alias("_v")).filter(F.col("_v").isNotNull())
+    data = df.select(*by, _c(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if not by:
         data = data.withColumn("_all", F.lit(0))
     slack = 4.0 / accuracy
@@ -39,6 +39,9 @@ def exact_quantiles(df: DataFrame, value: ColumnLike, qs: Sequence[float],
                  F.when(F.lit(lows[i] == 0.0), F.col("_min")).otherwise(F.col("_b")[i]).alias("lo"),
                  F.when(F.lit(highs[i] == 1.0), F.col("_max")).otherwise(F.col("_b")[k + i]).alias("hi"))
         for i, q in enumerate(qs)])).alias("_q")).select(*key, "n", "_q.*")
+    # the input is read twice: leave room for the last bits of sums added up in another order
+    pad = F.greatest(F.abs("lo"), F.abs("hi")) * F.lit(1e-9)
+    brackets = brackets.withColumns({"lo": F.col("lo") - pad, "hi": F.col("hi") + pad})
     packed = brackets.groupBy(*key).agg(F.collect_list(F.struct("q", "lo", "hi")).alias("_qs"))
     # each row lands in at most one (q, value) pair inside, or counts as "below" of that q
     placed = (data.join(packed if by else F.broadcast(packed), key)   # without groups: one row
