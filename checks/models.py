@@ -18,7 +18,8 @@ FEATURES = ["t2m_1km", "dt2m_1h", "d2t2m_1h", "hora_sin", "hora_cos", "z_alvo",
 
 @check("fold_assignment", """
   WITH c AS (SELECT o_custkey AS cell_id, count(*) AS n FROM orders GROUP BY 1),
-  p AS (SELECT *, row_number() OVER (PARTITION BY substr(md5(CAST(cell_id AS VARCHAR)), 1, 1) ORDER BY n DESC, cell_id) - 1 AS p FROM c)
+  b AS (SELECT *, length(bin(n)) AS bits, n >> greatest(length(bin(n)) - 4, 0) AS top, substr(md5(CAST(cell_id AS VARCHAR)), 1, 1) AS h FROM c),
+  p AS (SELECT *, row_number() OVER (ORDER BY bits DESC, top DESC, h, n DESC, cell_id) - 1 AS p FROM b)
   SELECT cell_id, n, CAST(CASE WHEN floor(p / 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS INTEGER) AS fold FROM p""")
 def fold_assignment(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("cell_id"))
@@ -36,7 +37,7 @@ def early_stop_cells(spark, d):
 
 @check("missing_policy", f"""WITH {OBS_CELL_SQL}
   SELECT iy, ix, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN n_est_cel > 1 THEN CAST(n_est_cel AS DOUBLE) END AS n, COALESCE(CASE WHEN n_est_cel > 1
-         THEN CAST(n_est_cel AS DOUBLE) END, -9999.0) AS x_n, CASE WHEN n_est_cel > 1 THEN 0.0 ELSE 1.0 END AS m_n FROM obs_cell""")
+         THEN CAST(n_est_cel AS DOUBLE) END, -9999.0) AS x_n, CASE WHEN n_est_cel > 1 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS m_n FROM obs_cell""")
 def missing_policy(spark, d):
     o = obs_cell(spark, d).select("iy", "ix", "ts", F.when(F.col("n_est_cel") > 1, F.col("n_est_cel").cast("double")).alias("n"))
     return RM.missing_policy(o, ["n"])[0]

@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finescale.operators.tables import dense_index
 
 
-def assign_folds(df: DataFrame, k: int = 10, cell: str = "cell_id", stripe: Column | None = None) -> DataFrame:
+def assign_folds(df: DataFrame, k: int = 10, cell: str = "cell_id") -> DataFrame:
     """Add ``fold`` 0..k-1, balanced by rows: cells go serpentine over the folds, largest first.
 
-    Balancing runs on one row per cell, striped by the first digit of ``md5(cell)`` (or ``stripe``);
-    each stripe is balanced by itself, so no task sees every cell.
+    Cells line up by the leading four bits of their row count (so neighbours in the line differ by
+    at most an eighth), then by hash. Positions come from bucket sizes plus the place inside the
+    bucket, so no task sorts all cells, and no fold is empty while there are ``k`` cells.
     """
     if k < 2:
         raise ValueError("at least two folds are needed")
-    sizes = df.groupBy(cell).agg(F.count("*").alias("_n"))
-    group = F.substring(F.md5(F.col(cell).cast("string")), 1, 1) if stripe is None else stripe
-    line = Window.partitionBy(group).orderBy(F.col("_n").desc(), cell)
-    place = F.row_number().over(line) - 1
-    lap, seat = F.floor(place / k), F.pmod(place, F.lit(k))
+    bits = F.length(F.bin("_n"))
+    sizes = df.groupBy(cell).agg(F.count("*").alias("_n")).withColumns({
+        "_bits": bits, "_top": F.expr("shiftright(_n, greatest(length(bin(_n)) - 4, 0))"),
+        "_hash": F.substring(F.md5(F.col(cell).cast("string")), 1, 1)})
+    bucket = ["_bits", "_top", "_hash"]
+    line = Window.partitionBy(F.lit(0)).orderBy(F.col("_bits").desc(), F.col("_top").desc(), "_hash")
+    base = sizes.groupBy(*bucket).agg(F.count("*").alias("_size")).select(       # 8192 buckets at most
+        *bucket, (F.sum("_size").over(line) - F.col("_size")).alias("_base"))
+    inside = Window.partitionBy(*bucket).orderBy(F.col("_n").desc(), cell)
+    place = F.col("_base") + F.row_number().over(inside) - 1
+    lap, seat = F.floor(F.col("_place") / k), F.pmod("_place", F.lit(k))
     fold = F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int")
-    return df.join(sizes.select(cell, fold.alias("fold")), cell)
+    placed = sizes.join(base, bucket).withColumn("_place", place)
+    return df.join(placed.select(cell, fold.alias("fold")), cell)
 
 
 def hash_folds(df: DataFrame, k: int = 10, cell: str = "cell_id", seed: int = 42) -> DataFrame:

@@ -34,10 +34,11 @@ def exact_quantiles(df: DataFrame, value: ColumnLike, qs: Sequence[float],
               .agg(F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
                    F.percentile_approx("_v", lows + highs, accuracy).alias("_b")))
     k = len(qs)
+    small = F.col("n") <= accuracy            # a bracket of few rows saves nothing: take the group
     brackets = sketch.select(*key, "n", F.explode(F.array(*[
         F.struct(F.lit(float(q)).alias("q"),
-                 F.when(F.lit(lows[i] == 0.0), F.col("_min")).otherwise(F.col("_b")[i]).alias("lo"),
-                 F.when(F.lit(highs[i] == 1.0), F.col("_max")).otherwise(F.col("_b")[k + i]).alias("hi"))
+                 F.when(small | F.lit(lows[i] == 0.0), F.col("_min")).otherwise(F.col("_b")[i]).alias("lo"),
+                 F.when(small | F.lit(highs[i] == 1.0), F.col("_max")).otherwise(F.col("_b")[k + i]).alias("hi"))
         for i, q in enumerate(qs)])).alias("_q")).select(*key, "n", "_q.*")
     # the input is read twice: leave room for the last bits of sums added up in another order
     pad = F.greatest(F.abs("lo"), F.abs("hi")) * F.lit(1e-9)
