@@ -28,7 +28,7 @@ def write_observations(df: DataFrame, path: str, ts: str = "data_hora_utc") -> N
     """Observation table by month; rows of one month are grouped before writing."""
     out = _with_month(df, ts)
     out.repartition("year", "month", F.pmod(F.xxhash64("station", F.to_date(ts)), F.lit(16))) \
-       .write.mode("overwrite").partitionBy("year", "month").parquet(path)
+       .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("year", "month").parquet(path)
 
 
 def write_station_lists(df: DataFrame, folder: str) -> None:
@@ -45,19 +45,20 @@ def overwrite_window(new: DataFrame, path: str, start: datetime, end: datetime,
     spark = new.sparkSession
     first, last = start.year * 12 + start.month, end.year * 12 + end.month
     touched = spark.read.parquet(path).filter((F.col("year") * 12 + F.col("month")).between(first, last))
+    before = {tuple(r) for r in touched.select("year", "month").distinct().collect()}   # months of the window
     out = _with_month(replace_window(touched.drop("year", "month"), new, start, end, ts), ts)
     staged = f"{path.rstrip('/')}__staged"
-    out.write.mode("overwrite").partitionBy("year", "month").parquet(staged)
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy("year", "month").parquet(staged))
     kept = spark.read.schema(out.schema).parquet(staged)
     # dynamic mode leaves all other months in place
     (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year", "month").parquet(path))
     # a month left without any row is not rewritten by dynamic mode: drop its folder
-    emptied = touched.select("year", "month").distinct().join(
-        kept.select("year", "month").distinct(), ["year", "month"], "left_anti")
+    after = {tuple(r) for r in kept.select("year", "month").distinct().collect()}
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for row in emptied.collect():                       # calendar months of the window
-        folder = hadoop(f"{path}/year={row['year']}/month={row['month']}")
+    for year, month in before - after:
+        folder = hadoop(f"{path}/year={year}/month={month}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     spark.catalog.refreshByPath(path)
 
