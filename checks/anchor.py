@@ -61,7 +61,12 @@ def anchor_radius(spark, d):
 
 @check("gauss_anchor", _anchored_sql("exp(-pow(d / 6, 2)) * exp(-pow(dz / 800, 2))", "w > 0"))
 def gauss_anchor(spark, d):
-    return _anchor(spark, d, method="gauss", length_km=6, lz_m=800)
+    return rounded(A.anchor_gauss(_field(spark, d), cells(spark, d), net(spark, d), _inc(spark, d), length_km=6, lz_m=800))
+
+
+@check("gauss_anchor_all_pairs", _anchored_sql("exp(-pow(d / 4, 2))", "w > 0"))
+def gauss_anchor_all_pairs(spark, d):
+    return _anchor(spark, d, method="gauss", length_km=4)
 
 
 @check("anchor_hourly_lz", f"""WITH {INC_SQL},

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from finescale.functions.physics import to_celsius
 from finescale.models.residual import branch_names, missing_policy, predict
 from finescale.operators.anchoring import output_triple
+from finescale.operators.one_row import attach_row
 
 ALPHAS = (0.16, 0.5, 0.84)
 NAMES = ("pred_p_lo", "pred_p_med", "pred_p_hi")
@@ -50,22 +51,21 @@ def fit_band(df: DataFrame, features: Sequence[str], alphas: Sequence[float] = A
                                         F.max("leaf").alias("last"))
     dense = per_tree.select("tree", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.col("m")[i]).alias("q"))
     packed = dense.agg(F.sort_array(F.collect_list(F.struct("tree", "q"))).alias("_t")).select(
-        F.transform("_t", lambda t: t["q"]).alias("_trees"), F.lit(1).alias("_one"))
+        F.transform("_t", lambda t: t["q"]).alias("_trees"))
     return BandModel(forest, packed.persist(), list(features))
 
 
 def predict_band(df: DataFrame, model: BandModel, names: Sequence[str] = NAMES) -> DataFrame:
     """Add the quantiles: leaf quantiles averaged over trees, looked up in place (no shuffle)."""
     data, inputs = missing_policy(df, model.features)
-    rows = (model.forest.transform(data).withColumn("_one", F.lit(1))
-            .join(F.broadcast(model.leaves), "_one")                  # one row, size checked at fit
+    rows = (attach_row(model.forest.transform(data), model.leaves)     # one row, size checked at fit
             .withColumn("_leaves", vector_to_array("_leaf")))
     picked = F.zip_with("_trees", "_leaves", lambda tree, leaf: tree[leaf.cast("int")])
     out = rows.withColumn("_q", picked)
     for i, name in enumerate(names):
         total = F.aggregate("_q", F.lit(0.0), lambda acc, q: acc + q[i])
         out = out.withColumn(name, total / F.size("_q"))
-    return out.drop("features", "_mean", "_leaf", "_leaves", "_trees", "_q", "_one", *inputs)
+    return out.drop("features", "_mean", "_leaf", "_leaves", "_trees", "_q", *inputs)
 
 
 def score_branches(features_df: DataFrame, band: BandModel, centre: PipelineModel, centre_features: Sequence[str],

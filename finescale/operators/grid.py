@@ -122,10 +122,8 @@ def expand_hours(cells: DataFrame, hours: DataFrame, max_hours: int = 24 * 366)
     """
     packed = hours.select("ts").distinct().agg(F.sort_array(F.collect_list("ts")).alias("_hours"))
     checked = packed.select(F.when(F.size("_hours") <= max_hours, F.col("_hours")).otherwise(
-        F.raise_error(F.lit("too many hours in one span")).cast("array<timestamp_ntz>")).alias("_hours"),
-        F.lit(1).alias("_one"))
-    return (cells.withColumn("_one", F.lit(1)).join(F.broadcast(checked), "_one")
-            .withColumn("ts", F.explode("_hours")).drop("_hours", "_one"))
+        F.raise_error(F.lit("too many hours in one span")).cast("array<timestamp_ntz>")))
+    return cells.withColumn("ts", F.explode(checked.scalar()))
 
 
 def grid_meta(grid: DataFrame, factor: int = 11, nodata: float = -9999.0,

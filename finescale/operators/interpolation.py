@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finescale.operators.neighbours import knn
+from finescale.operators.one_row import attach_row
 
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 
@@ -31,24 +32,23 @@ def node_axis(coarse: DataFrame) -> DataFrame:
 
 def stencil(cells: DataFrame, coarse: DataFrame, keys: Sequence[str] = ("iy", "ix"),
             lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Per cell: its coarse box ``(bi, bj)`` and the position ``(fu, fv)`` inside it, 0..1.
+    """Per cell: its coarse box ``(bi, bj)`` and the weights ``w0..w3`` of the box corners.
 
     Cells outside the coarse axes get a NULL box (as linear interpolation gives missing there).
     The descending latitude axes of the sources work too: only index order matters.
     """
-    axis = node_axis(coarse).withColumn("_one", F.lit(1))       # one row by construction
     u = F.col("i0") + F.try_divide(F.col("_lat") - F.col("lat0"), F.col("dlat"))
     v = F.col("j0") + F.try_divide(F.col("_lon") - F.col("lon0"), F.col("dlon"))
-    placed = (cells.select(*keys, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.lit(1).alias("_one"))
-              .join(F.broadcast(axis), "_one")
-              .withColumns({"_u": u, "_v": v}))
+    placed = attach_row(cells.select(*keys, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")),
+                        node_axis(coarse)).withColumns({"_u": u, "_v": v})
     inside = F.col("_u").between(F.col("i0"), F.col("i1")) & F.col("_v").between(F.col("j0"), F.col("j1"))
     bi = F.least(F.floor("_u"), F.col("i1") - 1)
     bj = F.least(F.floor("_v"), F.col("j1") - 1)
-    return placed.select(*keys, F.col("_lat").alias("lat"), F.col("_lon").alias("lon"),
-                         F.when(inside, bi).cast("int").alias("bi"), F.when(inside, bj).cast("int").alias("bj"),
-                         F.when(inside, F.col("_u") - bi).alias("fu"),
-                         F.when(inside, F.col("_v") - bj).alias("fv"))
+    boxed = placed.select(*keys, F.col("_lat").alias("lat"), F.col("_lon").alias("lon"),
+                          F.when(inside, bi).cast("int").alias("bi"), F.when(inside, bj).cast("int").alias("bj"), "_u", "_v")
+    fu, fv = F.col("_u") - F.col("bi"), F.col("_v") - F.col("bj")
+    return boxed.withColumns({f"w{n}": (fu if i else 1 - fu) * (fv if j else 1 - fv)
+                              for n, (i, j) in enumerate(CORNERS)}).drop("_u", "_v")
 
 
 def land_nodes(coarse: DataFrame, variable: str = "t2m") -> DataFrame:
@@ -59,18 +59,12 @@ def land_nodes(coarse: DataFrame, variable: str = "t2m") -> DataFrame:
             .filter("land").drop("land"))
 
 
-def _corner_weight(c: tuple[int, int]) -> Column:
-    wu = F.col("fu") if c[0] else 1 - F.col("fu")
-    wv = F.col("fv") if c[1] else 1 - F.col("fv")
-    return wu * wv
-
-
 def dry_cells(sten: DataFrame, land: DataFrame, keys: Sequence[str] = ("iy", "ix")) -> DataFrame:
     """Cells inside the axes none of whose weighted corners is ever present."""
     corners = (sten.filter("bi IS NOT NULL")
                .select(*keys, "lat", "lon", F.explode(F.array(*[
                    F.struct((F.col("bi") + c[0]).alias("lat_i"), (F.col("bj") + c[1]).alias("lon_i"),
-                            _corner_weight(c).alias("w")) for c in CORNERS])).alias("_c"))
+                            F.col(f"w{n}").alias("w")) for n, c in enumerate(CORNERS)])).alias("_c"))
                .select(*keys, "lat", "lon", "_c.*").filter("w > 0"))
     return (corners.join(land.select("lat_i", "lon_i", F.lit(1).alias("_land")), ["lat_i", "lon_i"], "left")
             .groupBy(*keys).agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"),
@@ -101,8 +95,8 @@ def box_corners(coarse: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 def _weighted(v: str) -> Column:
     num, den = F.lit(0.0), F.lit(0.0)
-    for n, c in enumerate(CORNERS):
-        value, w = F.col(f"{v}__{n}"), _corner_weight(c)
+    for n in range(len(CORNERS)):
+        value, w = F.col(f"{v}__{n}"), F.col(f"w{n}")
         num = num + w * F.coalesce(value, F.lit(0.0))
         den = den + F.when(value.isNotNull(), w).otherwise(0.0)
     return F.when(den > 0, num / den)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finescale.functions.physics import ColumnLike, _c
+from finescale.operators.one_row import attach_row
 
 
 def exact_quantiles(df: DataFrame, value: ColumnLike, qs: Sequence[float],
@@ -45,15 +46,16 @@ def exact_quantiles(df: DataFrame, value: ColumnLike, qs: Sequence[float],
     brackets = brackets.withColumns({"lo": F.col("lo") - pad, "hi": F.col("hi") + pad})
     packed = brackets.groupBy(*key).agg(F.collect_list(F.struct("q", "lo", "hi")).alias("_qs"))
     # each row lands in at most one (q, value) pair inside, or counts as "below" of that q
-    placed = (data.join(packed if by else F.broadcast(packed), key)   # without groups: one row
+    joined = data.join(packed, key) if by else attach_row(data, packed.select("_qs"))
+    placed = (joined
               .select(*key, "_v", F.explode(F.filter("_qs", lambda s: F.col("_v") <= s["hi"])).alias("_q"))
               .select(*key, F.col("_q.q").alias("q"),
                       F.when(F.col("_v") >= F.col("_q.lo"), F.col("_v")).alias("_v")))
     counts = placed.groupBy(*key, "q", "_v").agg(F.count("*").alias("_c"))
     # NULL value = everything below the bracket; it sorts first
     run = Window.partitionBy(*key, "q").orderBy(F.col("_v").asc_nulls_first())
-    ranked = (counts.withColumn("_end", F.sum("_c").over(run))
-              .join(sketch.select(*key, "n"), key))
+    ranked = counts.withColumn("_end", F.sum("_c").over(run))
+    ranked = ranked.join(sketch.select(*key, "n"), key) if by else attach_row(ranked, sketch.select("n"))
     rank = F.col("q") * (F.col("n") - 1)            # 0-based, fractional
     below, above = F.floor(rank), F.ceil(rank)
     start = F.col("_end") - F.col("_c")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finescale.functions.physics import ColumnLike, _c
+from finescale.operators.one_row import attach_row
 
 FACTOR = 11                   # fixed value: fine pixels per cell edge
 GROUPS = tuple(f"T{i}" for i in range(1, 9))
@@ -47,10 +48,9 @@ def block_agg(pixels: DataFrame, stats: dict[str, tuple[str, str]], factor: int
     if shape is not None:
         return out.filter((F.col("iy") < shape[0] // factor) & (F.col("ix") < shape[1] // factor))
     extent = pixels.agg(F.floor((F.max("py") + 1) / factor).alias("_ny"),
-                        F.floor((F.max("px") + 1) / factor).alias("_nx")).withColumn("_one", F.lit(1))
-    return (out.withColumn("_one", F.lit(1)).join(F.broadcast(extent), "_one")   # one row
-            .filter((F.col("iy") < F.col("_ny")) & (F.col("ix") < F.col("_nx")))
-            .drop("_one", "_ny", "_nx"))
+                        F.floor((F.max("px") + 1) / factor).alias("_nx"))
+    return (attach_row(out, extent).filter((F.col("iy") < F.col("_ny")) & (F.col("ix") < F.col("_nx")))
+            .drop("_ny", "_nx"))
 
 
 # Terrain layers and their block statistics.

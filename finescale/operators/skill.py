@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from finescale.functions import metrics as M
 from finescale.functions.physics import ColumnLike, _c, coast_band, elevation_band
+from finescale.operators.one_row import attach_row
 from finescale.operators.quantiles import exact_quantiles, quantiles_wide
 from finescale.operators.tables import dense_index
 
@@ -77,19 +78,18 @@ def skill_summary(cells: DataFrame, ss: str = "ss") -> DataFrame:
 
 
 def _side_by_side(*one_row: DataFrame) -> DataFrame:
-    out = one_row[0].withColumn("_one", F.lit(1))
+    out = one_row[0]
     for other in one_row[1:]:
-        out = out.join(F.broadcast(other.withColumn("_one", F.lit(1))), "_one")   # one row each
-    return out.drop("_one")
+        out = attach_row(out, other)
+    return out
 
 
 def temperature_band(df: DataFrame, obs: str = "t_obs") -> DataFrame:
     """``faixa`` by the p10/p90 of the observed temperature; a missing observation is ``meio``."""
-    cuts = quantiles_wide(df, obs, {"_p10": 0.1, "_p90": 0.9}).withColumn("_one", F.lit(1))
+    cuts = quantiles_wide(df, obs, {"_p10": 0.1, "_p90": 0.9})
     band = (F.when(F.col(obs) <= F.col("_p10"), "frio<=p10")
             .when(F.col(obs) > F.col("_p90"), "quente>p90").otherwise("meio"))
-    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(cuts), "_one")
-            .withColumn("faixa", band).drop("_one", "_p10", "_p90"))
+    return attach_row(df, cuts).withColumn("faixa", band).drop("_p10", "_p90")
 
 
 def focus_subset(df: DataFrame, z: str = "z_alvo", hour: str = "hora") -> DataFrame:
@@ -145,12 +145,11 @@ def error_histogram(df: DataFrame, columns: Sequence[str] = ("err_down", "err_ba
     """``(serie, bin, left, right, n, density)`` over plus/minus the pooled ``q`` of the absolute errors."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("serie"), F.col(c).alias("e"))
                                          for c in columns])).alias("_r")).select("_r.*").filter("e IS NOT NULL")
-    lim = (exact_quantiles(long, F.abs("e"), [q]).select(F.col("value").alias("_lim"), F.lit(1).alias("_one")))
+    lim = exact_quantiles(long, F.abs("e"), [q]).agg(F.max("value").alias("_lim"))
     bins = edges - 1
     width = 2 * F.col("_lim") / bins
     slot = F.least(F.floor((F.col("e") + F.col("_lim")) / width), F.lit(bins - 1)).cast("int")
-    counts = (long.withColumn("_one", F.lit(1)).join(F.broadcast(lim), "_one")
-              .filter(F.abs("e") <= F.col("_lim"))
+    counts = (attach_row(long, lim).filter(F.abs("e") <= F.col("_lim"))
               .groupBy("serie", slot.alias("bin"), "_lim").agg(F.count("*").alias("n")))
     total = F.sum("n").over(Window.partitionBy("serie"))      # at most ``bins`` rows per series
     return counts.select("serie", "bin", (-F.col("_lim") + F.col("bin") * width).alias("left"),
@@ -165,10 +164,9 @@ def density2d(df: DataFrame, x: str = "y_residuo", y: str = "pred_residuo", n: i
     Two interleaved lattices; each point goes to the nearer centre, which tiles the plane by
     hexagons. Points outside the square are left out, as in a plot with that extent.
     """
-    cut = quantiles_wide(df, x, {"_lo": q[0], "_hi": q[1]}).withColumn("_one", F.lit(1))
+    cut = quantiles_wide(df, x, {"_lo": q[0], "_hi": q[1]})
     rows = max(int(n / math.sqrt(3)), 1)
-    data = (df.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.lit(1).alias("_one"))
-            .join(F.broadcast(cut), "_one")
+    data = (attach_row(df.select(F.col(x).alias("_x"), F.col(y).alias("_y")), cut)
             .filter(F.col("_x").between(F.col("_lo"), F.col("_hi")) & F.col("_y").between(F.col("_lo"), F.col("_hi"))))
     span = F.col("_hi") - F.col("_lo")
     u, v = (F.col("_x") - F.col("_lo")) / (span / n), (F.col("_y") - F.col("_lo")) / (span / rows)
@@ -226,7 +224,10 @@ def bootstrap_ci(stations: DataFrame, column: str, n: int = 2000, seed: int = 42
                        .select(station, F.col(column).alias("_v")), station)
     word = F.md5(F.concat_ws("_", F.lit(seed), F.col("_rep"), F.col("idx")))
     u = F.conv(F.substring(word, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    draws = (data.select("idx", "n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_rep"))
+    # resamples are spread first: the station list is short, its draws are many
+    reps = stations.sparkSession.range(n).select(F.col("id").alias("_rep"))
+    draws = (attach_row(reps, data.agg(F.count("*").alias("n"))).filter("n > 0")
+             .withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
              .select("_rep", F.floor(u * F.col("n")).alias("idx")))
     reps = draws.join(data.select("idx", "_v"), "idx").groupBy("_rep").agg(F.avg("_v").alias("mean"))
     ci = quantiles_wide(reps, "mean", {"ci_low": low, "ci_high": high})

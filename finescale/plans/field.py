@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from finescale.functions.physics import cell_id, residual
 from finescale.functions.time import in_window
 from finescale.models.residual import score_grid
-from finescale.operators.anchoring import anchor, increments, neighbours, output_triple
+from finescale.operators.anchoring import anchor, anchor_gauss, increments, neighbours, output_triple
 from finescale.operators.tables import collapse_cells, exclude_stations, match_obs, to_cells
 from finescale.plans.features import build_features
 
@@ -35,7 +35,12 @@ def anchored_field(scored: DataFrame, cells: DataFrame, inc: DataFrame | None, s
     """Field with its output triple; without increments the correction is zero."""
     if inc is None:
         return output_triple(scored)
-    neigh = neighbours(cells, stations, **({**rule, "lz_m": 0.0} if lz_by_hour is not None else rule))
+    if lz_by_hour is not None:
+        rule["lz_m"] = 0.0                       # the hourly table wins
+    if rule.get("method") == "gauss":
+        rule.pop("method")
+        return anchor_gauss(scored, cells, stations, inc, lz_by_hour, **rule)
+    neigh = neighbours(cells, stations, **rule)
     return anchor(scored, neigh, inc, lz_by_hour)
 
 
