@@ -27,7 +27,7 @@ ORDER = ("ts", "event_id")
 
 
 def _qc(spark, d):
-    return Q.qc_temperature(obs(spark, d), keys=["station"], order=ORDER, limits=LIMITS, unit="day", level=_level())
+    return Q.qc_temperature(obs(spark, d), keys=["station"], order=ORDER, limits=LIMITS, level=_level())
 
 
 QC_SQL = OBS_SQL + """,
@@ -58,7 +58,7 @@ def qc_temperature(spark, d):
   SELECT event_id, CASE WHEN NOT COALESCE(abs(value - lag(value) OVER w) > 60, FALSE) THEN value END AS value
   FROM obs WINDOW w AS (PARTITION BY station ORDER BY ts, event_id)""")
 def qc_spike(spark, d):
-    return Q.qc_spike(obs(spark, d), "value", order=ORDER, max_jump=60.0, unit="day").select("event_id", "value")
+    return Q.qc_spike(obs(spark, d), "value", order=ORDER, max_jump=60.0).select("event_id", "value")
 
 
 @check("qc_stuck", f"""WITH {OBS_SQL},
@@ -100,7 +100,7 @@ def coverage_filter(spark, d):
 def qc_then_window(spark, d):
     data = obs(spark, d).withColumn("data_hora_utc", to_utc("ts"))
     out = Q.clean_observations(data, datetime(2024, 1, 10), datetime(2024, 1, 13), keys=["station"], order=ORDER,
-                               limits=LIMITS, unit="day", level=_level())
+                               limits=LIMITS, level=_level())
     return out.select("event_id", "data_hora_utc", "temperatura_c_qc")
 
 

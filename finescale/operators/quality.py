@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from finescale.functions.physics import VALID_FLAGS, in_range, keep_flags, to_number
 from finescale.functions.time import in_window
-from finescale.operators.series import bucket_window, drop_halo, with_row_halo
+from finescale.operators.series import MAX_ROWS, bucket_window, drop_halo, with_row_halo
 
 # Names of the QC stages, in order.
 STAGES = ("missing", "flag", "range", "spike", "stuck", "kept")
@@ -38,7 +38,7 @@ def _same_as_previous(value: Column, window) -> Column:
 
 def qc_spike(df: DataFrame, value: str, keys: Sequence[str] = ("station",),
              order: Sequence[str] = ("ts",), ts: str = "ts", max_jump: float = 15.0,
-             unit: str = "month") -> DataFrame:
+             unit: str | None = None) -> DataFrame:
     """NULL where the value differs from the previous *row* by more than ``max_jump``."""
     data = with_row_halo(df, keys, order, ts, rows=1, unit=unit, carry=[value])
     w = bucket_window(keys, order)
@@ -47,7 +47,7 @@ def qc_spike(df: DataFrame, value: str, keys: Sequence[str] = ("station",),
 
 def qc_stuck(df: DataFrame, value: str, keys: Sequence[str] = ("station",),
              order: Sequence[str] = ("ts",), ts: str = "ts", hours: int = 6,
-             unit: str = "month", level: Column | None = None) -> DataFrame:
+             unit: str | None = None, level: Column | None = None) -> DataFrame:
     """NULL where the last ``hours`` differences are all zero.
 
     The run is counted over rows, so the first ``hours`` equal values are kept. ``level``
@@ -64,14 +64,15 @@ def qc_stuck(df: DataFrame, value: str, keys: Sequence[str] = ("station",),
 
 def qc_temperature(df: DataFrame, value: str = "md_valor", flag: str = "md_final",
                    keys: Sequence[str] = ("station",), order: Sequence[str] = ("ts",),
-                   ts: str = "ts", limits: Limits = Limits(), unit: str = "month",
-                   level: Column | None = None) -> DataFrame:
+                   ts: str = "ts", limits: Limits = Limits(), unit: str | None = None,
+                   level: Column | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
     """All five stages in order, on the full series; adds ``temperatura_c_qc`` and ``qc_stage``.
 
     ``qc_stage`` names the first stage that dropped the row. ``order`` must be total. ``level``
     maps ``temperatura_c_qc`` to the quantity the stuck test compares. One pass of the chain
     needs ``stuck_hours + 1`` earlier rows, which is the halo; apply any time window afterwards
-    (``in_window``), never before.
+    (``in_window``), never before. Series are cut by ``unit``, or (None) by month, hot ones finer so that
+    no task holds more than about ``max_rows`` rows of one series.
     """
     raw = to_number(value)
     flagged = keep_flags(raw, flag, limits.flags)
@@ -80,7 +81,7 @@ def qc_temperature(df: DataFrame, value: str = "md_valor", flag: str = "md_final
         F.when(raw.isNull(), "missing").when(flagged.isNull(), "flag")
         .when(ranged.isNull(), "range"))})
     data = with_row_halo(data, keys, order, ts, rows=limits.stuck_hours + 1, unit=unit,
-                         carry=["temperatura_c_qc"])
+                         carry=["temperatura_c_qc"], max_rows=max_rows)
     w = bucket_window(keys, order)
     t = F.col("temperatura_c_qc")
     data = data.withColumn("_jump", _jumped("temperatura_c_qc", w, limits.max_jump))

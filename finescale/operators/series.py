@@ -19,15 +19,48 @@ from finescale.functions.time import epoch_hours, epoch_seconds, trunc
 BUCKET, HALO = "_bucket", "_halo"
 
 
+# units a hot series is cut into, with the hours each spans at most
+UNITS = (("month", 744.0), ("day", 24.0), ("hour", 1.0), ("minute", 1 / 60), ("second", 1 / 3600))
+MAX_ROWS = 1_000_000
+
+
+def hot_units(df: DataFrame, keys: Sequence[str], ts: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``(keys, _unit)`` of the series with more than ``max_rows`` rows: the unit that keeps buckets smaller.
+
+    At most (all rows / max_rows) series can be listed. Only they are counted by the hour.
+    """
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows).select(*keys)
+    busiest = (df.select(*keys, trunc(ts, "hour").alias("_hour")).join(F.broadcast(hot), list(keys), "left_semi")
+               .groupBy(*keys, "_hour").agg(F.count("*").alias("_n"))
+               .groupBy(*keys).agg(F.max("_n").alias("_busy")))
+    unit = None
+    for name, hours in UNITS:
+        fits = F.col("_busy") * hours <= max_rows
+        unit = F.when(fits, name) if unit is None else unit.when(fits, name)
+    return busiest.select(*keys, unit.otherwise("second").alias("_unit"))
+
+
+def with_bucket(df: DataFrame, keys: Sequence[str], ts: str, unit: str | None = None,
+                max_rows: int = MAX_ROWS) -> DataFrame:
+    """Add ``_bucket``: a fixed ``unit``, or months with hot series cut as finely as they need."""
+    if unit is not None:
+        return df.withColumn(BUCKET, trunc(ts, unit))
+    units = F.broadcast(hot_units(df, keys, ts, max_rows))          # rows / max_rows keys at most
+    return (df.join(units, list(keys), "left")
+            .withColumn(BUCKET, F.expr(f"CAST(date_trunc(coalesce(_unit, 'month'), {ts}) AS TIMESTAMP_NTZ)"))
+            .drop("_unit"))
+
+
 def with_row_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str,
-                  rows: int, unit: str = "month", carry: Sequence[str] = ()) -> DataFrame:
+                  rows: int, unit: str | None = None, carry: Sequence[str] = (),
+                  max_rows: int = MAX_ROWS) -> DataFrame:
     """Add ``_bucket`` and the last ``rows`` rows before each bucket, flagged ``_halo``.
 
     The tails are taken with a top-k window (Spark limits it before the shuffle), so a
     hot series sends only ``rows`` rows per bucket to its successor. ``carry`` names the columns
     the halo rows need; the others are NULL there.
     """
-    data = df.withColumn(BUCKET, trunc(ts, unit))
+    data = with_bucket(df, keys, ts, unit, max_rows)
     slim = list(dict.fromkeys([*keys, *order, ts, *carry]))
     newest = Window.partitionBy(*keys, BUCKET).orderBy(*[F.col(c).desc() for c in order])
     tails = (data.select(*slim, BUCKET)
@@ -109,7 +142,7 @@ def deaccumulate(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("
     if reset not in ("month", "none"):
         raise ValueError("reset must be 'month' or 'none'")
     if reset == "none":
-        data = with_row_halo(df, keys, [ts], ts, rows=1, carry=columns)
+        data = with_row_halo(df, keys, [ts], ts, rows=1, unit="month", carry=columns)
     else:
         data = df.withColumn(BUCKET, trunc(ts, "month")).withColumn(HALO, F.lit(False))
     w = bucket_window(keys, [ts])

@@ -159,3 +159,19 @@ def test_array_form_equals_long_form(spark):
         "ts", -A.weighted_mean_array("inc", F.array(*[F.lit(w[s]) for s in "abc"])))
     for ts, corr in rows(arr):
         assert corr == pytest.approx(long[ts])
+
+
+def test_gauss_in_two_steps_equals_all_pairs(spark):
+    # cells near the stations settle at once; the far ones need every station
+    cells = spark.range(40).selectExpr("CAST(id AS INT) AS iy", "0 AS ix", "id * 12D AS x_km", "0D AS y_km", "id * 40D AS z_m")
+    st = spark.range(6).selectExpr("concat('s', id) AS station", "id * 9D AS x_km", "3D AS y_km", "id * 300D AS z_m")
+    inc = spark.range(18).selectExpr("concat('s', id % 6) AS station", "TIMESTAMP_NTZ'2020-01-01' + make_dt_interval(0, CAST(id div 6 AS INT)) AS ts",
+                                     "CASE WHEN id % 5 <> 0 THEN id - 8.5D END AS inc")
+    field = cells.crossJoin(inc.select("ts").distinct()).selectExpr("iy", "ix", "ts", "15D AS T_final")
+    full = A.anchor(field, A.neighbours(cells, st, method="gauss", length_km=20.0, lz_m=400.0), inc)
+    two = A.anchor_gauss(field, cells, st, inc, length_km=20.0, lz_m=400.0)
+    a, b = rows(full, "iy", "ts"), rows(two.select(full.columns), "iy", "ts")
+    assert len(a) == len(b) == 120
+    for x, y in zip(a, b):
+        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], abs=1e-9)
+    assert any(r[5] != 0 for r in a if r[0] > 25)

@@ -38,8 +38,8 @@ def brute(values, flags, lim):
     return [None if s else v for v, s in zip(t, stuck)]
 
 
-@pytest.mark.parametrize("unit", ["hour", "day"])
-def test_chain_equals_brute_force_across_buckets(spark, unit):
+@pytest.mark.parametrize("unit,max_rows", [("hour", 1), ("day", 1), (None, 10**6), (None, 50), (None, 3)])
+def test_chain_equals_brute_force_across_buckets(spark, unit, max_rows):
     rng = random.Random(7)
     lim = Q.Limits(stuck_hours=4)
     data, want = [], {}
@@ -53,7 +53,7 @@ def test_chain_equals_brute_force_across_buckets(spark, unit):
         data += [(st, t, None if x is None else str(x), str(f)) for t, x, f in seq]
         for (t, _, _), w in zip(seq, brute([x for _, x, _ in seq], [f for _, _, f in seq], lim)):
             want[(st, t)] = w
-    out = Q.qc_temperature(spark.createDataFrame(data, SCHEMA), limits=lim, unit=unit)
+    out = Q.qc_temperature(spark.createDataFrame(data, SCHEMA), limits=lim, unit=unit, max_rows=max_rows)
     got = {(r["station"], r["ts"]): r["temperatura_c_qc"] for r in out.collect()}
     assert got == want
     audit = {r["qc_stage"]: r["n"] for r in Q.qc_audit(out).collect()}
@@ -72,3 +72,11 @@ def test_window_is_cut_after_quality_control(spark):
 def test_coverage_drops_short_stations(spark):
     df = spark.createDataFrame([("a", 1.0)] * 3 + [("b", 1.0), ("b", None), ("b", None)], "station STRING, temperatura_c_qc DOUBLE")
     assert column(Q.min_coverage(df, 2).select("station").distinct(), "station") == ["a"]
+
+
+def test_hot_series_get_finer_units(spark):
+    from finescale.operators.series import hot_units
+    df = spark.range(5000).selectExpr("IF(id < 4000, 'hot', concat('s', id % 50)) AS station",
+                                      "TIMESTAMP_NTZ'2021-01-01' + make_dt_interval(0, 0, CAST(id % 4000 AS INT)) AS ts")
+    out = {r["station"]: r["_unit"] for r in hot_units(df, ["station"], "ts", 100).collect()}
+    assert out == {"hot": "hour"}          # 60 rows an hour, 4000 in all; the others stay whole
