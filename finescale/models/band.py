@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finescale.functions.physics import to_celsius
-from finescale.models.residual import branch_names, missing_policy, predict
+from finescale.models.residual import branch_names, cached, missing_policy, predict
 from finescale.operators.anchoring import output_triple
 from finescale.operators.one_row import attach_row
 
@@ -39,6 +39,12 @@ def fit_band(df: DataFrame, features: Sequence[str], alphas: Sequence[float] = A
     if trees << depth > MAX_LEAVES:
         raise ValueError("trees * 2**depth is too large for the packed leaf table")
     data, inputs = missing_policy(df, features)
+    with cached(data.select(*inputs, "y_residuo")) as rows:
+        return _grow(rows, inputs, list(features), alphas, trees, depth, min_rows, seed, accuracy)
+
+
+def _grow(data: DataFrame, inputs: Sequence[str], features: Sequence[str], alphas: Sequence[float], trees: int,
+          depth: int, min_rows: int, seed: int, accuracy: int) -> BandModel:
     forest = Pipeline(stages=[
         VectorAssembler(inputCols=inputs, outputCol="features"),
         RandomForestRegressor(featuresCol="features", labelCol="y_residuo", predictionCol="_mean", leafCol="_leaf",
@@ -52,7 +58,9 @@ def fit_band(df: DataFrame, features: Sequence[str], alphas: Sequence[float] = A
     dense = per_tree.select("tree", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.col("m")[i]).alias("q"))
     packed = dense.agg(F.sort_array(F.collect_list(F.struct("tree", "q"))).alias("_t")).select(
         F.transform("_t", lambda t: t["q"]).alias("_trees"))
-    return BandModel(forest, packed.persist(), list(features))
+    # materialised: one row, so that scoring does not repeat the training pass
+    table = data.sparkSession.createDataFrame(packed.collect(), packed.schema)
+    return BandModel(forest, table, features)
 
 
 def predict_band(df: DataFrame, model: BandModel, names: Sequence[str] = NAMES) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import PipelineModel, Pipeline
@@ -19,6 +20,16 @@ from finescale.models.folds import assign_folds, carve_holdout, require_cells
 SENTINEL = -9999.0
 
 
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` kept in memory and on disk while a fit runs over it."""
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 @dataclass(frozen=True)
 class BoostParams:
     """Spark ML settings in the place of the published booster settings (L2 objective)."""
@@ -62,7 +73,9 @@ def fit_residual(df: DataFrame, features: Sequence[str], params: BoostParams = B
     data, inputs = missing_policy(df, features)
     if early_stop:
         data = carve_holdout(data, 0.2, params.seed)
-    return _pipeline(inputs, params, early_stop).fit(data)
+    keep = [*inputs, "y_residuo", *(["holdout"] if early_stop else [])]
+    with cached(data.select(*keep)) as rows:            # boosting passes over the rows once per level
+        return _pipeline(inputs, params, early_stop).fit(rows)
 
 
 def predict(df: DataFrame, features: Sequence[str], model: PipelineModel, name: str = "pred_residuo") -> DataFrame:
@@ -78,16 +91,13 @@ def oof_predict(df: DataFrame, features: Sequence[str], k: int = 10, params: Boo
     The loop is over folds only; every fit and every transform is distributed.
     """
     require_cells(df, k)
-    folded = assign_folds(df, k).persist()
     out, models = None, []
-    try:
+    with cached(assign_folds(df, k)) as folded:
         for fold in range(k):
             model = fit_residual(folded.filter(F.col("fold") != fold), features, params, early_stop)
             models.append(model)
             scored = predict(folded.filter(F.col("fold") == fold), features, model)
             out = scored if out is None else out.unionByName(scored)
-    finally:
-        folded.unpersist()
     bad = F.raise_error(F.lit("a row has no out-of-fold prediction")).cast("double")
     return out.withColumn("pred_residuo", F.coalesce("pred_residuo", bad)), models
 
