@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from finescale.functions.physics import ColumnLike, _c
 from finescale.functions.utm import lonlat_to_utm
+from finescale.session import spread
 
 
 @dataclass(frozen=True)
@@ -123,7 +124,7 @@ def expand_hours(cells: DataFrame, hours: DataFrame, max_hours: int = 24 * 366)
     packed = hours.select("ts").distinct().agg(F.sort_array(F.collect_list("ts")).alias("_hours"))
     checked = packed.select(F.when(F.size("_hours") <= max_hours, F.col("_hours")).otherwise(
         F.raise_error(F.lit("too many hours in one span")).cast("array<timestamp_ntz>")))
-    return cells.withColumn("ts", F.explode(checked.scalar()))
+    return spread(cells).withColumn("ts", F.explode(checked.scalar()))
 
 
 def grid_meta(grid: DataFrame, factor: int = 11, nodata: float = -9999.0,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from finescale.operators.neighbours import knn
 from finescale.operators.one_row import attach_row
+from finescale.session import spread
 
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 
@@ -116,7 +117,7 @@ def bilinear(coarse: DataFrame, cells: DataFrame, variables: Sequence[str],
     sten, boxes = stencil(cells, coarse, keys), box_corners(coarse, variables)
 
     def weighted(cell_boxes: DataFrame) -> DataFrame:
-        return (cell_boxes.join(boxes, ["bi", "bj"])
+        return (spread(cell_boxes).join(boxes, ["bi", "bj"])
                 .select(*keys, "ts", *[_weighted(v).alias(v) for v in variables]))
 
     if ocean == "nan":

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finescale.functions.physics import ColumnLike, _c
+from finescale.session import spread
 
 LEVELS = 15
 REACH = 2 * math.sqrt(2)
@@ -24,13 +25,14 @@ def _tile(x: Column, size: Column | float) -> Column:
     return F.floor(x / size).cast("bigint")
 
 
-def _block(tx: Column, ty: Column, rx: Column | int, ry: int) -> Column:
-    """Array of tile structs within ``rx`` columns and ``ry`` rows."""
-    rx = F.lit(rx) if isinstance(rx, int) else rx
-    return F.flatten(F.transform(
-        F.sequence(-rx, rx),
-        lambda i: F.transform(F.array(*[F.lit(j) for j in range(-ry, ry + 1)]),
-                              lambda j: F.struct((tx + i).alias("tx"), (ty + j).alias("ty")))))
+def _block(tx: str, ty: str, rx: int, ry: int) -> Column:
+    """Array of the tiles within ``rx`` columns and ``ry`` rows; ``tx, ty`` are SQL text."""
+    return F.expr(f"flatten(transform(sequence(-{rx}, {rx}), i -> transform(sequence(-{ry}, {ry}), "
+                  f"j -> named_struct('tx', {tx} + i, 'ty', {ty} + j))))")
+
+
+def _tile_text(x: str, size: str | float) -> str:
+    return f"CAST(floor({x} / {size}) AS BIGINT)"
 
 
 def _without_self(pairs: DataFrame, exclude_self: Sequence[tuple[str, str]]) -> DataFrame:
@@ -60,15 +62,12 @@ def knn(targets: DataFrame, stations: DataFrame, k: int, target_keys: Sequence[s
     st = stations.select(F.col(station), F.col(x).alias("_sx"), F.col(y).alias("_sy"),
                          *[F.col(b).alias("_s_" + b) for _, b in exclude_self]).filter(
         F.col("_sx").isNotNull() & F.col("_sy").isNotNull())
-    levels = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(tile * 2.0**i).alias("size"))
-                       for i in range(LEVELS)])
-    leveled = st.select("*", F.explode(levels).alias("_l")).select(
-        "*", F.col("_l.level").alias("level"), F.col("_l.size").alias("_size")).drop("_l")
-    leveled = leveled.withColumns({"tx": _tile(F.col("_sx"), F.col("_size")),
-                                   "ty": _tile(F.col("_sy"), F.col("_size"))})
+    size = f"({float(tile)}D * power(2D, level))"
+    leveled = (st.withColumn("level", F.expr(f"explode(sequence(0, {LEVELS - 1}))"))
+               .withColumns({"tx": F.expr(_tile_text("_sx", size)), "ty": F.expr(_tile_text("_sy", size))}))
     # stations per tile, spread over the 3x3 block it serves; counted before the spread
     counts = leveled.groupBy("level", "tx", "ty").agg(F.count("*").alias("n"))
-    served = (counts.select("level", "n", F.explode(_block(F.col("tx"), F.col("ty"), 1, 1)).alias("_t"))
+    served = (counts.select("level", "n", F.explode(_block("tx", "ty", 1, 1)).alias("_t"))
               .groupBy("level", "_t.tx", "_t.ty").agg(F.sum("n").alias("n"))
               .filter(F.col("n") >= need).select("level", "tx", "ty"))
 
@@ -78,22 +77,22 @@ def knn(targets: DataFrame, stations: DataFrame, k: int, target_keys: Sequence[s
                    "_x", "_y", "_scale", "_fx", "_fy").filter(
         F.col("_x").isNotNull() & F.col("_y").isNotNull())
     fine = tg.select("_fx", "_fy").distinct()
-    level_of = (fine.select("_fx", "_fy", F.explode(F.array(*[F.lit(i) for i in range(LEVELS)])).alias("level"))
-                .withColumns({"tx": F.floor(F.col("_fx") / F.pow(F.lit(2.0), F.col("level"))).cast("bigint"),
-                              "ty": F.floor(F.col("_fy") / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")})
+    level_of = (fine.withColumn("level", F.expr(f"explode(sequence(0, {LEVELS - 1}))"))
+                .withColumns({"tx": F.expr(_tile_text("_fx", "power(2D, level)")),
+                              "ty": F.expr(_tile_text("_fy", "power(2D, level)"))})
                 .join(served, ["level", "tx", "ty"])
                 .groupBy("_fx", "_fy").agg(F.min("level").alias("level")))
-    sized = (tg.join(level_of, ["_fx", "_fy"], "left")
-             .withColumn("level", F.coalesce("level", F.lit(LEVELS - 1)))
-             .withColumn("_size", F.lit(tile) * F.pow(F.lit(2.0), F.col("level"))))
-    around = (sized.withColumn("_t", F.explode(_block(_tile(F.col("_x"), F.col("_size")),
-                                                      _tile(F.col("_y"), F.col("_size")), reach_x, reach_y)))
-              .select("*", "_t.tx", "_t.ty").drop("_t", "_fx", "_fy", "_size"))
-    pairs = around.join(leveled.drop("_size"), ["level", "tx", "ty"])
-    pairs = _without_self(pairs, exclude_self)
+    sized = (spread(tg).join(level_of, ["_fx", "_fy"], "left")
+             .withColumns({"_all": F.col("level").isNull(), "level": F.coalesce("level", F.lit(LEVELS - 1))}))
+    around = (sized.withColumn("_t", F.explode(_block(_tile_text("_x", size), _tile_text("_y", size), reach_x, reach_y)))
+              .withColumn("_far", F.when(~F.col("_all"), REACH * F.expr(size)))
+              .select("*", "_t.tx", "_t.ty").drop("_t", "_fx", "_fy", "_all"))
+    pairs = _without_self(around.join(leveled, ["level", "tx", "ty"]), exclude_self)
     dx = (F.col("_sx") - F.col("_x")) * F.col("_scale")
     dy = F.col("_sy") - F.col("_y")
     pairs = pairs.withColumn("d", F.sqrt(dx * dx + dy * dy))
+    # k stations lie within that reach for certain: what is farther cannot be among the nearest
+    pairs = pairs.filter(F.col("_far").isNull() | (F.col("d") <= F.col("_far")))
     nearest = Window.partitionBy(*target_keys).orderBy("d", station)
     return (pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
             .select(*target_keys, station, "d", "rank"))
@@ -109,8 +108,8 @@ def within_radius(targets: DataFrame, stations: DataFrame, radius: float,
     st = st.withColumns({"tx": _tile(F.col("_sx"), radius), "ty": _tile(F.col("_sy"), radius)})
     tg = targets.select(*target_keys, *[F.col(a).alias("_t_" + a) for a, _ in exclude_self],
                         F.col(x).alias("_x"), F.col(y).alias("_y"))
-    tg = tg.select("*", F.explode(_block(_tile(F.col("_x"), radius), _tile(F.col("_y"), radius), 1, 1))
-                   .alias("_t")).select("*", "_t.tx", "_t.ty")
+    tg = spread(tg).select("*", F.explode(_block(_tile_text("_x", float(radius)), _tile_text("_y", float(radius)), 1, 1))
+                           .alias("_t")).select("*", "_t.tx", "_t.ty")
     dx, dy = F.col("_sx") - F.col("_x"), F.col("_sy") - F.col("_y")
     pairs = tg.join(st, ["tx", "ty"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).filter(F.col("d") <= radius)
     pairs = _without_self(pairs, exclude_self)

@@ -26,6 +26,15 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Balance a small table over all tasks before each of its rows becomes many.
+
+    A cell or station table fits one file, hence one task; AQE would keep it so. The shuffle moves
+    the rows before they multiply, which is cheap next to what follows.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the folder the cluster names (eager).
 
