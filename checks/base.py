@@ -104,10 +104,10 @@ def cells(spark, d) -> DataFrame:
         F.col("c_acctbal").alias("acctbal"), k)
 
 
-# station cells: 30 stations share a cell, so that cell-hours are dense
+# station cells: six stations share a cell
 OBS_CELL_SQL = OBS_SQL + """,
   obs_cell AS (
-    SELECT CAST(floor(station / 30) AS INTEGER) AS iy, CAST(floor(station / 30) AS INTEGER) % 7 AS ix,
+    SELECT CAST(floor(station / 6) AS INTEGER) AS iy, CAST(floor(station / 6) AS INTEGER) % 7 AS ix,
            date_trunc('hour', ts) AS ts, avg(value) AS temperatura_c_qc,
            CAST(count(DISTINCT station) AS INTEGER) AS n_est_cel
     FROM obs WHERE event_type <> 'error'
@@ -115,7 +115,7 @@ OBS_CELL_SQL = OBS_SQL + """,
 
 
 def station_cells(spark, d) -> DataFrame:
-    s = F.floor(F.col("station") / 30).cast("int")
+    s = F.floor(F.col("station") / 6).cast("int")
     return net(spark, d).select("station", s.alias("iy"), (s % 7).alias("ix"))
 
 

@@ -159,7 +159,7 @@ def scoring_rows(spark, d):
 
 
 @check("increments_out_of_training", f"""WITH {MATRIX_SQL}, {STATION_SQL},
-  keep AS (SELECT CAST(floor(station / 30) AS INTEGER) AS iy, CAST(floor(station / 30) AS INTEGER) % 7 AS ix,
+  keep AS (SELECT CAST(floor(station / 6) AS INTEGER) AS iy, CAST(floor(station / 6) AS INTEGER) % 7 AS ix,
                   CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, avg(value) AS t FROM obs
            WHERE event_type <> 'error' AND station NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1, 2, 3)
   SELECT k.iy, k.ix, k.ts, {r6('k.t - (s.t2m_1km - 273.15)')} AS y_residuo, {r6('s.t2m_1km / 100 - (k.t - (s.t2m_1km - 273.15))')} AS inc

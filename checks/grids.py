@@ -328,9 +328,9 @@ def gates(spark, d):
 
 @check("missing_baseline", f"""WITH {STATION_SQL}, {OBS_CELL_SQL}
   SELECT station, x_km AS longitude, y_km AS latitude, n.iy, n.ix, 'era5_t2m_nan_estrutural' AS motivo
-  FROM (SELECT *, CAST(floor(station / 30) AS INTEGER) AS iy, CAST(floor(station / 30) AS INTEGER) % 7 AS ix FROM net) n
-  LEFT JOIN (SELECT * FROM obs_cell WHERE ts = TIMESTAMP '2024-01-01 12:00:00' AND n_est_cel >= 4) o ON o.iy = n.iy AND o.ix = n.ix
+  FROM (SELECT *, CAST(floor(station / 6) AS INTEGER) AS iy, CAST(floor(station / 6) AS INTEGER) % 7 AS ix FROM net) n
+  LEFT JOIN (SELECT * FROM obs_cell WHERE ts = TIMESTAMP '2024-01-01 12:00:00' AND n_est_cel >= 2) o ON o.iy = n.iy AND o.ix = n.ix
   WHERE o.temperatura_c_qc IS NULL""")
 def missing_baseline(spark, d):
     st = net(spark, d).withColumnsRenamed({"x_km": "longitude", "y_km": "latitude"}).join(station_cells(spark, d), "station")
-    return GT.missing_baseline(st, obs_cell(spark, d).filter("n_est_cel >= 4").withColumnRenamed("temperatura_c_qc", "t2m_1km"), "2024-01-01 12:00:00")
+    return GT.missing_baseline(st, obs_cell(spark, d).filter("n_est_cel >= 2").withColumnRenamed("temperatura_c_qc", "t2m_1km"), "2024-01-01 12:00:00")

@@ -261,7 +261,7 @@ def unmatched_hours(spark, d):
 
 
 @check("to_cells", f"""WITH {OBS_SQL}
-  SELECT event_id, station, CAST(floor(station / 30) AS INTEGER) AS iy, CAST(floor(station / 30) AS INTEGER) % 7 AS ix
+  SELECT event_id, station, CAST(floor(station / 6) AS INTEGER) AS iy, CAST(floor(station / 6) AS INTEGER) % 7 AS ix
   FROM obs WHERE (station * 71) % 1800 > 300""")
 def to_cells(spark, d):
     known = net(spark, d).filter("z_m > 300").select("station").join(station_cells(spark, d), "station")
@@ -297,7 +297,7 @@ def match_obs(spark, d):
 
 
 @check("representativeness", f"""WITH {STATION_SQL}, {CELL_SQL},
-  m AS (SELECT CAST(floor(station / 30) AS INTEGER) AS iy, CAST(floor(station / 30) AS INTEGER) % 7 AS ix,
+  m AS (SELECT CAST(floor(station / 6) AS INTEGER) AS iy, CAST(floor(station / 6) AS INTEGER) % 7 AS ix,
                avg(z_m) AS altitude, CAST(count(DISTINCT station) AS INTEGER) AS n_est_cel FROM net GROUP BY 1, 2)
   SELECT c.iy, c.ix, c.z_m AS z_alvo, {r6('altitude')} AS altitude, n_est_cel,
          {r6('c.z_m - altitude')} AS delta_representatividade_m
