@@ -6,12 +6,10 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from checks.base import (CELL_SQL, COARSE_SQL, OBS_CELL_SQL, STATION_SQL, cells, check, coarse, hourly_obs, net, obs_cell, r6,
+from checks.base import (CELL_SQL, COARSE_SQL, OBS_CELL_SQL, STATION_SQL, cells, check, coarse, hourly_obs, obs_cell, r6,
                          rounded, station_cells, table)
-from finescale.functions.time import in_window
 from finescale.operators.grid import expand_hours
 from finescale.operators.interpolation import bilinear
-from finescale.operators.tables import replace_window
 from finescale.plans import features as FT
 from finescale.plans.matrix import build_matrix
 from finescale.sources.writers import field_columns
@@ -124,7 +122,7 @@ def _stack(spark, d):
 
 
 def matrix(spark, d):
-    """Training matrix of the driver's tables: 8 dynamic/time and memory columns plus the statics."""
+    """Training matrix of the driver's tables: baseline, time and memory features plus the statics."""
     return build_matrix(hourly_obs(spark, d), station_cells(spark, d), _stack(spark, d), _statics(spark, d), outlier=60.0,
                         expected_features=None)
 

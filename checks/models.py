@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import OBS_CELL_SQL, cells, check, coarse, net, obs_cell, r6, rounded, table
+from checks.base import OBS_CELL_SQL, cells, check, obs_cell, table
 from checks.fields import _stack, matrix
 from finescale.models import band as B
 from finescale.models import folds as FO
 from finescale.models import residual as RM
 from finescale.plans.field import anchored_field, score_field
-from finescale.plans.features import dynamic_features
 
 PARAMS = RM.BoostParams(rounds=5, rate=0.3, depth=4, min_rows=20, features="all", rows=0.8, bins=64)
 FEATURES = ["t2m_1km", "dt2m_1h", "d2t2m_1h", "hora_sin", "hora_cos", "z_alvo", "tri_mean_1km"]

@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from checks.base import (CELL_SQL, OBS_CELL_SQL, OBS_SQL, STATION_SQL, cells, check, hourly_obs, net, obs, obs_cell, r6,
+from checks.base import (CELL_SQL, OBS_CELL_SQL, OBS_SQL, STATION_SQL, cells, check, net, obs, obs_cell, r6,
                          rounded, station_cells, table)
 from finescale.functions import physics as P
 from finescale.functions.time import to_utc

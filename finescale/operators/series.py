@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finescale.functions.physics import ColumnLike, _c
-from finescale.functions.time import epoch_hours, epoch_seconds, trunc
+from finescale.functions.time import epoch_seconds, trunc
 
 BUCKET, HALO = "_bucket", "_halo"
 
@@ -90,10 +90,10 @@ def drop_halo(df: DataFrame) -> DataFrame:
 
 
 def with_time_halo(df: DataFrame, ts: str, hours: int, unit: str = "month") -> DataFrame:
-    """Copy each row whose following ``hours`` reach into the next bucket there, as halo."""
+    """Copy each row, as halo, into the later buckets that its following ``hours`` reach."""
     own = trunc(ts, unit)
     reach = trunc(_c(ts) + F.expr(f"INTERVAL '{hours}' HOUR"), unit)
-    return (df.withColumn(BUCKET, F.explode(F.array_distinct(F.array(own, reach))))
+    return (df.withColumn(BUCKET, F.explode(F.sequence(own, reach, F.expr(f"INTERVAL 1 {unit}"))))
             .withColumn(HALO, F.col(BUCKET) != own))
 
 
@@ -167,7 +167,3 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike])
     pick = F.min_by(F.struct(*rest), F.struct(*[_c(c).alias(f"_o{i}") for i, c in enumerate(order)]))
     return (df.groupBy(*keys).agg(pick.alias("_row"))
             .select(*keys, "_row.*").select(*df.columns))
-
-
-def hour_slot(ts: ColumnLike) -> Column:
-    return epoch_hours(ts)

@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from finescale.functions.physics import cell_id, residual
 from finescale.functions.time import in_window

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from finescale.functions.physics import residual, to_celsius
 from finescale.operators.tables import (attach_stack, collapse_cells, cut_outliers, drop_missing, to_cells)

@@ -10,7 +10,7 @@ from finescale.plans import gates as G
 from finescale.plans.matrix import build_matrix
 from finescale.session import cut_lineage
 from finescale.sources.readers import COARSE_VARIABLES
-from tests.helpers import at, column, rows
+from tests.helpers import column, rows
 
 
 def test_feature_sets(tmp_path):

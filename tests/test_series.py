@@ -23,6 +23,14 @@ def test_lag_is_by_hour_not_by_row(spark):
         (0.0, None, None, None), (1.0, 0.0, None, None), (3.0, None, 1.0, None), (4.0, 3.0, None, None), (30.0, None, None, 4.0)]
 
 
+@pytest.mark.parametrize("unit", ["hour", "day", "month"])
+def test_lags_longer_than_a_bucket(spark, unit):
+    df = spark.createDataFrame([(0, 0, at(h), float(h)) for h in range(0, 90, 3)], "iy INT, ix INT, ts TIMESTAMP_NTZ, v DOUBLE")
+    out = S.lag_exact(df, "v", [3, 30, 60], unit=unit)
+    assert rows(out.select("v", "v_lag3", "v_lag30", "v_lag60"), "v") == [
+        tuple([float(h)] + [float(h - k) if h >= k else None for k in (3, 30, 60)]) for h in range(0, 90, 3)]
+
+
 def test_deaccumulate_resets_daily_and_monthly(spark):
     stamps = [(1, 0, 100.0), (1, 1, 3600.0), (1, 2, 10800.0), (1, 3, 10800.0), (1, 23, 36000.0), (2, 0, 39600.0), (2, 1, 7200.0)]
     df = spark.sql("SELECT 1 AS lat_i, 1 AS lon_i, make_timestamp_ntz(2020, 3, d, h, 0, 0) AS ts, v FROM VALUES "
