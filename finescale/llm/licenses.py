@@ -131,7 +131,7 @@ p AS (SELECT doc_id, 'paragraph' AS unit, unnest(range(len(regexp_split_to_array
   unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS body FROM documents),
 u AS (SELECT *, string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
   FROM (SELECT * FROM l UNION ALL SELECT * FROM p WHERE contains(body, chr(10)))),
-g AS (SELECT *, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS grams FROM u WHERE len(w) > 1),
+g AS (SELECT *, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM u WHERE len(w) > 1),
 c AS (SELECT doc_id, unit, position, body, license, round(2.0 * len(list_intersect(grams, own)) / (len(grams) + len(own)), 6) AS dice,
   row_number() OVER (PARTITION BY doc_id, unit, position ORDER BY round(2.0 * len(list_intersect(grams, own)) / (len(grams) + len(own)), 6) DESC, license) AS k
   FROM g, t WHERE len(grams) <= 2 * len(own) AND len(own) <= 2 * len(grams))
