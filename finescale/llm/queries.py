@@ -8,17 +8,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finescale.llm import html, licenses, packing, shared, urls, warc
+from finescale.llm import ann, decontaminate, html, language, licenses, neardup, packing, quality, shared, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", shared.held_out().alias("held_out"), "score", F.expr("CAST(score >= 0.7 AS INT)").alias("predicted"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", shared.held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -39,5 +63,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_url_filter, op7_packing, op8_html_extraction, op9_license_scan, op10_warc)}
+    f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_quality, op4_url_filter, op5_language_id, op6_nearest_neighbours,
+                            op7_packing, op8_html_extraction, op9_license_scan, op10_warc)}
 ORACLES: dict[str, str] = {"op4_url_filter": urls.oracle(), "op9_license_scan": licenses.oracle(), "op10_warc": warc.ORACLE}
