@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from finescale.functions.physics import ColumnLike, _c
 from finescale.functions.utm import lonlat_to_utm
+from finescale.operators.one_row import attach_row
 from finescale.session import spread
 
 
@@ -115,16 +116,17 @@ def scatter(grid: DataFrame, values: DataFrame, hours: DataFrame | None = None)
     return expand_hours(grid, hours).join(values, ["iy", "ix", "ts"], "left")
 
 
-def expand_hours(cells: DataFrame, hours: DataFrame, max_hours: int = 24 * 366) -> DataFrame:
+def expand_hours(cells: DataFrame, hours: DataFrame) -> DataFrame:
     """Every cell at every hour (the output is that product by definition).
 
-    The hours of one span travel as one array, so no cross join is planned; ``max_hours`` guards
-    its size: expand longer spans month by month.
+    A cell is dealt to the days of the span and joins each day's hours by key: an equi-join whose one
+    side has a row per day, for spans of any length.
     """
-    packed = hours.select("ts").distinct().agg(F.sort_array(F.collect_list("ts")).alias("_hours"))
-    checked = packed.select(F.when(F.size("_hours") <= max_hours, F.col("_hours")).otherwise(
-        F.raise_error(F.lit("too many hours in one span")).cast("array<timestamp_ntz>")))
-    return spread(cells).withColumn("ts", F.explode(checked.scalar()))
+    day = F.to_date("ts")
+    days = hours.groupBy(day.alias("_day")).agg(F.collect_set("ts").alias("_hours"))
+    span = days.agg(F.sort_array(F.collect_list("_day")).alias("_days"))       # a date per day
+    dealt = attach_row(spread(cells), span).withColumn("_day", F.explode("_days")).drop("_days")
+    return dealt.join(days, "_day").withColumn("ts", F.explode("_hours")).drop("_day", "_hours")
 
 
 def grid_meta(grid: DataFrame, factor: int = 11, nodata: float = -9999.0,

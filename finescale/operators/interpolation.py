@@ -8,6 +8,7 @@ weighted mean is a plain projection: no aggregation on fine rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def stencil(cells: DataFrame, coarse: DataFrame, keys: Sequence[str] = ("iy", "i
             lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Per cell: its coarse box ``(bi, bj)`` and the weights ``w0..w3`` of the box corners.
 
-    Cells outside the coarse axes get a NULL box (as linear interpolation gives missing there).
+    Cells outside the coarse axes get the box at the edge with all weights zero: interpolation gives missing there.
     The descending latitude axes of the sources work too: only index order matters.
     """
     u = F.col("i0") + F.try_divide(F.col("_lat") - F.col("lat0"), F.col("dlat"))
@@ -43,13 +44,13 @@ def stencil(cells: DataFrame, coarse: DataFrame, keys: Sequence[str] = ("iy", "i
     placed = attach_row(cells.select(*keys, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")),
                         node_axis(coarse)).withColumns({"_u": u, "_v": v})
     inside = F.col("_u").between(F.col("i0"), F.col("i1")) & F.col("_v").between(F.col("j0"), F.col("j1"))
-    bi = F.least(F.floor("_u"), F.col("i1") - 1)
-    bj = F.least(F.floor("_v"), F.col("j1") - 1)
+    bi = F.least(F.greatest(F.floor("_u"), F.col("i0")), F.col("i1") - 1)
+    bj = F.least(F.greatest(F.floor("_v"), F.col("j0")), F.col("j1") - 1)
     boxed = placed.select(*keys, F.col("_lat").alias("lat"), F.col("_lon").alias("lon"),
-                          F.when(inside, bi).cast("int").alias("bi"), F.when(inside, bj).cast("int").alias("bj"), "_u", "_v")
+                          bi.cast("int").alias("bi"), bj.cast("int").alias("bj"), "_u", "_v", inside.alias("_inside"))
     fu, fv = F.col("_u") - F.col("bi"), F.col("_v") - F.col("bj")
-    return boxed.withColumns({f"w{n}": (fu if i else 1 - fu) * (fv if j else 1 - fv)
-                              for n, (i, j) in enumerate(CORNERS)}).drop("_u", "_v")
+    return boxed.withColumns({f"w{n}": F.when(F.col("_inside"), (fu if i else 1 - fu) * (fv if j else 1 - fv)).otherwise(0.0)
+                              for n, (i, j) in enumerate(CORNERS)}).drop("_u", "_v", "_inside")
 
 
 def land_nodes(coarse: DataFrame, variable: str = "t2m") -> DataFrame:
@@ -61,27 +62,23 @@ def land_nodes(coarse: DataFrame, variable: str = "t2m") -> DataFrame:
 
 
 def dry_cells(sten: DataFrame, land: DataFrame, keys: Sequence[str] = ("iy", "ix")) -> DataFrame:
-    """Cells inside the axes none of whose weighted corners is ever present."""
-    corners = (sten.filter("bi IS NOT NULL")
-               .select(*keys, "lat", "lon", F.explode(F.array(*[
+    """Cells outside the axes, or none of whose weighted corners is ever present."""
+    corners = (sten.select(*keys, "lat", "lon", F.explode(F.array(*[
                    F.struct((F.col("bi") + c[0]).alias("lat_i"), (F.col("bj") + c[1]).alias("lon_i"),
                             F.col(f"w{n}").alias("w")) for n, c in enumerate(CORNERS)])).alias("_c"))
-               .select(*keys, "lat", "lon", "_c.*").filter("w > 0"))
+               .select(*keys, "lat", "lon", "_c.*"))
     return (corners.join(land.select("lat_i", "lon_i", F.lit(1).alias("_land")), ["lat_i", "lon_i"], "left")
             .groupBy(*keys).agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"),
-                                F.max("_land").alias("_land"))
+                                F.max(F.when(F.col("w") > 0, F.col("_land"))).alias("_land"))
             .filter("_land IS NULL").drop("_land"))
 
 
-def nearest_land(dry: DataFrame, land: DataFrame, keys: Sequence[str] = ("iy", "ix"),
-                 tile: float = 1.0) -> DataFrame:
+def nearest_land(dry: DataFrame, land: DataFrame, keys: Sequence[str] = ("iy", "ix")) -> DataFrame:
     """Nearest land node per dry cell; longitudes shrink with the cosine of the cell latitude."""
     nodes = land.withColumns({"x": F.col("lon"), "y": F.col("lat"),
                               "node": F.struct("lat_i", "lon_i")})
-    cells = dry.withColumns({"x": F.col("lon"), "y": F.col("lat"),
-                             "_cos": F.greatest(F.cos(F.radians("lat")), F.lit(0.25))})
-    near = knn(cells, nodes, 1, keys, "node", "x", "y", tile, x_scale="_cos", min_scale=0.25)
-    return near.select(*keys, "node.*")
+    cells = dry.withColumns({"x": F.col("lon"), "y": F.col("lat"), "_cos": F.abs(F.cos(F.radians("lat")))})
+    return knn(cells, nodes, 1, keys, "node", "x", "y", x_scale="_cos").select(*keys, "node.*")
 
 
 def box_corners(coarse: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -104,13 +101,13 @@ def _weighted(v: str) -> Column:
 
 
 def bilinear(coarse: DataFrame, cells: DataFrame, variables: Sequence[str],
-             keys: Sequence[str] = ("iy", "ix"), ocean: str = "nearest",
-             mask_variable: str | None = None, tile: float = 1.0) -> DataFrame:
+             keys: Sequence[str] = ("iy", "ix"), ocean: str = "nearest") -> DataFrame:
     """``(keys, ts, variables)``: missing-aware bilinear values at the cell centres.
 
-    ``cells``: keys, ``lat``, ``lon``. ``coarse``: ``ts, lat_i, lon_i, lat, lon, variables``. Cells
-    surrounded by permanently missing nodes copy the nearest land node, or stay missing with
-    ``ocean='nan'``. The land mask is that of ``mask_variable`` (default: the first one).
+    ``cells``: keys, ``lat``, ``lon``. ``coarse``: ``ts, lat_i, lon_i, lat, lon, variables``. A variable that
+    is missing at a cell at all hours, since the cell is outside the axes or none of its corners ever holds
+    it, is copied from the nearest node that holds that variable at some hour, or stays missing with
+    ``ocean='nan'``. Every cell keeps its rows either way.
     """
     if ocean not in ("nearest", "nan"):
         raise ValueError("ocean must be 'nearest' or 'nan'")
@@ -122,10 +119,14 @@ def bilinear(coarse: DataFrame, cells: DataFrame, variables: Sequence[str],
 
     if ocean == "nan":
         return weighted(sten)
-    land = land_nodes(coarse, mask_variable or variables[0])
-    dry = dry_cells(sten, land, keys)
-    copied = (nearest_land(dry, land, keys, tile)
-              .join(coarse.select("lat_i", "lon_i", "ts", *variables), ["lat_i", "lon_i"])
-              .select(*keys, "ts", *variables))
-    wet = sten.join(dry.select(*keys), list(keys), "left_anti")     # per cell, before the hours
-    return weighted(wet).unionByName(copied)
+    dry, copied = [], []
+    for v in variables:
+        land = land_nodes(coarse, v)
+        dry.append(dry_cells(sten, land, keys))
+        copied.append(nearest_land(dry[-1], land, keys).join(coarse.select("lat_i", "lon_i", "ts", v), ["lat_i", "lon_i"])
+                      .select(*keys, "ts", *[F.col(v) if u == v else F.lit(None).cast("double").alias(u) for u in variables]))
+    some = reduce(DataFrame.union, [d.select(*keys) for d in dry]).distinct()
+    wet = sten.join(some, list(keys), "left_anti")                   # per cell, before the hours
+    # of a cell that lacks a variable, each variable has a value in one of the parts only
+    parts = reduce(DataFrame.unionByName, copied, weighted(sten.join(some, list(keys), "left_semi")))
+    return weighted(wet).unionByName(parts.groupBy(*keys, "ts").agg(*[F.max(v).alias(v) for v in variables]))

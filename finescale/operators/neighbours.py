@@ -1,9 +1,9 @@
-"""Nearest-station joins on tiles: equi-joins only, exact for any density.
+"""Nearest-station joins on tiles: equi-joins only, exact for any density and extent.
 
-A uniform tile size is too fine for empty country and too coarse for a dense city, so tiles
-exist on ``LEVELS`` doubling sizes. Every target uses the finest level whose 3x3 block of tiles
-already holds ``k`` stations: the k-th neighbour is then at most 2*sqrt(2) tile edges away, so the
-7x7 block around the target is sure to contain the answer.
+A uniform tile size is too fine for empty country and too coarse for a dense city, so tiles exist on halving sizes, from one tile
+that holds all stations down to the size at which no tile holds more than are asked for. Every target uses the finest level whose 3x3
+block of tiles already holds ``k`` stations: the k-th neighbour is then at most 2*sqrt(2) tile edges away, so the 7x7 block around the
+target is sure to contain the answer. A target that no level serves meets all stations.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from finescale.functions.physics import ColumnLike, _c
 from finescale.session import spread
 
-LEVELS = 15
 REACH = 2 * math.sqrt(2)
+FINEST = 40                     # halvings after which tiles stop: what is still together lies within 1e-12 of the extent
 
 
 def _tile(x: Column, size: Column | float) -> Column:
@@ -44,55 +44,87 @@ def _without_self(pairs: DataFrame, exclude_self: Sequence[tuple[str, str]]) ->
     return pairs.filter(~same)
 
 
+def _extent(st: DataFrame) -> tuple[float, float, float]:
+    """Origin and edge of the square tile that holds all stations."""
+    x0, x1, y0, y1 = st.agg(F.min("_sx"), F.max("_sx"), F.min("_sy"), F.max("_sy")).first()
+    if x0 is None:
+        return 0.0, 0.0, 1.0
+    # an edge a little larger than the extent, so that the last station is inside; a unit tile for a single place
+    return x0, y0, max(x1 - x0, y1 - y0) * (1 + 1e-9) + math.ulp(max(abs(v) for v in (x0, x1, y0, y1))) * 8 or 1.0
+
+
+def _levels(st: DataFrame, x0: float, y0: float, edge: float, need: int) -> int:
+    """Halvings until the fullest tile holds ``need`` stations or fewer, or does not get emptier any more. The driver reads one row
+    per level."""
+    size = f"({edge!r}D * power(2D, -level))"
+    tiled = (st.withColumn("level", F.expr(f"explode(sequence(0, {FINEST}))"))
+             .groupBy("level", F.expr(_tile_text(f"(_sx - {x0!r}D)", size)).alias("tx"), F.expr(_tile_text(f"(_sy - {y0!r}D)", size)).alias("ty"))
+             .agg(F.count("*").alias("n")).groupBy("level").agg(F.max("n").alias("n")))
+    fullest = [r["n"] for r in tiled.orderBy("level").collect()]
+    least = max(need, fullest[-1]) if fullest else 0
+    return next((k for k, n in enumerate(fullest) if n <= least), 0)
+
+
 def knn(targets: DataFrame, stations: DataFrame, k: int, target_keys: Sequence[str] = ("iy", "ix"),
-        station: str = "station", x: str = "x", y: str = "y", tile: float = 8.0,
-        exclude_self: Sequence[tuple[str, str]] = (), x_scale: ColumnLike | None = None,
-        min_scale: float = 1.0) -> DataFrame:
+        station: str = "station", x: str = "x", y: str = "y",
+        exclude_self: Sequence[tuple[str, str]] = (), x_scale: ColumnLike | None = None) -> DataFrame:
     """``(target_keys, station, d, rank)`` of the ``k`` nearest stations, ties by station id.
 
-    ``x, y, tile`` share one unit and so does ``d``. ``exclude_self`` lists (target column,
-    station column) pairs that must not all be equal (leave-one-out). ``x_scale`` shrinks x
-    differences per target (cosine of latitude on a lon/lat grid) and must be at least
-    ``min_scale``. Fewer than ``k`` stations overall give as many as there are.
+    ``x, y`` share one unit and so does ``d``. ``exclude_self`` lists (target column, station column)
+    pairs that must not all be equal (leave-one-out). ``x_scale``, from 0 to 1, shrinks x differences
+    per target (cosine of latitude on a lon/lat grid). Fewer than ``k`` stations overall give as many
+    as there are. Extent and density of the stations are read first (two small jobs over them).
     """
     scale = F.lit(1.0) if x_scale is None else _c(x_scale)
-    reach_x = math.ceil(REACH / min_scale) + (0 if x_scale is None else 1)
-    reach_y = math.ceil(REACH)
     need = k + (1 if exclude_self else 0)
     st = stations.select(F.col(station), F.col(x).alias("_sx"), F.col(y).alias("_sy"),
                          *[F.col(b).alias("_s_" + b) for _, b in exclude_self]).filter(
         F.col("_sx").isNotNull() & F.col("_sy").isNotNull())
-    size = f"({float(tile)}D * power(2D, level))"
-    leveled = (st.withColumn("level", F.expr(f"explode(sequence(0, {LEVELS - 1}))"))
-               .withColumns({"tx": F.expr(_tile_text("_sx", size)), "ty": F.expr(_tile_text("_sy", size))}))
+    x0, y0, edge = _extent(st)
+    finest = _levels(st, x0, y0, edge, need)
+    size = f"({edge!r}D * power(2D, -level))"
+
+    def tile(name: str, origin: float, at: str = size) -> str:
+        return _tile_text(f"({name} - {origin!r}D)", at)
+
+    leveled = (st.withColumn("level", F.expr(f"explode(sequence(0, {finest}))"))
+               .withColumns({"tx": F.expr(tile("_sx", x0)), "ty": F.expr(tile("_sy", y0))}))
     # stations per tile, spread over the 3x3 block it serves; counted before the spread
     counts = leveled.groupBy("level", "tx", "ty").agg(F.count("*").alias("n"))
     served = (counts.select("level", "n", F.explode(_block("tx", "ty", 1, 1)).alias("_t"))
               .groupBy("level", "_t.tx", "_t.ty").agg(F.sum("n").alias("n"))
               .filter(F.col("n") >= need).select("level", "tx", "ty"))
 
+    least = f"({edge!r}D * power(2D, -{finest}))"
     tg = targets.withColumns({"_x": F.col(x), "_y": F.col(y), "_scale": scale,
-                              "_fx": _tile(F.col(x), tile), "_fy": _tile(F.col(y), tile)})
+                              "_fx": F.expr(tile(f"`{x}`", x0, least)), "_fy": F.expr(tile(f"`{y}`", y0, least))})
     tg = tg.select(*target_keys, *[F.col(a).alias("_t_" + a) for a, _ in exclude_self],
                    "_x", "_y", "_scale", "_fx", "_fy").filter(
         F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    fine = tg.select("_fx", "_fy").distinct()
-    level_of = (fine.withColumn("level", F.expr(f"explode(sequence(0, {LEVELS - 1}))"))
-                .withColumns({"tx": F.expr(_tile_text("_fx", "power(2D, level)")),
-                              "ty": F.expr(_tile_text("_fy", "power(2D, level)"))})
+    coarser = "CAST(floor({0} / power(2D, " + str(finest) + " - level)) AS BIGINT)"
+    level_of = (tg.select("_fx", "_fy").distinct().withColumn("level", F.expr(f"explode(sequence(0, {finest}))"))
+                .withColumns({"tx": F.expr(coarser.format("_fx")), "ty": F.expr(coarser.format("_fy"))})
                 .join(served, ["level", "tx", "ty"])
-                .groupBy("_fx", "_fy").agg(F.min("level").alias("level")))
+                .groupBy("_fx", "_fy").agg(F.max("level").alias("level")))
     sized = (spread(tg).join(level_of, ["_fx", "_fy"], "left")
-             .withColumns({"_all": F.col("level").isNull(), "level": F.coalesce("level", F.lit(LEVELS - 1))}))
-    around = (sized.withColumn("_t", F.explode(_block(_tile_text("_x", size), _tile_text("_y", size), reach_x, reach_y)))
-              .withColumn("_far", F.when(~F.col("_all"), REACH * F.expr(size)))
-              .select("*", "_t.tx", "_t.ty").drop("_t", "_fx", "_fy", "_all"))
+             .withColumns({"_all": F.col("level").isNull(), "level": F.coalesce("level", F.lit(0))}))
+    # tiles within reach that can hold a station: 0 to 2^level - 1 on either axis, and for a target without level the one tile
+    last = "CAST(power(2D, level) AS BIGINT) - 1"
+    wide = f"CAST(least(ceil({REACH} / greatest(_scale, 1e-9)), power(2D, level)) AS BIGINT) + 1"
+
+    def within(name: str, origin: float, reach: str) -> str:
+        low, high = f"greatest(0L, {tile(name, origin)} - ({reach}))", f"least({last}, {tile(name, origin)} + ({reach}))"
+        return f"CASE WHEN _all THEN array(0L) WHEN {low} <= {high} THEN sequence({low}, {high}) ELSE array() END"
+
+    around = (sized.withColumn("tx", F.explode(F.expr(within("_x", x0, wide))))
+              .withColumn("ty", F.explode(F.expr(within("_y", y0, str(math.ceil(REACH))))))
+              .withColumn("_far", F.when(~F.col("_all"), REACH * F.expr(size))).drop("_fx", "_fy", "_all"))
     pairs = _without_self(around.join(leveled, ["level", "tx", "ty"]), exclude_self)
     dx = (F.col("_sx") - F.col("_x")) * F.col("_scale")
     dy = F.col("_sy") - F.col("_y")
     pairs = pairs.withColumn("d", F.sqrt(dx * dx + dy * dy))
     # k stations lie within that reach for certain: what is farther cannot be among the nearest
-    pairs = pairs.filter(F.col("_far").isNull() | (F.col("d") <= F.col("_far")))
+    pairs = pairs.filter(F.col("_far").isNull() | (F.col("d") <= F.col("_far") * (1 + 1e-9)))
     nearest = Window.partitionBy(*target_keys).orderBy("d", station)
     return (pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
             .select(*target_keys, station, "d", "rank"))
@@ -101,15 +133,21 @@ def knn(targets: DataFrame, stations: DataFrame, k: int, target_keys: Sequence[s
 def within_radius(targets: DataFrame, stations: DataFrame, radius: float,
                   target_keys: Sequence[str] = ("iy", "ix"), station: str = "station",
                   x: str = "x", y: str = "y",
-                  exclude_self: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """``(target_keys, station, d)`` of every pair at most ``radius`` apart (tiles of that size)."""
+                  exclude_self: Sequence[tuple[str, str]] = (), parts: int = 4) -> DataFrame:
+    """``(target_keys, station, d)`` of every pair at most ``radius`` apart.
+
+    Tiles are ``radius / parts`` wide and each station is dealt to all tiles it reaches, so that the
+    targets of one tile are few and stay where they are.
+    """
+    edge = float(radius) / parts
     st = stations.select(F.col(station), F.col(x).alias("_sx"), F.col(y).alias("_sy"),
                          *[F.col(b).alias("_s_" + b) for _, b in exclude_self])
-    st = st.withColumns({"tx": _tile(F.col("_sx"), radius), "ty": _tile(F.col("_sy"), radius)})
+    reach = parts + 1                       # one more, so that rounding of tiles cannot lose a pair
+    st = spread(st).select("*", F.explode(_block(_tile_text("_sx", edge), _tile_text("_sy", edge), reach, reach)).alias("_t")
+                           ).select("*", "_t.tx", "_t.ty").drop("_t")
     tg = targets.select(*target_keys, *[F.col(a).alias("_t_" + a) for a, _ in exclude_self],
-                        F.col(x).alias("_x"), F.col(y).alias("_y"))
-    tg = spread(tg).select("*", F.explode(_block(_tile_text("_x", float(radius)), _tile_text("_y", float(radius)), 1, 1))
-                           .alias("_t")).select("*", "_t.tx", "_t.ty")
+                        F.col(x).alias("_x"), F.col(y).alias("_y")).withColumns(
+        {"tx": F.expr(_tile_text("_x", edge)), "ty": F.expr(_tile_text("_y", edge))})
     dx, dy = F.col("_sx") - F.col("_x"), F.col("_sy") - F.col("_y")
     pairs = tg.join(st, ["tx", "ty"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).filter(F.col("d") <= radius)
     pairs = _without_self(pairs, exclude_self)
@@ -124,7 +162,7 @@ def rank_neighbours(pairs: DataFrame, k: int, target_keys: Sequence[str] = ("iy"
 
 
 def nearest_distance(targets: DataFrame, points: DataFrame, target_keys: Sequence[str] = ("iy", "ix"),
-                     point: str = "vertex", x: str = "x", y: str = "y", tile: float = 8.0) -> DataFrame:
+                     point: str = "vertex", x: str = "x", y: str = "y") -> DataFrame:
     """Distance to the nearest of many points (coast vertices) per target."""
-    return (knn(targets, points, 1, target_keys, point, x, y, tile)
+    return (knn(targets, points, 1, target_keys, point, x, y)
             .select(*target_keys, F.col("d").alias("dist_oceano")))

@@ -28,17 +28,40 @@ STATIC = (*RELIEF, "dist_oceano", *FRACTIONS, "z_alvo", "coord_x", "coord_y")
 TIME = ("hora_sin", "hora_cos", "doy_sin", "doy_cos")
 MEMORY = tuple(f"{d}_{h}h" for d in ("dt2m", "d2t2m") for h in (1, 2, 3))
 FEATURES_57 = (*DYNAMIC, *CELL_DYNAMIC, *STATIC, *TIME, *MEMORY)
-FEATURES_55 = tuple(f for f in FEATURES_57 if f not in ("fracao_t2", "z_era5_orog"))
-FEATURES_53 = tuple(f for f in FEATURES_55 if f not in ("ssr", "str"))
-# the pruned sets leave out collinear columns of the 53-set
-_PRUNED = ("t2m_1km", *MEMORY, "dev_r1000_mean_1km", "dev_r3000_p10_1km", "dev_r300_mean_1km", "hand_p10_1km",
-           "slope_max_1km", "slope_mean_1km", "svf_mean_1km", "svf_p10_1km", "tri_max_1km", "tri_std_1km",
-           "umidade_relativa", "z_std_1km", "coord_x")
-FEATURES_33 = tuple(f for f in FEATURES_53 if f not in _PRUNED)
-FEATURES_28 = tuple(f for f in FEATURES_33 if f not in (*TIME, "coord_y"))
+# The published subsets, each in full.
+FEATURES_55 = (
+    "t2m_1km", "lapse", "u10", "v10", "vel_vento", "sp", "dep_orvalho", "umidade_relativa", "dt_ar_pele", "dt_ar_solo",
+    "rad_liquida", "razao_bowen", "ssr", "str", "delta_z", "slope_mean_1km", "slope_max_1km", "tri_mean_1km", "tri_std_1km",
+    "tri_max_1km", "z_std_1km", "northness_mean_1km", "eastness_mean_1km", "svf_mean_1km", "svf_p10_1km", "mrvbf_p90_1km",
+    "hand_mean_1km", "hand_p10_1km", "dev_r300_mean_1km", "dev_r300_p10_1km", "dev_r1000_mean_1km", "dev_r1000_p10_1km",
+    "dev_r3000_mean_1km", "dev_r3000_p10_1km", "dist_oceano", "fracao_t1", "fracao_t3", "fracao_t4", "fracao_t5", "fracao_t6",
+    "fracao_t7", "fracao_t8", "z_alvo", "coord_x", "coord_y", "hora_sin", "hora_cos", "doy_sin", "doy_cos", "dt2m_1h",
+    "dt2m_2h", "dt2m_3h", "d2t2m_1h", "d2t2m_2h", "d2t2m_3h",
+)
+FEATURES_53 = (
+    "t2m_1km", "lapse", "u10", "v10", "vel_vento", "sp", "dep_orvalho", "umidade_relativa", "dt_ar_pele", "dt_ar_solo",
+    "rad_liquida", "razao_bowen", "delta_z", "slope_mean_1km", "slope_max_1km", "tri_mean_1km", "tri_std_1km", "tri_max_1km",
+    "z_std_1km", "northness_mean_1km", "eastness_mean_1km", "svf_mean_1km", "svf_p10_1km", "mrvbf_p90_1km", "hand_mean_1km",
+    "hand_p10_1km", "dev_r300_mean_1km", "dev_r300_p10_1km", "dev_r1000_mean_1km", "dev_r1000_p10_1km", "dev_r3000_mean_1km",
+    "dev_r3000_p10_1km", "dist_oceano", "fracao_t1", "fracao_t3", "fracao_t4", "fracao_t5", "fracao_t6", "fracao_t7",
+    "fracao_t8", "z_alvo", "coord_x", "coord_y", "hora_sin", "hora_cos", "doy_sin", "doy_cos", "dt2m_1h", "dt2m_2h",
+    "dt2m_3h", "d2t2m_1h", "d2t2m_2h", "d2t2m_3h",
+)
+FEATURES_33 = (
+    "lapse", "u10", "v10", "vel_vento", "sp", "dep_orvalho", "dt_ar_pele", "dt_ar_solo", "rad_liquida", "razao_bowen",
+    "delta_z", "tri_mean_1km", "northness_mean_1km", "eastness_mean_1km", "mrvbf_p90_1km", "hand_mean_1km",
+    "dev_r300_p10_1km", "dev_r1000_p10_1km", "dev_r3000_mean_1km", "dist_oceano", "fracao_t1", "fracao_t3", "fracao_t4",
+    "fracao_t5", "fracao_t6", "fracao_t7", "fracao_t8", "z_alvo", "coord_y", "hora_sin", "hora_cos", "doy_sin", "doy_cos",
+)
+FEATURES_28 = (
+    "lapse", "u10", "v10", "vel_vento", "sp", "dep_orvalho", "dt_ar_pele", "dt_ar_solo", "rad_liquida", "razao_bowen",
+    "delta_z", "tri_mean_1km", "northness_mean_1km", "eastness_mean_1km", "mrvbf_p90_1km", "hand_mean_1km",
+    "dev_r300_p10_1km", "dev_r1000_p10_1km", "dev_r3000_mean_1km", "dist_oceano", "fracao_t1", "fracao_t3", "fracao_t4",
+    "fracao_t5", "fracao_t6", "fracao_t7", "fracao_t8", "z_alvo",
+)
 SETS = {"28": FEATURES_28, "33": FEATURES_33, "53": FEATURES_53, "55": FEATURES_55, "57": FEATURES_57}
 
-# raw coarse variables behind each dynamic feature
+# Raw coarse variables behind each dynamic feature.
 RAW_NEEDS = {
     "t2m_1km": ("t2m",), "lapse": ("t2m",), "u10": ("u10",), "v10": ("v10",), "vel_vento": ("u10", "v10"),
     "sp": ("sp",), "dep_orvalho": ("t2m", "d2m"), "umidade_relativa": ("t2m", "d2m"),
@@ -100,7 +123,7 @@ def derive(raw: DataFrame, features: Sequence[str] = DYNAMIC, lapse_rate: float
 
 def dynamic_features(coarse: DataFrame, cells: DataFrame, features: Sequence[str] = DYNAMIC,
                      lapse_rate: float = P.DRY_LAPSE, ocean: str = "nearest",
-                     reset: str = "month", mask_variable: str = "t2m") -> DataFrame:
+                     reset: str = "month") -> DataFrame:
     """Hourly features at the cells: de-accumulate, interpolate, derive.
 
     ``cells``: ``iy, ix, lat, lon, z_alvo, z_era5_orog``. Only the raw variables the features need are
@@ -111,7 +134,7 @@ def dynamic_features(coarse: DataFrame, cells: DataFrame, features: Sequence[str
     base = coarse.select("ts", "lat_i", "lon_i", "lat", "lon", *need)
     if flux:
         base = deaccumulate(base, flux, ("lat_i", "lon_i"), "ts", reset)
-    raw = bilinear(base, cells, need, ("iy", "ix"), ocean, mask_variable)
+    raw = bilinear(base, cells, need, ("iy", "ix"), ocean)
     heights = cells.select("iy", "ix", "z_era5_orog", P.delta_z("z_alvo", "z_era5_orog").alias("delta_z"))
     wide = raw.join(heights, ["iy", "ix"])
     extra = [c for c in CELL_DYNAMIC if c in features] or list(CELL_DYNAMIC)
