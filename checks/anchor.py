@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from checks.base import CELL_SQL, OBS_SQL, STATION_SQL, cells, check, net, obs, oof, OOF_SQL, r6, rounded, table
 from finescale.operators import anchoring as A
 from finescale.operators.grid import expand_hours
+from finescale.operators.skill import temperature_band
 
 # increments: residual of each usable observation to its network-hour mean, per station and day
 INC_SQL = OBS_SQL + "," + STATION_SQL + "," + CELL_SQL + """,
-  inc AS (SELECT station, CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 HOUR * (station % 3) AS ts, avg(value) - 40 AS inc
+  inc AS (SELECT station, CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 HOUR * (station % 3) AS ts,
+                 CASE WHEN station % 11 <> 5 THEN avg(value) - 40 END AS inc
           FROM obs WHERE event_type <> 'error' GROUP BY station, 2),
   hours AS (SELECT DISTINCT ts FROM inc),
   field AS (SELECT c.iy, c.ix, h.ts, CAST(20 + c.iy / 10.0 AS DOUBLE) AS t FROM cells c CROSS JOIN hours h),
@@ -19,10 +21,11 @@ INC_SQL = OBS_SQL + "," + STATION_SQL + "," + CELL_SQL + """,
   near AS (SELECT *, row_number() OVER (PARTITION BY iy, ix ORDER BY d, station) AS rk FROM pairs)"""
 
 
-def _inc(spark, d):
+def _inc(spark, d, hours=3):
     o = obs(spark, d).filter("event_type <> 'error'")
-    ts = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("station") % 3).cast("int"))
-    return o.groupBy("station", ts.alias("ts")).agg((F.avg("value") - 40).alias("inc"))
+    ts = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("station") % hours).cast("int"))
+    present = F.when(F.col("station") % 11 != 5, F.avg("value") - 40)            # some stations report nothing
+    return o.groupBy("station", ts.alias("ts")).agg(present.alias("inc"))
 
 
 def _field(spark, d):
@@ -33,8 +36,8 @@ def _field(spark, d):
 def _anchored_sql(weight, where, lz=""):
     return f"""WITH {INC_SQL}{lz},
   w AS (SELECT * FROM (SELECT *, {weight} AS w FROM near) WHERE {where}),
-  corr AS (SELECT w.iy, w.ix, i.ts, -sum(w.w * i.inc) / NULLIF(sum(w.w), 0) AS corr FROM w JOIN inc i ON i.station = w.station
-           GROUP BY 1, 2, 3)
+  corr AS (SELECT w.iy, w.ix, i.ts, -sum(w.w * i.inc) / NULLIF(sum(w.w), 0) AS corr
+           FROM w JOIN inc i ON i.station = w.station AND i.inc IS NOT NULL GROUP BY 1, 2, 3)
   SELECT f.iy, f.ix, f.ts, {r6('f.t + COALESCE(c.corr, 0)')} AS "T_final", {r6('f.t')} AS "T_final_bc", {r6('COALESCE(c.corr, 0)')} AS "T_final_oi"
   FROM field f LEFT JOIN corr c ON c.iy = f.iy AND c.ix = f.ix AND c.ts = f.ts"""
 
@@ -61,7 +64,17 @@ def anchor_radius(spark, d):
 
 @check("gauss_anchor", _anchored_sql("exp(-pow(d / 6, 2)) * exp(-pow(dz / 800, 2))", "w > 0"))
 def gauss_anchor(spark, d):
-    return rounded(A.anchor_gauss(_field(spark, d), cells(spark, d), net(spark, d), _inc(spark, d), length_km=6, lz_m=800))
+    return _anchor(spark, d, method="gauss", length_km=6, lz_m=800)
+
+
+@check("gauss_anchor_long", _anchored_sql("exp(-pow(d / 50, 2))", "w > 0"))
+def gauss_anchor_long(spark, d):
+    return _anchor(spark, d, method="gauss", length_km=50)
+
+
+@check("gauss_anchor_radius", _anchored_sql("exp(-pow(d / 50, 2)) * exp(-pow(dz / 500, 2))", "w > 0 AND d <= 30"))
+def gauss_anchor_radius(spark, d):
+    return _anchor(spark, d, method="gauss", length_km=50, lz_m=500, radius_km=30)
 
 
 @check("gauss_anchor_all_pairs", _anchored_sql("exp(-pow(d / 4, 2))", "w > 0"))
@@ -73,7 +86,7 @@ def gauss_anchor_all_pairs(spark, d):
   lz AS (SELECT h AS hora, CASE WHEN h % 3 = 0 THEN 0 ELSE 100.0 * h END AS lz FROM (SELECT DISTINCT hour(ts) AS h FROM events)),
   corr AS (SELECT n.iy, n.ix, i.ts, -sum(i.inc / greatest(d, 1e-6) * CASE WHEN lz > 0 THEN exp(-pow(dz / lz, 2)) ELSE 1 END)
              / NULLIF(sum(1 / greatest(d, 1e-6) * CASE WHEN lz > 0 THEN exp(-pow(dz / lz, 2)) ELSE 1 END), 0) AS corr
-           FROM near n JOIN inc i ON i.station = n.station JOIN lz ON lz.hora = hour(i.ts) WHERE rk <= 20 GROUP BY 1, 2, 3)
+           FROM near n JOIN inc i ON i.station = n.station AND i.inc IS NOT NULL JOIN lz ON lz.hora = hour(i.ts) WHERE rk <= 20 GROUP BY 1, 2, 3)
   SELECT f.iy, f.ix, f.ts, {r6('f.t + COALESCE(c.corr, 0)')} AS "T_final", {r6('f.t')} AS "T_final_bc", {r6('COALESCE(c.corr, 0)')} AS "T_final_oi"
   FROM field f LEFT JOIN corr c ON c.iy = f.iy AND c.ix = f.ix AND c.ts = f.ts""")
 def anchor_hourly_lz(spark, d):
@@ -90,7 +103,7 @@ def increments(spark, d):
     return rounded(A.increments(oof(spark, d)).select("iy", "ix", "ts", "inc"))
 
 
-@check("hours_covered", f"""WITH {INC_SQL} SELECT count(DISTINCT ts) AS hours_with_obs, count(DISTINCT station) AS stations FROM inc""")
+@check("hours_covered", f"""WITH {INC_SQL} SELECT count(DISTINCT ts) AS hours_with_obs, count(DISTINCT station) AS stations FROM inc WHERE inc IS NOT NULL""")
 def hours_covered(spark, d):
     return A.hours_covered(_inc(spark, d))
 
@@ -131,23 +144,24 @@ def weighted_mean_array(spark, d):
 
 # --- rule choice ---------------------------------------------------------------------------------------
 
-RULES = [{"method": "idw", "k": 20, "power": 1.0, "lz": 0}, {"method": "idw", "k": 5, "power": 2.0, "lz": 0},
-         {"method": "idw", "k": 10, "power": 1.0, "lz": 500}, {"method": "gauss", "length": 4, "lz": 0},
-         {"method": "gauss", "length": 6, "lz": 300}]
-LZ_RULES = [{"method": "idw", "k": 20, "power": 1.0, "lz": z} for z in (0.0, 200.0, 500.0)]
+RULES = A.rules_of(**A.PUBLISHED)
+REFERENCE = next(i for i, r in enumerate(RULES) if (r["k"], r["power"], r["lz"]) == (20, 1.0, 0.0))
+TALL = next(i for i, r in enumerate(RULES) if (r["k"], r["power"], r["lz"]) == (20, 1.0, 500.0))
+LZ_RULES = A.rules_of(ks=[20], powers=[1], lzs=A.PUBLISHED["lzs"])
+SHORT = A.rules_of(ks=[5, 20], powers=[1, 2], lengths=[4, 50], lzs=[0, 300])
 
 
 def _w(rule):
     w = (f"CASE WHEN rk <= {rule['k']} THEN 1 / pow(greatest(d, 1e-6), {rule['power']}) END" if rule["method"] == "idw"
          else f"exp(-pow(d / {rule['length']}, 2))")
-    return f"({w}) * exp(-pow(dz / {rule['lz']}.0, 2))" if rule["lz"] else f"({w})"
+    return f"({w}) * exp(-pow(dz / {rule['lz']}, 2))" if rule["lz"] else f"({w})"
 
 
-def _loo_sql(rules):
-    hats = ", ".join(f"sum({_w(r)} * j.inc) / NULLIF(sum({_w(r)}) FILTER (j.inc IS NOT NULL), 0) AS h{i}" for i, r in enumerate(rules)).replace(".0.0", ".0")
-    return INC_SQL + f""",
+def _loo_sql(rules, hours=3):
+    hats = ", ".join(f"sum({_w(r)} * j.inc) / NULLIF(sum({_w(r)}) FILTER (j.inc IS NOT NULL), 0) AS h{i}" for i, r in enumerate(rules))
+    return INC_SQL.replace("(station % 3)", f"(station % {hours})") + f""",
   sp AS (SELECT a.station, b.station AS other, sqrt((a.x_km - b.x_km) * (a.x_km - b.x_km) + (a.y_km - b.y_km) * (a.y_km - b.y_km)) AS d,
-                abs(a.z_m - b.z_m) AS dz FROM net a JOIN net b ON a.station <> b.station),
+                COALESCE(abs(a.z_m - b.z_m), 0) AS dz FROM net a JOIN net b ON a.station <> b.station),
   sr AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY d, other) AS rk FROM sp),
   hat AS (SELECT i.station, i.ts, any_value(i.inc) AS inc, -any_value(i.inc) * 1.3 AS y, {hats}
           FROM inc i JOIN sr ON sr.station = i.station LEFT JOIN inc j ON j.station = sr.other AND j.ts = i.ts
@@ -155,53 +169,61 @@ def _loo_sql(rules):
   loo AS (SELECT station, ts, inc, y, {', '.join(f'COALESCE(h{i}, 0) AS hat_{i}' for i in range(len(rules)))} FROM hat)"""
 
 
-def _loo(spark, d, rules):
-    inc = _inc(spark, d).withColumn("y_residuo", -F.col("inc") * 1.3)
+def _loo(spark, d, rules, hours=3):
+    inc = _inc(spark, d, hours).withColumn("y_residuo", -F.col("inc") * 1.3)
     return A.loo_anchor(inc, net(spark, d), rules)
 
 
-@check("loo_anchor_rules", f"""WITH {_loo_sql(RULES)}
-  SELECT station, ts, {r6('inc')} AS inc, {', '.join(f"{r6(f'hat_{i}')} AS hat_{i}" for i in range(5))} FROM loo""")
+@check("loo_anchor_rules", f"""WITH {_loo_sql(SHORT)}
+  SELECT station, ts, {r6('inc')} AS inc, {', '.join(f"{r6(f'hat_{i}')} AS hat_{i}" for i in range(len(SHORT)))} FROM loo""")
 def loo_anchor_rules(spark, d):
-    return rounded(_loo(spark, d, RULES).drop("y_residuo"))
+    return rounded(_loo(spark, d, SHORT).select("station", "ts", "inc", *[F.col("hats")[i].alias(f"hat_{i}") for i in range(len(SHORT))]))
+
+
+def _rule_row(i, rule):
+    e = f"(inc - hat_{i})" if rule else "inc"
+    own = rule or {"method": "none", "k": None, "power": None, "length": None, "lz": None}
+    names = ", ".join(f"CAST({'NULL' if own[n] is None else own[n]} AS {t}) AS {n}" for n, t in
+                      (("k", "INTEGER"), ("power", "DOUBLE"), ("length", "DOUBLE"), ("lz", "DOUBLE")))
+    return (f"SELECT CAST({i} AS INTEGER) AS rule, '{own['method']}' AS method, {names}, count(*) AS n, {r6(f'sqrt(avg({e} * {e}))', 5)} AS rmse, "
+            f"{r6(f'avg(abs({e}))', 5)} AS mae, {r6(f'avg({e})', 5)} AS me, {r6(f'1 - sqrt(avg({e} * {e})) / sqrt(avg(y * y))', 5)} AS ss "
+            "FROM loo WHERE inc IS NOT NULL")
 
 
-def _rule_row(i, rule, by=""):
-    e = f"(inc - hat_{i})"
-    return (f"SELECT {by} CAST({i} AS INTEGER) AS rule, '{A.rule_label(rule)}' AS rotulo, count(*) AS n, {r6(f'sqrt(avg({e} * {e}))', 5)} AS rmse, "
-            f"{r6(f'avg(abs({e}))', 5)} AS mae, {r6(f'avg({e})', 5)} AS me, {r6(f'1 - sqrt(avg({e} * {e})) / sqrt(avg(y * y))', 5)} AS ss FROM loo")
+def _table_sql(rules):
+    return " UNION ALL ".join(_rule_row(i, r) for i, r in [(-1, None), *enumerate(rules)])
 
 
-@check("anchor_rule_table", f"WITH {_loo_sql(RULES)} " + " UNION ALL ".join(_rule_row(i, r) for i, r in enumerate(RULES)))
+@check("anchor_rule_table", f"WITH {_loo_sql(RULES)} {_table_sql(RULES)}")
 def anchor_rule_table(spark, d):
-    return rounded(A.rule_errors(_loo(spark, d, RULES), RULES), 5)
+    return rounded(A.tune_anchor(_inc(spark, d).withColumn("y_residuo", -F.col("inc") * 1.3), net(spark, d), RULES), 5)
 
 
-@check("rank_rules", f"""WITH {_loo_sql(RULES)},
-  t AS ({' UNION ALL '.join(_rule_row(i, r) for i, r in enumerate(RULES))})
-  SELECT (SELECT rotulo FROM t WHERE rule <> 0 ORDER BY rmse, rule LIMIT 1) AS winner, min(rmse) FILTER (rule <> 0) AS rmse_win,
-         max(rmse) FILTER (rule = 0) AS rmse_ref, (SELECT rotulo FROM t ORDER BY rmse, rule LIMIT 1) AS best_overall FROM t""")
+@check("rank_rules", f"""WITH {_loo_sql(RULES)}, t AS ({_table_sql(RULES)})
+  SELECT (SELECT rule FROM t WHERE rule NOT IN (-1, {REFERENCE}) ORDER BY rmse, rule LIMIT 1) AS winner,
+         min(rmse) FILTER (rule NOT IN (-1, {REFERENCE})) AS rmse_win, max(rmse) FILTER (rule = {REFERENCE}) AS rmse_ref,
+         (SELECT rule FROM t WHERE rule >= 0 ORDER BY rmse, rule LIMIT 1) AS best_overall FROM t""")
 def rank_rules(spark, d):
-    report = rounded(A.rule_errors(_loo(spark, d, RULES), RULES), 5)
-    return A.rank_rules(report, A.rule_label(RULES[0]))
+    return A.rank_rules(rounded(A.rule_errors(_loo(spark, d, RULES), RULES), 5), REFERENCE)
 
 
-@check("compare_rules", f"""WITH {_loo_sql(RULES)}
-  SELECT hour(ts) AS hora, count(*) AS n, {r6('sqrt(avg(pow(inc - hat_0, 2)))', 5)} AS rmse_a, {r6('sqrt(avg(pow(inc - hat_2, 2)))', 5)} AS rmse_b,
+@check("compare_rules", f"""WITH {_loo_sql([RULES[REFERENCE], RULES[TALL]])},
+  q AS (SELECT quantile_cont(-y, 0.1) AS p10, quantile_cont(-y, 0.9) AS p90 FROM loo)
+  SELECT CASE WHEN y IS NULL THEN 'sem_obs' WHEN -y <= p10 THEN 'frio<=p10' WHEN -y > p90 THEN 'quente>p90' ELSE 'meio' END AS faixa,
+         hour(ts) AS hora, count(inc) AS n, {r6('sqrt(avg(pow(inc - hat_0, 2)))', 5)} AS rmse_a, {r6('sqrt(avg(pow(inc - hat_1, 2)))', 5)} AS rmse_b,
          {r6('1 - sqrt(avg(pow(inc - hat_0, 2))) / sqrt(avg(y * y))', 5)} AS ss_a,
-         {r6('1 - sqrt(avg(pow(inc - hat_2, 2))) / sqrt(avg(y * y))', 5)} AS ss_b,
-         {r6('(sqrt(avg(pow(inc - hat_0, 2))) - sqrt(avg(pow(inc - hat_2, 2)))) / sqrt(avg(y * y))', 5)} AS d_ss
-  FROM loo GROUP BY 1""")
+         {r6('1 - sqrt(avg(pow(inc - hat_1, 2))) / sqrt(avg(y * y))', 5)} AS ss_b,
+         {r6('(sqrt(avg(pow(inc - hat_0, 2))) - sqrt(avg(pow(inc - hat_1, 2)))) / sqrt(avg(y * y))', 5)} AS d_ss
+  FROM loo, q GROUP BY 1, 2""")
 def compare_rules(spark, d):
-    loo = _loo(spark, d, RULES).withColumn("hora", F.hour("ts").cast("bigint"))
-    return rounded(A.compare_rules(loo, 0, 2, ["hora"]), 5)
+    loo = _loo(spark, d, [RULES[REFERENCE], RULES[TALL]]).withColumn("hora", F.hour("ts").cast("bigint"))
+    loo = temperature_band(loo.withColumn("t", -F.col("y_residuo")), "t", missing="sem_obs")
+    return rounded(A.compare_rules(loo, 0, 1, ["faixa", "hora"]), 5)
 
 
-@check("lz_by_hour", f"""WITH {_loo_sql(LZ_RULES)},
-  m AS (SELECT hour(ts) AS hora, 0.0 AS z, avg(pow(inc - hat_0, 2)) AS m FROM loo GROUP BY 1
-        UNION ALL SELECT hour(ts), 200.0, avg(pow(inc - hat_1, 2)) FROM loo GROUP BY 1
-        UNION ALL SELECT hour(ts), 500.0, avg(pow(inc - hat_2, 2)) FROM loo GROUP BY 1)
-  SELECT hora, CAST(z AS DOUBLE) AS lz_m FROM m QUALIFY row_number() OVER (PARTITION BY hora ORDER BY m, z) = 1""")
+@check("lz_by_hour", f"""WITH {_loo_sql(LZ_RULES, 24)},
+  m AS ({' UNION ALL '.join(f"SELECT hour(ts) AS hora, {r['lz']} AS z, avg(pow(inc - hat_{i}, 2)) AS m FROM loo GROUP BY 1" for i, r in enumerate(LZ_RULES))})
+  SELECT hora, CAST(z AS DOUBLE) AS lz_m FROM m WHERE m IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hora ORDER BY round(m, 9), z) = 1""")
 def lz_by_hour(spark, d):
-    out = A.lz_by_hour(_loo(spark, d, LZ_RULES), [r["lz"] for r in LZ_RULES])
+    out = A.lz_by_hour(_loo(spark, d, LZ_RULES, 24), [r["lz"] for r in LZ_RULES])
     return out.withColumn("hora", F.col("hora").cast("bigint"))

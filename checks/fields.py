@@ -15,25 +15,32 @@ from finescale.plans.matrix import build_matrix
 from finescale.sources.writers import field_columns
 
 # stencil and fallback spelled out with plain joins
-BILINEAR_SQL = COARSE_SQL + "," + CELL_SQL + """,
+def _dry_sql(v):
+    return f"""
+  land_{v} AS (SELECT lat_i, lon_i, any_value(lat) AS lat, any_value(lon) AS lon FROM coarse WHERE {v} IS NOT NULL GROUP BY 1, 2),
+  dry_{v} AS (SELECT c.iy, c.ix, any_value(c.lat) AS lat, any_value(c.lon) AS lon FROM corner c
+          LEFT JOIN land_{v} l ON l.lat_i = c.lat_i AND l.lon_i = c.lon_i AND c.w > 0 GROUP BY 1, 2 HAVING count(l.lat_i) = 0),
+  near_{v} AS (SELECT d.iy, d.ix, l.lat_i, l.lon_i FROM dry_{v} d CROSS JOIN land_{v} l
+           QUALIFY row_number() OVER (PARTITION BY d.iy, d.ix ORDER BY sqrt(pow((l.lon - d.lon) * cos(radians(d.lat)), 2)
+                   + pow(l.lat - d.lat, 2)), l.lat_i, l.lon_i) = 1),"""
+
+
+BILINEAR_SQL = COARSE_SQL + "," + CELL_SQL + f""",
   ax AS (SELECT max(lat_i) AS i1, max(lon_i) AS j1 FROM coarse),
-  st AS (SELECT iy, ix, lat, lon, least(floor(lat), i1 - 1) AS bi, least(floor(lon), j1 - 1) AS bj FROM cells, ax
-         WHERE lat BETWEEN 0 AND i1 AND lon BETWEEN 0 AND j1),
+  st AS (SELECT iy, ix, lat, lon, least(greatest(floor(lat), 0), i1 - 1) AS bi, least(greatest(floor(lon), 0), j1 - 1) AS bj,
+                lat BETWEEN 0 AND i1 AND lon BETWEEN 0 AND j1 AS inside FROM cells, ax),
   corner AS (SELECT iy, ix, lat, lon, bi + di AS lat_i, bj + dj AS lon_i,
-                    (CASE WHEN di = 1 THEN lat - bi ELSE 1 - (lat - bi) END) * (CASE WHEN dj = 1 THEN lon - bj ELSE 1 - (lon - bj) END) AS w
-             FROM st CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS c(di, dj)),
-  land AS (SELECT lat_i, lon_i, any_value(lat) AS lat, any_value(lon) AS lon FROM coarse WHERE t2m IS NOT NULL GROUP BY 1, 2),
-  dry AS (SELECT c.iy, c.ix, any_value(c.lat) AS lat, any_value(c.lon) AS lon FROM corner c
-          LEFT JOIN land l ON l.lat_i = c.lat_i AND l.lon_i = c.lon_i AND c.w > 0 GROUP BY 1, 2 HAVING count(l.lat_i) = 0),
-  near AS (SELECT d.iy, d.ix, l.lat_i, l.lon_i FROM dry d CROSS JOIN land l
-           QUALIFY row_number() OVER (PARTITION BY d.iy, d.ix ORDER BY sqrt(pow((l.lon - d.lon) * greatest(cos(radians(d.lat)), 0.25), 2)
-                   + pow(l.lat - d.lat, 2)), l.lat_i, l.lon_i) = 1),
-  fine AS (
+                    CASE WHEN inside THEN (CASE WHEN di = 1 THEN lat - bi ELSE 1 - (lat - bi) END)
+                                          * (CASE WHEN dj = 1 THEN lon - bj ELSE 1 - (lon - bj) END) ELSE 0 END AS w
+             FROM st CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS c(di, dj)),{_dry_sql('t2m')}{_dry_sql('d2m')}
+  blended AS (
     SELECT c.iy, c.ix, k.ts, sum(c.w * k.t2m) / NULLIF(sum(CASE WHEN k.t2m IS NOT NULL THEN c.w END), 0) AS t2m,
            sum(c.w * k.d2m) / NULLIF(sum(CASE WHEN k.d2m IS NOT NULL THEN c.w END), 0) AS d2m
-    FROM corner c JOIN coarse k ON k.lat_i = c.lat_i AND k.lon_i = c.lon_i
-    WHERE (c.iy, c.ix) NOT IN (SELECT (iy, ix) FROM dry) GROUP BY 1, 2, 3
-    UNION ALL SELECT n.iy, n.ix, k.ts, k.t2m, k.d2m FROM near n JOIN coarse k ON k.lat_i = n.lat_i AND k.lon_i = n.lon_i)"""
+    FROM corner c JOIN coarse k ON k.lat_i = c.lat_i AND k.lon_i = c.lon_i GROUP BY 1, 2, 3),
+  fine AS (SELECT iy, ix, ts, max(t2m) AS t2m, max(d2m) AS d2m FROM (
+    SELECT * FROM blended
+    UNION ALL SELECT n.iy, n.ix, k.ts, k.t2m, NULL FROM near_t2m n JOIN coarse k ON k.lat_i = n.lat_i AND k.lon_i = n.lon_i
+    UNION ALL SELECT n.iy, n.ix, k.ts, NULL, k.d2m FROM near_d2m n JOIN coarse k ON k.lat_i = n.lat_i AND k.lon_i = n.lon_i) GROUP BY 1, 2, 3)"""
 
 
 def _fine(spark, d, ocean="nearest"):
@@ -47,9 +54,9 @@ def bilinear_fill(spark, d):
 
 
 @check("bilinear_ocean_missing", f"""WITH {BILINEAR_SQL}
-  SELECT f.iy, f.ix, f.ts, {r6('t2m', 5)} AS t2m FROM fine f WHERE t2m IS NOT NULL AND (f.iy, f.ix) NOT IN (SELECT (iy, ix) FROM dry)""")
+  SELECT iy, ix, ts, {r6('t2m', 5)} AS t2m, {r6('d2m', 5)} AS d2m FROM blended""")
 def bilinear_ocean_missing(spark, d):
-    return rounded(_fine(spark, d, "nan").select("iy", "ix", "ts", "t2m").filter("t2m IS NOT NULL"), 5)
+    return rounded(_fine(spark, d, "nan"), 5)
 
 
 WANT = ["t2m_1km", "lapse", "dep_orvalho", "umidade_relativa", "z_era5_orog", "delta_z"]
@@ -137,6 +144,56 @@ def feature_matrix(spark, d):
         "hora_sin", "z_alvo", "fracao_t1"))
 
 
+# all 57 features: raw coarse variables and static layers as expressions that both sides read
+RAW = {"d2m": "t2m - 3 - iy * 0.2", "skt": "t2m + 1", "stl1": "t2m - 1.5", "u10": "t2m / 100 - iy * 0.1", "v10": "2 - t2m / 200", "sp": "90000 + t2m * 10",
+       "ssr": "t2m * 2", "str": "-t2m / 3", "sshf": "t2m - 290", "slhf": "t2m / 10 - 30"}
+LAYERS = {n: f"z_m * {i + 1} / 10" for i, n in enumerate((*FT.RELIEF, "dist_oceano", *FT.FRACTIONS))} | {"z_alvo": "z_m", "coord_x": "x_km", "coord_y": "y_km"}
+DERIVED = {"t2m_1km": "t2m", "lapse": "t2m - 0.0065 * delta_z", "u10": "u10", "v10": "v10", "vel_vento": "sqrt(u10 * u10 + v10 * v10)", "sp": "sp / 100",
+           "dep_orvalho": "t2m - d2m", "umidade_relativa": "100 * exp(17.67 * (d2m - 273.15) / (d2m - 29.65)) / exp(17.67 * (t2m - 273.15) / (t2m - 29.65))",
+           "dt_ar_pele": "t2m - skt", "dt_ar_solo": "t2m - stl1", "rad_liquida": "ssr + str", "razao_bowen": "CASE WHEN abs(slhf) >= 1 THEN sshf / slhf END",
+           "ssr": "ssr", "str": "str"}
+
+
+def _memory_sql():
+    steps = {f"dt2m_{h}h": f"a.t2m - l{h}.t2m" for h in (1, 2, 3)} | {f"d2t2m_{h}h": f"a.t2m - 2 * l{h}.t2m + l{2 * h}.t2m" for h in (1, 2, 3)}
+    joins = " ".join(f"LEFT JOIN raw l{h} ON l{h}.iy = a.iy AND l{h}.ix = a.ix AND l{h}.ts = a.ts - INTERVAL {h} HOUR" for h in (1, 2, 3, 4, 6))
+    return ", ".join(f"{e} AS {n}" for n, e in steps.items()), joins
+
+
+_SQL_57 = f"""WITH {MATRIX_SQL},
+  raw AS MATERIALIZED (SELECT iy, ix, ts, t2m_1km AS t2m FROM stack),
+  lagged AS (SELECT a.iy, a.ix, a.ts, a.t2m, {_memory_sql()[0]} FROM raw a {_memory_sql()[1]}),
+  vars AS (SELECT l.*, {', '.join(f'{e.replace("t2m", "l.t2m").replace("iy", "l.iy")} AS {n}' for n, e in RAW.items())} FROM lagged l),
+  st AS (SELECT iy, ix, z_era5_orog, z_m - z_era5_orog AS delta_z, {', '.join(f'{e} AS {n}' for n, e in LAYERS.items())} FROM cells)
+  SELECT o.iy || '_' || o.ix AS cell_id, CAST(o.ts AS TIMESTAMP) AS ts, o.n_est_cel, {r6('o.temperatura_c_qc - (t2m - 273.15)', 5)} AS y_residuo,
+         {', '.join(f'{r6(e, 5)} AS {n}' for n, e in DERIVED.items())}, z_era5_orog, delta_z, {', '.join(f'{r6(n, 5)} AS {n}' for n in LAYERS)},
+         {r6('sin(2 * pi() * hour(o.ts) / 24)', 5)} AS hora_sin, {r6('cos(2 * pi() * hour(o.ts) / 24)', 5)} AS hora_cos,
+         {r6('sin(2 * pi() * dayofyear(o.ts) / 365.25)', 5)} AS doy_sin, {r6('cos(2 * pi() * dayofyear(o.ts) / 365.25)', 5)} AS doy_cos,
+         {', '.join(f'{r6(n, 5)} AS {n}' for n in FT.MEMORY)}
+  FROM obs_cell o JOIN vars v ON v.iy = o.iy AND v.ix = o.ix AND v.ts = o.ts LEFT JOIN st ON st.iy = o.iy AND st.ix = o.ix
+  WHERE abs(o.temperatura_c_qc - (t2m - 273.15)) <= 60"""
+
+
+def _matrix_57(spark, d):
+    c = cells(spark, d)
+    raw = _stack(spark, d).withColumnRenamed("t2m_1km", "t2m").withColumns({n: F.expr(e) for n, e in RAW.items()})
+    heights = c.select("iy", "ix", "z_era5_orog", (F.col("z_m") - F.col("z_era5_orog")).alias("delta_z"))
+    dynamic = FT.derive(raw.join(heights, ["iy", "ix"], "left"), FT.DYNAMIC, keep=["iy", "ix", "ts", "z_era5_orog", "delta_z"])
+    statics = c.select("iy", "ix", *[F.expr(e).alias(n) for n, e in LAYERS.items()])
+    return build_matrix(hourly_obs(spark, d), station_cells(spark, d), dynamic, statics, outlier=60.0)
+
+
+@check("feature_matrix_57", _SQL_57)
+def feature_matrix_57(spark, d):
+    """The contract of 57 columns is on."""
+    return rounded(_matrix_57(spark, d).select("cell_id", "ts", "n_est_cel", "y_residuo", *FT.FEATURES_57), 5)
+
+
+@check("feature_set_28", f"WITH all_57 AS ({_SQL_57}) SELECT cell_id, ts, y_residuo, {', '.join(FT.FEATURES_28)} FROM all_57")
+def feature_set_28(spark, d):
+    return rounded(FT.select_features(_matrix_57(spark, d), "28", ["cell_id", "ts", "y_residuo"]), 5)
+
+
 @check("matrix_in_order", f"""WITH {MATRIX_SQL}
   SELECT cell_id, ts, {r6('y_residuo')} AS y_residuo FROM mat ORDER BY cell_id, ts""")
 def matrix_in_order(spark, d):
@@ -144,16 +201,21 @@ def matrix_in_order(spark, d):
     return rounded(order_matrix(matrix(spark, d).select("cell_id", "ts", "y_residuo")))
 
 
-@check("scoring_rows", f"""WITH {MATRIX_SQL}
-  SELECT c.iy, c.ix, h.ts, c.iy || '_' || c.ix AS cell_id, {r6('f.t2m_1km')} AS t2m_1km, {r6('f.dt2m_1h')} AS dt2m_1h,
-         CASE WHEN f.iy IS NOT NULL THEN c.z_m END AS z_alvo
-  FROM cells c CROSS JOIN (SELECT DISTINCT ts FROM by_hour WHERE hour(ts) = 6) h
-  LEFT JOIN feat f ON f.iy = c.iy AND f.ix = c.ix AND f.ts = h.ts""")
+# the coarse days in turn as hours of one day, so that lags have something to look back to
+@check("scoring_rows", f"""WITH {BILINEAR_SQL},
+  hourly AS MATERIALIZED (SELECT iy, ix, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (day(ts) - 1) AS ts, t2m AS t2m_1km FROM fine)
+  SELECT c.iy, c.ix, a.ts, c.iy || '_' || c.ix AS cell_id, {r6('a.t2m_1km', 5)} AS t2m_1km, {r6('a.t2m_1km - l1.t2m_1km', 5)} AS dt2m_1h,
+         {r6('a.t2m_1km - 2 * l3.t2m_1km + l6.t2m_1km', 5)} AS d2t2m_3h, c.z_m AS z_alvo
+  FROM cells c JOIN hourly a ON a.iy = c.iy AND a.ix = c.ix
+  LEFT JOIN hourly l1 ON l1.iy = a.iy AND l1.ix = a.ix AND l1.ts = a.ts - INTERVAL 1 HOUR
+  LEFT JOIN hourly l3 ON l3.iy = a.iy AND l3.ix = a.ix AND l3.ts = a.ts - INTERVAL 3 HOUR
+  LEFT JOIN hourly l6 ON l6.iy = a.iy AND l6.ix = a.ix AND l6.ts = a.ts - INTERVAL 6 HOUR""")
 def scoring_rows(spark, d):
-    stack = _stack(spark, d)
-    hours = stack.select("ts").filter(F.hour("ts") == 6).distinct()
-    rows = FT.scoring_rows(cells(spark, d), hours, stack, _statics(spark, d))
-    return rounded(rows.select("iy", "ix", "ts", "cell_id", "t2m_1km", "dt2m_1h", "z_alvo"))
+    ts = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(hours=F.dayofmonth("ts") - 1)
+    hourly = _fine(spark, d).select("iy", "ix", ts.alias("ts"), F.col("t2m").alias("t2m_1km"))
+    hours = coarse(spark, d).select(ts.alias("ts")).distinct()
+    rows = FT.scoring_rows(cells(spark, d), hours, hourly, _statics(spark, d))
+    return rounded(rows.select("iy", "ix", "ts", "cell_id", "t2m_1km", "dt2m_1h", "d2t2m_3h", "z_alvo"), 5, only=["t2m_1km", "dt2m_1h", "d2t2m_3h"])
 
 
 @check("increments_out_of_training", f"""WITH {MATRIX_SQL}, {STATION_SQL},

@@ -84,11 +84,11 @@ def _side_by_side(*one_row: DataFrame) -> DataFrame:
     return out
 
 
-def temperature_band(df: DataFrame, obs: str = "t_obs") -> DataFrame:
-    """``faixa`` by the p10/p90 of the observed temperature; a missing observation is ``meio``."""
+def temperature_band(df: DataFrame, obs: str = "t_obs", missing: str = "meio") -> DataFrame:
+    """``faixa`` by the p10/p90 of the observed temperature; a row without an observation is ``missing``."""
     cuts = quantiles_wide(df, obs, {"_p10": 0.1, "_p90": 0.9})
     band = (F.when(F.col(obs) <= F.col("_p10"), "frio<=p10")
-            .when(F.col(obs) > F.col("_p90"), "quente>p90").otherwise("meio"))
+            .when(F.col(obs) > F.col("_p90"), "quente>p90").when(F.col(obs).isNull(), missing).otherwise("meio"))
     return attach_row(df, cuts).withColumn("faixa", band).drop("_p10", "_p90")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -10,37 +10,38 @@ from pyspark.sql import DataFrame
 from finescale.functions.physics import cell_id, residual
 from finescale.functions.time import in_window
 from finescale.models.residual import score_grid
-from finescale.operators.anchoring import anchor, anchor_gauss, increments, neighbours, output_triple
+from finescale.operators.anchoring import anchor, increments, neighbours, output_triple, require_obs
 from finescale.operators.tables import collapse_cells, exclude_stations, match_obs, to_cells
 from finescale.plans.features import build_features
 
 
+MEMORY = timedelta(hours=6)          # what second differences over 3 hours look back
+
+
 def score_field(dynamic: DataFrame, statics: DataFrame, features: list[str], model: PipelineModel,
                 region: DataFrame | None = None, start: datetime | None = None,
                 end: datetime | None = None) -> DataFrame:
     """Baseline plus predicted residual for the cells of ``region``.
 
-    The region filter applies before the feature joins; the window applies after the memory
-    features, which need the hours before it.
+    Region and window cut the rows before the features are built; the window keeps the hours before
+    it that memory features look back to, and is cut exactly afterwards.
     """
     if region is not None:
         dynamic = dynamic.join(region.select("iy", "ix"), ["iy", "ix"], "left_semi")
+    dynamic = dynamic.filter(in_window("ts", start and start - MEMORY, end))
     rows = build_features(dynamic, statics, features=[*features, "t2m_1km"]).filter(in_window("ts", start, end))
     return score_grid(rows, features, model)
 
 
 def anchored_field(scored: DataFrame, cells: DataFrame, inc: DataFrame | None, stations: DataFrame | None = None,
                    lz_by_hour: DataFrame | None = None, **rule) -> DataFrame:
-    """Field with its output triple; without increments the correction is zero."""
+    """Field with its output triple; without increments the correction is zero. Raises when no increment is present at any hour."""
     if inc is None:
         return output_triple(scored)
     if lz_by_hour is not None:
         rule["lz_m"] = 0.0                       # the hourly table wins
-    if rule.get("method") == "gauss":
-        rule.pop("method")
-        return anchor_gauss(scored, cells, stations, inc, lz_by_hour, **rule)
-    neigh = neighbours(cells, stations, **rule)
-    return anchor(scored, neigh, inc, lz_by_hour)
+    require_obs(inc)
+    return anchor(scored, neighbours(cells, stations, **rule), inc, lz_by_hour)
 
 
 def increments_out_of_training(scored: DataFrame, obs: DataFrame, station_cell: DataFrame, start: datetime,

@@ -34,9 +34,21 @@ def test_bilinear_renormalises_and_falls_back(spark):
     assert out[1] == pytest.approx(3.0)      # all missing: nearest land node, scaled by cos(lat)
     assert out[2] == pytest.approx(2.0)      # on a node
     assert out[4] == pytest.approx(9.0)      # on the last node of both axes
-    assert 3 not in out                      # outside the axes
+    assert out[3] == pytest.approx(9.0)      # outside the axes: nearest land node
     dry = {r["ix"]: r["t2m"] for r in bilinear(coarse, cells, ["t2m"], ocean="nan").collect()}
-    assert dry[1] is None
+    assert dry[1] is None and dry[3] is None and len(dry) == 5
+
+
+def test_each_variable_has_its_own_mask(spark):
+    data = [(at(h), i, j, 10.0 - i, 20.0 + j, 1.0 + j if j < 2 else None, 5.0 + j if j > 0 else None) for h in (0, 1) for i in (0, 1) for j in range(4)]
+    coarse = spark.createDataFrame(data, COARSE + ", d2m DOUBLE")
+    cells = spark.createDataFrame([(0, 0, 9.5, 22.5), (0, 1, 9.5, 20.0), (0, 2, 50.0, 20.5)], "iy INT, ix INT, lat DOUBLE, lon DOUBLE")
+    got = {(r["ix"], r["ts"]): (r["t2m"], r["d2m"]) for r in bilinear(coarse, cells, ["t2m", "d2m"]).collect()}
+    for h in (0, 1):
+        assert got[0, at(h)] == (2.0, 7.5)                  # t2m from the last node that has it, d2m interpolated
+        assert got[1, at(h)] == (1.0, 6.0)                  # on a node without d2m: copied
+        assert got[2, at(h)] == (1.0, 6.0)                  # outside
+    assert len(got) == 6
 
 
 def test_bilinear_missing_hour_is_not_filled_from_elsewhere(spark):
@@ -48,7 +60,7 @@ def test_bilinear_missing_hour_is_not_filled_from_elsewhere(spark):
 
 def test_block_statistics(spark):
     px = spark.createDataFrame([(0, 0, 1.0), (1, 0, 3.0), (10, 10, None), (11, 0, 5.0)], "px INT, py INT, z DOUBLE")
-    stats = {s: ("z", s) for s in ("mean", "std", "max", "p10", "p90")}
+    stats = {"mean": F.avg("z"), "std": F.stddev_pop("z"), "max": F.max("z"), "p10": F.percentile("z", 0.1), "p90": F.percentile("z", 0.9)}
     out = R.block_agg(px, stats)
     assert rows(out) == [(0, 0, 2.0, 1.0, 3.0, pytest.approx(1.2), pytest.approx(2.8))]    # second block is ragged: trimmed
 
@@ -147,31 +159,45 @@ def test_hourly_scale_replaces_the_fixed_one(spark):
     assert anchor_case(spark, {"a": 2.0, "b": -1.0}, table=on) == pytest.approx(-1.533913, abs=1e-6)
 
 
-def test_array_form_equals_long_form(spark):
-    st = [("a", 1.0, 0.0, 0.0), ("b", 2.0, 3.0, 500.0), ("c", 0.5, 4.0, 80.0)]
-    stations = spark.createDataFrame(st, "station STRING, x_km DOUBLE, y_km DOUBLE, z_m DOUBLE")
-    cells = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0)], "iy INT, ix INT, x_km DOUBLE, y_km DOUBLE, z_m DOUBLE")
-    inc = spark.createDataFrame([("a", at(0), 2.0), ("b", at(0), None), ("c", at(0), -3.0), ("b", at(1), 4.0)], "station STRING, ts TIMESTAMP_NTZ, inc DOUBLE")
-    neigh = A.neighbours(cells, stations, k=3)
-    long = {r["ts"]: r["corr"] for r in A.correction(neigh, inc).collect()}
-    w = {r["station"]: r["w"] for r in neigh.collect()}
-    arr = A.pivot_increments(inc, ["a", "b", "c"]).select(
-        "ts", -A.weighted_mean_array("inc", F.array(*[F.lit(w[s]) for s in "abc"])))
-    for ts, corr in rows(arr):
-        assert corr == pytest.approx(long[ts])
-
-
-def test_gauss_in_two_steps_equals_all_pairs(spark):
-    # cells near the stations settle at once; the far ones need every station
-    cells = spark.range(40).selectExpr("CAST(id AS INT) AS iy", "0 AS ix", "id * 12D AS x_km", "0D AS y_km", "id * 40D AS z_m")
-    st = spark.range(6).selectExpr("concat('s', id) AS station", "id * 9D AS x_km", "3D AS y_km", "id * 300D AS z_m")
-    inc = spark.range(18).selectExpr("concat('s', id % 6) AS station", "TIMESTAMP_NTZ'2020-01-01' + make_dt_interval(0, CAST(id div 6 AS INT)) AS ts",
-                                     "CASE WHEN id % 5 <> 0 THEN id - 8.5D END AS inc")
-    field = cells.crossJoin(inc.select("ts").distinct()).selectExpr("iy", "ix", "ts", "15D AS T_final")
-    full = A.anchor(field, A.neighbours(cells, st, method="gauss", length_km=20.0, lz_m=400.0), inc)
-    two = A.anchor_gauss(field, cells, st, inc, length_km=20.0, lz_m=400.0)
-    a, b = rows(full, "iy", "ts"), rows(two.select(full.columns), "iy", "ts")
-    assert len(a) == len(b) == 120
-    for x, y in zip(a, b):
-        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], abs=1e-9)
-    assert any(r[5] != 0 for r in a if r[0] > 25)
+def by_hand(cells, st, inc, weight):
+    """Minus the weighted mean of the stations present, pair by pair."""
+    out = {}
+    for iy, cx, cy, cz in cells:
+        for ts in {t for _, t, _ in inc}:
+            num = den = 0.0
+            for s, x, y, z in st:
+                v = next((v for n, t, v in inc if n == s and t == ts), None)
+                if v is not None:
+                    w = weight(math.hypot(x - cx, y - cy), z - cz)
+                    num, den = num + w * v, den + w
+            out[iy, ts] = -num / den if den else 0.0
+    return out
+
+
+@pytest.mark.parametrize("rule", [dict(k=6), dict(method="gauss", length_km=20.0, lz_m=400.0), dict(method="gauss", length_km=2.0)])
+def test_array_form_equals_pair_by_pair(spark, rule):
+    cells = [(i, i * 12.0, 0.0, i * 40.0) for i in range(40)]
+    st = [(f"s{i}", i * 9.0, 3.0, i * 300.0) for i in range(6)]
+    inc = [(f"s{i % 6}", at(i // 6), i - 8.5 if i % 5 else None) for i in range(18)]
+    field = spark.createDataFrame([(c[0], 0, t, 15.0) for c in cells for t in {t for _, t, _ in inc}], "iy INT, ix INT, ts TIMESTAMP_NTZ, T_final DOUBLE")
+    grid = spark.createDataFrame([(c[0], 0, *c[1:]) for c in cells], "iy INT, ix INT, x_km DOUBLE, y_km DOUBLE, z_m DOUBLE")
+    net = spark.createDataFrame(st, "station STRING, x_km DOUBLE, y_km DOUBLE, z_m DOUBLE")
+    out = A.anchor(field, A.neighbours(grid, net, **rule), spark.createDataFrame(inc, "station STRING, ts TIMESTAMP_NTZ, inc DOUBLE"))
+    damp = lambda dz: math.exp(-(dz / 400) ** 2) if rule.get("lz_m") else 1.0
+    weight = (lambda d, dz: math.exp(-(d / rule["length_km"]) ** 2) * damp(dz)) if "method" in rule else (lambda d, dz: 1 / d)
+    want, got = by_hand(cells, st, inc, weight), rows(out, "iy", "ts")
+    assert len(got) == len(want) == 120
+    for r in out.collect():
+        assert r["T_final_oi"] == pytest.approx(want[r["iy"], r["ts"]], abs=1e-9) and r["T_final"] == r["T_final_bc"] + r["T_final_oi"]
+
+
+def test_leave_one_out_ignores_missing_increments(spark):
+    st = spark.createDataFrame([("a", 0.0, 0.0, 0.0), ("b", 1.0, 0.0, 0.0), ("c", 3.0, 0.0, 0.0)], "station STRING, x_km DOUBLE, y_km DOUBLE, z_m DOUBLE")
+    inc = spark.createDataFrame([("a", at(0), 1.0), ("b", at(0), 2.0), ("c", at(0), None)], "station STRING, ts TIMESTAMP_NTZ, inc DOUBLE")
+    rules = A.rules_of(ks=[2], powers=[1], lengths=[50])
+    got = {r["station"]: r["hats"] for r in A.loo_anchor(inc, st, rules).collect()}
+    assert got["a"] == pytest.approx([2.0, 2.0]) and got["b"] == pytest.approx([1.0, 1.0]) and got["c"][0] == pytest.approx((1 / 3 + 1) / (1 / 3 + 1 / 2))
+
+
+def test_published_rules():
+    assert len(A.rules_of(**A.PUBLISHED)) == 72
