@@ -30,7 +30,7 @@ def hot_units(df: DataFrame, keys: Sequence[str], ts: str, max_rows: int = MAX_R
     At most (all rows / max_rows) series can be listed. Only they are counted by the hour.
     """
     hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows).select(*keys)
-    busiest = (df.select(*keys, trunc(ts, "hour").alias("_hour")).join(F.broadcast(hot), list(keys), "left_semi")
+    busiest = (df.select(*keys, trunc(ts, "hour").alias("_hour")).join(hot, list(keys), "left_semi")
                .groupBy(*keys, "_hour").agg(F.count("*").alias("_n"))
                .groupBy(*keys).agg(F.max("_n").alias("_busy")))
     unit = None
@@ -45,7 +45,7 @@ def with_bucket(df: DataFrame, keys: Sequence[str], ts: str, unit: str | None =
     """Add ``_bucket``: a fixed ``unit``, or months with hot series cut as finely as they need."""
     if unit is not None:
         return df.withColumn(BUCKET, trunc(ts, unit))
-    units = F.broadcast(hot_units(df, keys, ts, max_rows))          # rows / max_rows keys at most
+    units = hot_units(df, keys, ts, max_rows)                        # rows / max_rows keys at most
     return (df.join(units, list(keys), "left")
             .withColumn(BUCKET, F.expr(f"CAST(date_trunc(coalesce(_unit, 'month'), {ts}) AS TIMESTAMP_NTZ)"))
             .drop("_unit"))

@@ -1,9 +1,7 @@
-"""Session settings the operators are tuned for, and lineage cutting."""
+"""Session settings the operators are tuned for."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings an operator may rely on; sizes are per-task targets, so they hold at any scale.
@@ -33,16 +31,3 @@ def spread(df: DataFrame) -> DataFrame:
     the rows before they multiply, which is cheap next to what follows.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the folder the cluster names (eager).
-
-    ``spark.checkpoint.dir`` is honoured when set; only a session without one (tests on a
-    single machine) gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
