@@ -446,3 +446,10 @@ def matrix_counts(spark, d):
 def outlier_cut(spark, d):
     o = obs(spark, d).select("event_id", P.to_number("md_valor").alias("value"))
     return T.cut_outliers(T.drop_missing(o, ["value"]), "value", 60.0)
+
+
+@check("outlier_counts", f"""WITH {OBS_SQL}
+  SELECT count(*) FILTER (abs(value) <= 60) AS mantidos, count(*) FILTER (abs(value) > 60) AS removidos, max(abs(value)) FILTER (abs(value) > 60) AS maior_removido
+  FROM obs WHERE event_id % 97 <> 0""")
+def outlier_counts(spark, d):
+    return T.outlier_counts(obs(spark, d).select(P.to_number("md_valor").alias("value")), "value", 60.0)

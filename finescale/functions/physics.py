@@ -34,10 +34,6 @@ def nan_to_null(col: ColumnLike) -> Column:
     return F.when(~F.isnan(_c(col)), _c(col))
 
 
-def nodata_to_null(col: ColumnLike, nodata: float = -9999.0) -> Column:
-    return F.when((_c(col) != F.lit(nodata)) & ~F.isnan(_c(col)), _c(col))
-
-
 def keep_flags(value: ColumnLike, flag: ColumnLike, flags: Sequence[int] = VALID_FLAGS) -> Column:
     """``value`` where the provider flag is whitelisted, else NULL."""
     return F.when(to_number(flag).isin([float(f) for f in flags]), _c(value))

@@ -26,10 +26,6 @@ def epoch_seconds(ts: ColumnLike) -> Column:
     return F.unix_timestamp(_c(ts).cast("timestamp"))
 
 
-def epoch_hours(ts: ColumnLike) -> Column:
-    return F.floor(epoch_seconds(ts) / 3600).cast("bigint")
-
-
 def in_window(ts: ColumnLike, start: datetime | None, end: datetime | None) -> Column:
     """Half-open ``[start, end)``; either bound may be open."""
     hit = F.lit(True)

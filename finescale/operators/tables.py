@@ -71,6 +71,13 @@ def cut_outliers(df: DataFrame, column: str = "y_residuo", limit: float = 10.0)
     return df.filter(F.abs(column) <= limit)
 
 
+def outlier_counts(df: DataFrame, column: str = "y_residuo", limit: float = 10.0) -> DataFrame:
+    """One row: how many rows the cut keeps and removes, and the largest magnitude removed."""
+    gone = F.abs(column) > limit
+    return df.filter(F.col(column).isNotNull()).agg(F.count_if(~gone).alias("mantidos"), F.count_if(gone).alias("removidos"),
+                                                    F.max(F.when(gone, F.abs(column))).alias("maior_removido"))
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[F.count_distinct(c).alias(f"n_{c}") for c in columns])
 
@@ -93,10 +100,14 @@ def dense_index(df: DataFrame, key: str, seed: int | None = None) -> DataFrame:
 
 # --- observations -----------------------------------------------------------------------------------
 
-def attach_meta(obs: DataFrame, meta: DataFrame, station: str = "station") -> DataFrame:
-    """Left join of station coordinates; duplicates of a station keep the first metadata row."""
-    order = ["_line"] if "_line" in meta.columns else [c for c in meta.columns if c != station]
-    return obs.join(keep_first(meta, [station], order).drop("_line"), station, "left")
+def attach_meta(obs: DataFrame, meta: DataFrame, station: str = "station", order: Sequence[str] = ("_line",)) -> DataFrame:
+    """Left join of station coordinates. Of a repeated station the first row by ``order`` is kept; metadata without those columns
+    must not repeat a station."""
+    if all(c in meta.columns for c in order):
+        meta = keep_first(meta, [station], list(order)).drop("_line")
+    else:
+        assert_unique(meta, [station])
+    return obs.join(meta, station, "left")
 
 
 def without_coords(obs: DataFrame, station: str = "station", lat: str = "latitude") -> DataFrame:

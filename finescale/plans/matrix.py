@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from finescale.functions.physics import residual, to_celsius
-from finescale.operators.tables import (attach_stack, collapse_cells, cut_outliers, drop_missing, to_cells)
+from finescale.operators.tables import assert_unique, attach_stack, collapse_cells, cut_outliers, drop_missing, to_cells
 from finescale.plans.features import FEATURES_57, build_features
 from finescale.sources.inventory import prune_months
 
@@ -24,13 +24,14 @@ def build_matrix(obs: DataFrame, station_cell: DataFrame, dynamic: DataFrame, st
                  expected_features: Sequence[str] | None = FEATURES_57) -> DataFrame:
     """Observations collapsed to cell-hours first, then joined; residual target, outliers cut.
 
-    ``obs``: ``station, ts`` (UTC), ``temperatura_c_qc``. The collapse runs below the stack join, so the
-    join sees one row per cell-hour. Statics and time features come from the shared builder.
+    ``obs``: ``station, ts`` (UTC), ``temperatura_c_qc``. Months are pruned and the features are built for cells
+    with stations only; statics widen the rows last. A repeated cell-hour stops the build, since it would
+    weigh twice (a check of its own over the keys of ``dynamic``).
     """
-    per_cell = collapse_cells(to_cells(obs, station_cell))
-    if months is not None:
-        per_cell = prune_months(per_cell, months)
-    features = build_features(dynamic, statics, month_local)
+    per_cell = collapse_cells(to_cells(prune_months(obs, months) if months is not None else obs, station_cell))
+    used = station_cell.select("iy", "ix").distinct()
+    dynamic = assert_unique(dynamic.join(used, ["iy", "ix"], "left_semi"), ["iy", "ix", "ts"])
+    features = build_features(dynamic, statics.join(used, ["iy", "ix"], "left_semi"), month_local)
     if expected_features is not None:
         have = [c for c in features.columns if c in expected_features]
         if len(have) != len(expected_features):

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from finescale.functions.physics import nan_to_null, to_number, wrap_longitude
 from finescale.operators.series import keep_first
-from finescale.operators.tables import require_columns
 
 OBS_COLUMNS = ("dt_regis", "md_valor", "md_final")
 META_COLUMNS = ("Estacao", "Altitude", "Longitude", "Latitude")
-STATION_FILE = r"^(.*)_[^_]*\.csv$"        # <id>_<yyyymm>.csv; the id may hold underscores
+STATION_FILE = r"^(.+)_[^_]*\.csv$"        # <id>_<yyyymm>.csv; the id may hold underscores
+STEM = r"^(.*?)(?:\.csv)?$"               # a name without underscore is the id
 
 # Variables of the three coarse source families, and which of them accumulate.
 COARSE_FAMILIES = {
@@ -26,28 +26,44 @@ COARSE_VARIABLES = tuple(v for family in COARSE_FAMILIES.values() for v in famil
 ACCUMULATED = ("sshf", "slhf", "ssr", "str")
 
 
+def _by_header(lines: DataFrame, columns: Sequence[str], sep: str) -> DataFrame:
+    """Fields of the named columns of delimited text, each file by its own header line: any order, any further columns. A file
+    without one of them fails."""
+    fields = F.transform(F.split(F.regexp_replace("value", "^\ufeff|\r$", ""), f"\\Q{sep}\\E"), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+    cut = lines.select("*", fields.alias("_f"))
+    head = cut.filter("_first").select(F.col("_file").alias("_of"), F.col("_f").alias("_head"))      # a row per file
+    lost = F.raise_error(F.concat(F.lit("a column is missing in "), "_file"))
+    pick = lambda c: F.when(F.array_contains("_head", c), F.try_element_at("_f", F.array_position("_head", F.lit(c)).cast("int"))).otherwise(lost)
+    return (cut.filter("NOT _first AND value <> ''").join(head, F.col("_file") == F.col("_of"))
+            .select("_file", "_line", *[F.nullif(pick(c), F.lit("")).alias(c) for c in columns]))
+
+
+def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Text lines with their file, their place in it (``_line``: comparable within a file), and whether they are its first."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.struct(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")).alias("_line"))
+    first = raw.groupBy(F.col("_file").alias("_of")).agg(F.min("_line").alias("_least"))
+    return raw.join(first, F.col("_file") == F.col("_of")).select("value", "_file", "_line", (F.col("_line") == F.col("_least")).alias("_first"))
+
+
 def read_observations(spark: SparkSession, path: str | Sequence[str], sep: str = ",") -> DataFrame:
     """Monthly station CSVs: ``station, ts`` (local), ``md_valor, md_final`` (text).
 
-    The station id comes from the file name. Columns are matched by header name; a file
-    without one of them fails at read time.
+    The station id comes from the file name (all of it where it has no underscore). Columns are found by
+    header name in every file; a file without one of them fails at read time.
     """
-    schema = ", ".join(f"{c} STRING" for c in OBS_COLUMNS)
-    raw = (spark.read.schema(schema)
-           .options(header=True, sep=sep, enforceSchema=False, mode="FAILFAST").csv(path))
-    name = F.regexp_extract(F.col("_metadata.file_name"), STATION_FILE, 1)
-    return raw.select(F.url_decode(name).alias("station"),
-                      F.col("dt_regis").cast("timestamp_ntz").alias("ts"), "md_valor", "md_final")
+    raw = _by_header(_lines(spark, path), OBS_COLUMNS, sep)
+    name = F.url_decode(F.regexp_extract("_file", "[^/]*$", 0))
+    station = F.coalesce(F.nullif(F.regexp_extract(name, STATION_FILE, 1), F.lit("")), F.regexp_extract(name, STEM, 1))
+    return raw.select(station.alias("station"), F.col("dt_regis").cast("timestamp_ntz").alias("ts"), "md_valor", "md_final")
 
 
 def read_station_meta(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Station metadata, text key, first row of a repeated station kept (file order)."""
-    raw = spark.read.options(header=True, sep=sep, inferSchema=False).csv(path)
-    require_columns(raw, META_COLUMNS)
-    rows = raw.select(F.col("Estacao").cast("string").alias("station"), to_number("Altitude").alias("altitude"),
-                      to_number("Longitude").alias("longitude"), to_number("Latitude").alias("latitude"),
-                      F.monotonically_increasing_id().alias("_line"))
-    return keep_first(rows, ["station"], ["_line"]).drop("_line")
+    """Station metadata, text key; of a repeated station the first row in order of file names and lines is kept."""
+    raw = _by_header(_lines(spark, path), META_COLUMNS, sep)
+    rows = raw.select(F.col("Estacao").alias("station"), to_number("Altitude").alias("altitude"),
+                      to_number("Longitude").alias("longitude"), to_number("Latitude").alias("latitude"), "_file", "_line")
+    return keep_first(rows, ["station"], ["_file", "_line"]).drop("_file", "_line")
 
 
 def read_semicolon_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -98,12 +114,6 @@ def merge_families(parts: Sequence[DataFrame], keys: Sequence[str] = ("ts", "lat
     return out.groupBy(*keys).agg(*[F.max(v).alias(v) for v in values])
 
 
-def with_node_index(coarse: DataFrame, lat0: float, dlat: float, lon0: float, dlon: float) -> DataFrame:
-    """Integer node indices from the regular axes."""
-    return coarse.withColumns({"lat_i": F.round((F.col("lat") - lat0) / dlat).cast("int"),
-                               "lon_i": F.round((F.col("lon") - lon0) / dlon).cast("int")})
-
-
 def load_span(spark: SparkSession, path: str, start: date, end: date) -> DataFrame:
     """Months of ``[start, end]`` of a table partitioned by ``year, month`` (partitions are pruned)."""
     first, last = start.year * 12 + start.month, end.year * 12 + end.month

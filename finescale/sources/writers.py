@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finescale.functions.physics import to_celsius
+from finescale.functions.time import in_window
 from finescale.operators.series import keep_first
 from finescale.operators.tables import replace_window
 
@@ -24,11 +26,12 @@ def as_float(df: DataFrame, keep: Sequence[str] = FLOAT_KEYS) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("float") for c, t in df.dtypes if t == "double" and c not in keep})
 
 
-def write_observations(df: DataFrame, path: str, ts: str = "data_hora_utc") -> None:
-    """Observation table by month; rows of one month are grouped before writing."""
-    out = _with_month(df, ts)
-    out.repartition("year", "month", F.pmod(F.xxhash64("station", F.to_date(ts)), F.lit(16))) \
-       .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("year", "month").parquet(path)
+def write_observations(df: DataFrame, path: str, ts: str = "data_hora_utc", rows_per_file: int = 5_000_000) -> None:
+    """Observation table by month. Ranges of (month, station, time) deal even a single month's rows to all tasks; a file holds at
+    most ``rows_per_file``."""
+    out = _with_month(df, ts).repartitionByRange("year", "month", "station", ts)
+    (out.sortWithinPartitions("year", "month", "station", ts).write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .option("maxRecordsPerFile", rows_per_file).partitionBy("year", "month").parquet(path))
 
 
 def write_station_lists(df: DataFrame, folder: str) -> None:
@@ -39,27 +42,41 @@ def write_station_lists(df: DataFrame, folder: str) -> None:
          .write.mode("overwrite").options(sep=";", header=True).csv(f"{folder}/{name}"))
 
 
-def overwrite_window(new: DataFrame, path: str, start: datetime, end: datetime,
+def _delete(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def overwrite_window(new: DataFrame, path: str, start: datetime | None, end: datetime | None,
                      ts: str = "data_hora_utc") -> None:
-    """Window replace at rest: rewrites only the month partitions ``[start, end)`` touches."""
+    """Window replace at rest: rewrites only the month partitions ``[start, end)`` touches; either bound may be open.
+
+    Raises, before anything is written, when a row of ``new`` lies outside the window. The new months are
+    staged beside the table first. Should the run break off later, each month is in its old or new state
+    (or gone, if nothing of it remains), and running again completes it.
+    """
     spark = new.sparkSession
-    first, last = start.year * 12 + start.month, end.year * 12 + end.month
-    touched = spark.read.parquet(path).filter((F.col("year") * 12 + F.col("month")).between(first, last))
+    if not new.filter(~F.coalesce(in_window(ts, start, end), F.lit(False)) | F.col(ts).isNull()).isEmpty():
+        raise ValueError("rows to insert lie outside the window")
+    month, within = F.col("year") * 12 + F.col("month"), F.lit(True)
+    if start is not None:
+        within = within & (month >= start.year * 12 + start.month)
+    if end is not None:
+        within = within & (month <= end.year * 12 + end.month)
+    touched = spark.read.parquet(path).filter(within)
     before = {tuple(r) for r in touched.select("year", "month").distinct().collect()}   # months of the window
     out = _with_month(replace_window(touched.drop("year", "month"), new, start, end, ts), ts)
-    staged = f"{path.rstrip('/')}__staged"
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy("year", "month").parquet(staged))
-    kept = spark.read.schema(out.schema).parquet(staged)
-    # dynamic mode leaves all other months in place
-    (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("year", "month").parquet(path))
-    # a month left without any row is not rewritten by dynamic mode: drop its folder
-    after = {tuple(r) for r in kept.select("year", "month").distinct().collect()}
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for year, month in before - after:
-        folder = hadoop(f"{path}/year={year}/month={month}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    staged = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
+    try:
+        (out.write.option("partitionOverwriteMode", "static").partitionBy("year", "month").parquet(staged))
+        kept = spark.read.schema(out.schema).parquet(staged)
+        after = {tuple(r) for r in kept.select("year", "month").distinct().collect()}
+        for y, m in before - after:           # dynamic mode leaves a month without new rows as it is
+            _delete(spark, f"{path}/year={y}/month={m}")
+        (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("year", "month").parquet(path))
+    finally:
+        _delete(spark, staged)
     spark.catalog.refreshByPath(path)
 
 
@@ -120,6 +137,13 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_lz_by_hour(lz: DataFrame, path: str, method: str = "idw") -> None:
+    """The record of vertical scales that ``read_lz_by_hour`` reads: one object with a map of 24 entries at most."""
+    record = lz.agg(F.lit(method).alias("metodo"), F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct(F.col("hora").cast("string").alias("h"), F.col("lz_m").cast("double").alias("z"))))).alias("lz_por_hora"))
+    record.coalesce(1).write.mode("overwrite").json(path)
+
+
 def trainable_cells(stations: DataFrame) -> DataFrame:
     """Distinct cells to populate, one row per cell."""
     ok = stations.filter("treinavel").select("iy", "ix", "cell_lon", "cell_lat")

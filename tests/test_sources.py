@@ -24,6 +24,13 @@ def test_observations_take_the_station_from_the_file_name(spark, tmp_path):
     assert rows(found, "mes") == [(2020, 1), (2020, 2)]
 
 
+def test_observations_by_header_name(spark, tmp_path):
+    (tmp_path / "a_1_202001.csv").write_text('extra,md_final,"dt_regis",md_valor\nx,4,2020-01-01 00:00:00,10.5\ny,,2020-01-01 01:00:00,"7"\n')
+    (tmp_path / "b.csv").write_text("\ufeffdt_regis,md_valor,md_final\r\n2020-01-02 00:00:00,1,5\r\n", encoding="utf-8", newline="")
+    assert rows(R.read_observations(spark, str(tmp_path)), "station", "ts") == [
+        ("a_1", datetime(2020, 1, 1), "10.5", "4"), ("a_1", datetime(2020, 1, 1, 1), "7", None), ("b", datetime(2020, 1, 2), "1", "5")]
+
+
 def test_observations_without_a_column_fail(spark, tmp_path):
     (tmp_path / "1_202001.csv").write_text("dt_regis,valor,md_final\n2020-01-01 00:00:00,10.5,4\n")
     with pytest.raises(Exception):
@@ -46,6 +53,9 @@ def test_json_records(spark, tmp_path):
     lz = tmp_path / "lz.json"
     lz.write_text(json.dumps({"metodo": "idw", "lz_por_hora": {str(h): 100.0 * h for h in range(24)}}, indent=1))
     assert rows(R.read_lz_by_hour(spark, str(lz)), "hora")[23] == (23, 2300.0)
+    table = spark.createDataFrame([(h, 50.0 * h) for h in range(24)], "hora INT, lz_m DOUBLE")
+    W.write_lz_by_hour(table, str(tmp_path / "written"))
+    assert rows(R.read_lz_by_hour(spark, str(tmp_path / "written")), "hora") == rows(table, "hora")
     meta = tmp_path / "meta.json"
     meta.write_text(json.dumps({"features": ["a", "b"], "lapse_rate": 0.0065, "corte": {"var": "t2m_1km", "t_lo_K": 280.0, "t_hi_K": 295.0},
                                 "ramos": {"frio": {"modelo": "m", "saida_var": "t2m_p16"}}}, indent=1))
@@ -76,6 +86,19 @@ def test_replace_window_at_rest_touches_only_its_months(spark, tmp_path):
     assert os.listdir(os.path.join(path, "year=2026", "month=1")) == january
     W.overwrite_window(new.limit(0), path, datetime(2026, 2, 1), datetime(2026, 3, 1))
     assert column(spark.read.parquet(path), "v", "data_hora_utc") == [0, 3]
+    assert not [f for f in os.listdir(tmp_path) if "staged" in f]
+    for start, end in ((datetime(2026, 2, 5), None), (None, datetime(2026, 2, 1)), (datetime(2026, 2, 1), datetime(2026, 2, 4))):
+        with pytest.raises(ValueError):
+            W.overwrite_window(new, path, start, end)
+    with pytest.raises(ValueError):
+        W.overwrite_window(new.withColumn("data_hora_utc", F.lit(None).cast("timestamp_ntz")), path, None, None)
+    assert column(spark.read.parquet(path), "v", "data_hora_utc") == [0, 3]
+    late = spark.createDataFrame([("a", datetime(2026, 4, 1), 7)], "station STRING, data_hora_utc TIMESTAMP_NTZ, v INT")
+    W.overwrite_window(late, path, datetime(2026, 3, 15), None)
+    assert column(spark.read.parquet(path), "v", "data_hora_utc") == [0, 3, 7]
+    W.overwrite_window(late.limit(0), path, None, datetime(2026, 1, 31))
+    assert column(spark.read.parquet(path), "v", "data_hora_utc") == [3, 7]
+    assert not [f for f in os.listdir(tmp_path) if "staged" in f]
     span = R.load_span(spark, path, date(2026, 2, 1), date(2026, 3, 31))
     assert column(span, "v") == [3]
     assert "PartitionFilters: [" in span._jdf.queryExecution().toString()
