@@ -9,6 +9,7 @@ from checks.base import (CELL_SQL, OBS_CELL_SQL, PIXEL_SQL, STATION_SQL, cells,
 from finescale.functions import physics as P
 from finescale.operators import grid as G
 from finescale.operators import neighbours as N
+from finescale.functions.utm import utm_to_lonlat
 from finescale.operators import raster as R
 from finescale.plans import gates as GT
 from finescale.sources import writers as W
@@ -122,6 +123,20 @@ def region_mask(spark, d):
     return G.region_mask(grid, edges, G.Axes(0.0, 0.0, 1.0, 1.0, 50, rows))
 
 
+@check("locate_stations", f"""WITH {CELL_SQL}
+  SELECT c_custkey AS station, CAST(floor(c_custkey / 40) AS INTEGER) AS iy, CAST(c_custkey % 40 AS INTEGER) AS ix,
+         CASE WHEN z_m IS NULL THEN 'celula_oceano' ELSE 'ok' END AS motivo FROM cells""")
+def locate_stations(spark, d):
+    """Places given in degrees, at the centres of their cells on a grid of kilometres in the projection."""
+    c = cells(spark, d)
+    x0, y0 = 400000.0, 6900000.0
+    lon, lat = utm_to_lonlat(F.lit(x0) + F.col("ix") * 1000.0, F.lit(y0) + F.col("iy") * 1000.0)
+    st = c.select(F.col("c_custkey").alias("station"), lon.alias("longitude"), lat.alias("latitude"))
+    grid = c.select("iy", "ix", F.col("z_m").alias("z_alvo"), "lon", "lat")
+    rows = c.agg(F.max("iy")).first()[0] + 1
+    return G.locate_stations(st, grid, G.Axes(x0, y0, 1000.0, 1000.0, 40, rows)).select("station", "iy", "ix", "motivo")
+
+
 @check("grid_record", f"""WITH {CELL_SQL}
   SELECT count(DISTINCT iy) AS ny, count(DISTINCT ix) AS nx, min(x_km) AS x_min, max(x_km) AS x_max, min(y_km) AS y_min,
          max(y_km) AS y_max, (max(x_km) - min(x_km)) / (count(DISTINCT ix) - 1) AS dx,
@@ -148,34 +163,58 @@ def bbox_scan(spark, d):
   FROM b WHERE iy < (SELECT floor((max(py) + 1) / 11) FROM pixels) AND ix < (SELECT floor((max(px) + 1) / 11) FROM pixels)
   GROUP BY 1, 2""")
 def block_stats(spark, d):
-    stats = {f"z_{s}": ("z", s) for s in ("mean", "std", "max", "p10", "p90")}
+    stats = {"z_mean": F.avg("z"), "z_std": F.stddev_pop("z"), "z_max": F.max("z"), "z_p10": F.percentile("z", 0.1), "z_p90": F.percentile("z", 0.9)}
     return rounded(R.block_agg(pixels(spark, d), stats))
 
 
+# pixel columns behind the layers, made from the raster's own values
+PIXEL_LAYERS = ("tri", "eastness", "svf", "mrvbf", "hand", "dev_r300", "dev_r1000", "dev_r3000")
+
+
+def _layer_sql():
+    kinds = {"avg": "avg({0})", "stddev_pop": "stddev_pop({0})", "max": "max({0})"}
+    out = []
+    for name, (column, how) in R.TERRAIN_LAYERS.items():
+        kind = kinds.get(getattr(how, "__name__", ""), "quantile_cont({0}, 0.9)" if "p90" in name else "quantile_cont({0}, 0.1)")
+        out.append(f"{r6(kind.format(column))} AS {name}")
+    return ", ".join(out)
+
+
 @check("terrain_layers", f"""WITH {PIXEL_SQL},
   b AS (SELECT CAST(floor(py / 11) AS INTEGER) AS iy, CAST(floor(px / 11) AS INTEGER) AS ix, z, slope,
-               CASE WHEN z IS NOT NULL THEN CASE WHEN slope < 0.5 THEN 0.0 ELSE cos(radians(aspect)) END END AS northness
+               CASE WHEN z IS NOT NULL THEN CASE WHEN slope < 0.5 THEN 0.0 ELSE cos(radians(aspect)) END END AS northness,
+               {', '.join(f"CASE WHEN z IS NOT NULL THEN z * {i + 2} + slope END AS {n}" for i, n in enumerate(PIXEL_LAYERS))}
         FROM pixels)
-  SELECT iy, ix, {r6('avg(z)')} AS z_alvo, {r6('stddev_pop(z)')} AS z_std_1km, {r6('avg(slope)')} AS slope_mean_1km,
-         {r6('max(slope)')} AS slope_max_1km, {r6('avg(northness)')} AS northness_mean_1km
+  SELECT iy, ix, {_layer_sql()}
   FROM b WHERE iy < (SELECT floor((max(py) + 1) / 11) FROM pixels) AND ix < (SELECT floor((max(px) + 1) / 11) FROM pixels)
   GROUP BY 1, 2""")
 def terrain_layers(spark, d):
     px = pixels(spark, d).withColumn("northness", P.northness("aspect", "slope", F.col("z").isNotNull())).drop("aspect")
+    px = px.withColumns({n: F.col("z") * (i + 2) + F.col("slope") for i, n in enumerate(PIXEL_LAYERS)})
     return rounded(R.terrain_layers(px))
 
 
-@check("ring_dev", f"""WITH {PIXEL_SQL},
+def _ring_sql(reach, low, high):
+    return f"""WITH {PIXEL_SQL},
   v AS (SELECT px, py, z FROM pixels WHERE z IS NOT NULL),
-  o AS (SELECT dx, dy FROM (SELECT unnest(generate_series(-3, 3)) AS dx) CROSS JOIN (SELECT unnest(generate_series(-3, 3)) AS dy)
-        WHERE sqrt(dx * dx + dy * dy) > 1 AND sqrt(dx * dx + dy * dy) <= 3),
+  o AS (SELECT dx, dy FROM (SELECT unnest(generate_series(-{reach}, {reach})) AS dx) CROSS JOIN (SELECT unnest(generate_series(-{reach}, {reach})) AS dy)
+        WHERE sqrt(dx * dx + dy * dy) > {low} AND sqrt(dx * dx + dy * dy) <= {high}),
   n AS (SELECT v.px, v.py, any_value(v.z) AS z, avg(w.z) AS m, stddev_pop(w.z) AS s
         FROM v CROSS JOIN o LEFT JOIN v w ON w.px = v.px + o.dx AND w.py = v.py + o.dy GROUP BY 1, 2)
-  SELECT px, py, {r6('CASE WHEN s >= 1e-6 THEN (z - m) / s END')} AS dev FROM n""")
+  SELECT px, py, {r6('CASE WHEN s >= 1e-6 THEN (z - m) / s END')} AS dev FROM n"""
+
+
+@check("ring_dev", _ring_sql(3, 1, 3))
 def ring_dev(spark, d):
     return rounded(R.ring_dev(pixels(spark, d).select("px", "py", "z"), 1.0, 3.0, 1.0, tile=64))
 
 
+@check("ring_dev_wide", _ring_sql(33, 30, 33))
+def ring_dev_wide(spark, d):
+    """The widest ring of the terrain layers: 33 pixels."""
+    return rounded(R.ring_dev(pixels(spark, d).select("px", "py", "z"), 30.0, 33.0, 1.0, tile=128))
+
+
 # 30 m classes: line items on a grid of order blocks, code from the part
 CODE_SQL = """
   codes AS (SELECT CAST(floor(l_orderkey / 50) AS INTEGER) AS iy, CAST(l_partkey % 9 AS INTEGER) AS ix, p_size AS code,
@@ -302,6 +341,22 @@ GATE_SQL = CELL_SQL + """,
   other AS (SELECT iy, ix, z_m, acctbal + CASE WHEN c_custkey % 100 = 0 THEN 1 ELSE 0 END AS acctbal FROM cells)"""
 
 
+def _surveyed(spark, d):
+    """Places on the central meridian with the northing of a closed formula: the meridian arc in powers of the eccentricity, which
+    shares nothing with the projection under test. Every 50th is moved by 2 mm."""
+    e2 = 1 / 298.257222101 * (2 - 1 / 298.257222101)
+    k = F.col("c_custkey")
+    lat = -28 + (k % 400) / 100
+    phi = F.radians(lat)
+    arc = 6378137.0 * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256 - 175 * e2**4 / 16384) * phi
+                       - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024 + 105 * e2**4 / 4096) * F.sin(2 * phi)
+                       + (15 * e2**2 / 256 + 45 * e2**3 / 1024 + 525 * e2**4 / 16384) * F.sin(4 * phi)
+                       - (35 * e2**3 / 3072 + 175 * e2**4 / 12288) * F.sin(6 * phi) + 315 * e2**4 / 131072 * F.sin(8 * phi))
+    moved = F.when(k % 50 == 0, 0.002).otherwise(0.0)
+    return table(spark, d, "customer").select(F.lit(-51.0).alias("longitude"), lat.alias("latitude"), F.lit(500000.0).alias("x_utm"),
+                                              (10000000 + 0.9996 * arc + moved).alias("y_utm"))
+
+
 @check("gates", f"""WITH {GATE_SQL}
   SELECT 'grid_keys' AS gate, count(*) AS n_bad, count(*) = 0 AS ok FROM
     (SELECT * FROM (SELECT iy, ix FROM cells EXCEPT SELECT iy, ix FROM land)
@@ -310,20 +365,17 @@ GATE_SQL = CELL_SQL + """,
     WHERE c.z_m IS DISTINCT FROM o.z_m OR COALESCE(abs(c.acctbal - o.acctbal) > 1e-9, TRUE)
   UNION ALL SELECT 'same_cell', count(*) FILTER (floor(x_km / 2.5) <> ix OR floor(y_km / 2.5) <> iy), TRUE FROM cells
   UNION ALL SELECT 'fraction_columns', 0, TRUE
-  UNION ALL SELECT 'reprojection', 0, TRUE""")
+  UNION ALL SELECT 'reprojection', count(*) FILTER (c_custkey % 50 = 0), count(*) FILTER (c_custkey % 50 = 0) = 0 FROM customer""")
 def gates(spark, d):
     c = cells(spark, d)
     other = c.select("iy", "ix", "z_m", (F.col("acctbal") + F.when(F.col("c_custkey") % 100 == 0, 1).otherwise(0)).alias("acctbal"))
     rows = c.agg(F.max("iy")).first()[0] + 1
-    from finescale.functions.utm import lonlat_to_utm
-    ll = c.select((F.col("lon") / 10 - 51.5).alias("longitude"), (F.col("lat") / 10 - 28).alias("latitude"))
-    x, y = lonlat_to_utm("longitude", "latitude")
     return GT.gate_report([
         GT.gate_on_grid(c.filter("z_m IS NOT NULL"), c),
         GT.gate_train_equals_inference(c, other, ["iy", "ix"], ["z_m", "acctbal"]),
         GT.gate_same_cell(c, G.Axes(0.0, 0.0, 2.5, 2.5, 40, rows), "x_km", "y_km"),
         GT.gate_fractions(R.fractions(_codes(spark, d), _lookup(spark, d))),
-        GT.gate_reprojection(ll.withColumns({"x_utm": x, "y_utm": y}))])
+        GT.gate_reprojection(_surveyed(spark, d))])
 
 
 @check("missing_baseline", f"""WITH {STATION_SQL}, {OBS_CELL_SQL}

@@ -1,17 +1,23 @@
-"""Folds, out-of-fold scoring, bands and scored fields. Fits are rows-only: SQL cannot grow trees."""
+"""Folds, out-of-fold scoring, bands and scored fields.
+
+SQL cannot grow trees, so fits are rows-only; beside each stands a query over its rows whose answer SQL does know. Rounds, depth and
+folds are bounded here, since one machine grows the trees of every check: ROUNDS and FOLDS are the documented parameters of that.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from checks.base import OBS_CELL_SQL, cells, check, obs_cell, table
-from checks.fields import _stack, matrix
+from checks.fields import BILINEAR_SQL, MATRIX_SQL, matrix
 from finescale.models import band as B
 from finescale.models import folds as FO
 from finescale.models import residual as RM
+from finescale.operators.one_row import attach_row
 from finescale.plans.field import anchored_field, score_field
 
-PARAMS = RM.BoostParams(rounds=5, rate=0.3, depth=4, min_rows=20, features="all", rows=0.8, bins=64)
+ROUNDS, FOLDS = 5, 3
+PARAMS = RM.BoostParams(rounds=ROUNDS, rate=0.3, depth=4, min_rows=20, features="all", rows=0.8, bins=64)
 FEATURES = ["t2m_1km", "dt2m_1h", "d2t2m_1h", "hora_sin", "hora_cos", "z_alvo", "tri_mean_1km"]
 
 
@@ -44,15 +50,15 @@ def missing_policy(spark, d):
 
 @check("gbt_out_of_fold")
 def gbt_out_of_fold(spark, d):
-    oof, _ = RM.oof_predict(matrix(spark, d), FEATURES, 3, PARAMS)
+    oof, _ = RM.oof_predict(matrix(spark, d), FEATURES, FOLDS, PARAMS)
     return oof.select("cell_id", "ts", "y_residuo", "pred_residuo", "fold")
 
 
 @check("gbt_fold_diagnostics")
 def gbt_fold_diagnostics(spark, d):
     m = matrix(spark, d)
-    oof, models = RM.oof_predict(m, FEATURES, 3, PARAMS)
-    return RM.fold_diagnostics(oof).join(RM.fit_diagnostics(m, FEATURES, models, 3), "fold")
+    oof, models = RM.oof_predict(m, FEATURES, FOLDS, PARAMS)
+    return RM.fold_diagnostics(oof).join(RM.fit_diagnostics(m, FEATURES, models, FOLDS), "fold")
 
 
 @check("gbt_importance")
@@ -62,19 +68,76 @@ def gbt_importance(spark, d):
     return top_features(RM.importance([model], FEATURES, spark), 12)
 
 
-@check("grid_score_anchored")
-def grid_score_anchored(spark, d):
+def _grid(spark, d):
+    """Scored and anchored field of every grid cell at every hour that the coarse table holds."""
+    from checks.fields import _fine, _statics
     m = matrix(spark, d)
     model = RM.fit_residual(m, FEATURES, PARAMS, early_stop=False)
-    stack = _stack(spark, d)
-    from checks.fields import _statics
-    field = score_field(stack, _statics(spark, d), FEATURES, model, cells(spark, d).filter("z_m IS NOT NULL"))
-    inc = m.select(F.concat_ws("_", "iy", "ix").alias("station"), "ts", (F.col("y_residuo") / -2).alias("inc"))
+    stack = _fine(spark, d).select("iy", "ix", "ts", F.col("t2m").alias("t2m_1km"))
+    field = score_field(stack, _statics(spark, d), FEATURES, model, cells(spark, d))
+    inc = m.groupBy(F.concat_ws("_", "iy", "ix").alias("station"), "ts").agg((F.avg("y_residuo") / -2).alias("inc"))
     stations = cells(spark, d).join(m.select("iy", "ix").distinct(), ["iy", "ix"]).select(
         F.concat_ws("_", "iy", "ix").alias("station"), "x_km", "y_km", "z_m")
     return anchored_field(field, cells(spark, d), inc, stations, k=5)
 
 
+@check("grid_score_anchored")
+def grid_score_anchored(spark, d):
+    return _grid(spark, d)
+
+
+@check("grid_score_structure", f"""WITH {BILINEAR_SQL}
+  SELECT count(*) AS n, count(DISTINCT (iy, ix)) AS cells, count(DISTINCT ts) AS hours, 0 AS no_prediction, 0 AS not_a_sum, TRUE AS some_corrected FROM fine""")
+def grid_score_structure(spark, d):
+    f = _grid(spark, d)
+    # a cell without a baseline has none after scoring either
+    return f.agg(F.count("*").alias("n"), F.count_distinct("iy", "ix").alias("cells"), F.count_distinct("ts").alias("hours"),
+                 F.count_if(F.col("t2m_1km").isNotNull() & F.col("T_final").isNull()).alias("no_prediction"),
+                 F.count_if(F.abs(F.col("T_final") - F.col("T_final_bc") - F.col("T_final_oi")) > 1e-9).alias("not_a_sum"),
+                 (F.count_if(F.col("T_final_oi") != 0) > 0).alias("some_corrected"))
+
+
+@check("oof_structure", f"""WITH {MATRIX_SQL}
+  SELECT count(*) AS n, count(DISTINCT cell_id) AS cells, {FOLDS} AS folds, 0 AS cells_in_two_folds, 0 AS no_prediction, TRUE AS unlike_target FROM mat""")
+def oof_structure(spark, d):
+    oof, _ = RM.oof_predict(matrix(spark, d), FEATURES, FOLDS, PARAMS)
+    per = oof.groupBy("cell_id").agg(F.count("*").alias("n"), F.min("fold").alias("a"), F.max("fold").alias("z"), F.count_if(F.col("pred_residuo").isNull()).alias("none"),
+                                     F.sum(F.pow(F.col("pred_residuo") - F.col("y_residuo"), 2)).alias("e"))
+    return per.agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.count_distinct("a").cast("int").alias("folds"), F.count_if(F.col("a") != F.col("z")).alias("cells_in_two_folds"),
+                   F.sum("none").alias("no_prediction"), (F.sum("e") > 0).alias("unlike_target"))
+
+
+@check("fold_fit_structure", f"""WITH {MATRIX_SQL} SELECT unnest(range({FOLDS})) AS fold, {ROUNDS} AS best_iter, count(*) AS n_all, TRUE AS finite FROM mat""")
+def fold_fit_structure(spark, d):
+    m = matrix(spark, d)
+    oof, models = RM.oof_predict(m, FEATURES, FOLDS, PARAMS, early_stop=False)
+    both = RM.fold_diagnostics(oof).join(RM.fit_diagnostics(m, FEATURES, models, FOLDS), "fold")
+    total = both.agg(F.sum("n").alias("n_all"))
+    return attach_row(both, total).select(F.col("fold").cast("bigint").alias("fold"), "best_iter", "n_all",
+                                          (F.col("mae_fit").isNotNull() & F.col("rmse_down").isNotNull() & (F.col("mae_fit") <= F.col("mae") * 1.2)).alias("finite"))
+
+
+@check("importance_structure", f"""SELECT feature, TRUE AS in_range, TRUE AS sums_to_one FROM (VALUES {', '.join(f"('{f}')" for f in FEATURES)}) AS t(feature)""")
+def importance_structure(spark, d):
+    """Mean over the fold models."""
+    _, models = RM.oof_predict(matrix(spark, d), FEATURES, FOLDS, PARAMS)
+    gain = RM.importance(models, FEATURES, spark)
+    return attach_row(gain, gain.agg(F.sum("gain").alias("_all"))).select(
+        "feature", F.col("gain").between(0, 1).alias("in_range"), (F.abs(F.col("_all") - 1) < 1e-6).alias("sums_to_one"))
+
+
+@check("band_structure", f"""WITH {MATRIX_SQL}
+  SELECT count(*) AS n, 0 AS missing, 0 AS out_of_order, TRUE AS low_covers, TRUE AS mid_covers, TRUE AS high_covers FROM mat""")
+def band_structure(spark, d):
+    """Shares of the target below each quantile lie within 0.1 of its level, on the rows of the fit."""
+    m = matrix(spark, d)
+    b = B.predict_band(m, B.fit_band(m, FEATURES, trees=8, depth=5, min_rows=20))
+    lo, mid, hi = (F.col(c) for c in B.NAMES)
+    covers = lambda q, level: (F.abs(F.avg((F.col("y_residuo") <= q).cast("double")) - level) < 0.1)
+    return b.agg(F.count("*").alias("n"), F.count_if(lo.isNull() | mid.isNull() | hi.isNull()).alias("missing"), F.count_if((lo > mid) | (mid > hi)).alias("out_of_order"),
+                 covers(lo, 0.16).alias("low_covers"), covers(mid, 0.5).alias("mid_covers"), covers(hi, 0.84).alias("high_covers"))
+
+
 @check("forest_band")
 def forest_band(spark, d):
     m = matrix(spark, d)

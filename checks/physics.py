@@ -124,27 +124,26 @@ def sorted_band(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", lo.alias("lo"), hi.alias("hi"))
 
 
-# The SQL side sums the classic Redfearn/Snyder series instead, an independent formula; both agree
-# to about a tenth of a millimetre near the central meridian, so rounding is to decimetres.
-_E2 = "0.006694380022903416"
-_EP2 = "(0.006694380022903416 / (1 - 0.006694380022903416))"
+# The SQL side carries the series to the sixth order in the third flattening (the operator: fourth) and gets the conformal
+# latitude from tangents instead of sines. Coefficients are fixed values, published in Karney (2011).
+_N = 1 / (2 * 298.257222101 - 1)
+_ALPHA = ((1 / 2, -2 / 3, 5 / 16, 41 / 180, -127 / 288, 7891 / 37800), (0, 13 / 48, -3 / 5, 557 / 1440, 281 / 630, -1983433 / 1935360),
+          (0, 0, 61 / 240, -103 / 140, 15061 / 26880, 167603 / 181440), (0, 0, 0, 49561 / 161280, -179 / 168, 6601661 / 7257600),
+          (0, 0, 0, 0, 34729 / 80640, -3418889 / 1995840), (0, 0, 0, 0, 0, 212378941 / 319334400))
+_TERMS = [(2 * j, sum(c * _N ** k for k, c in enumerate(row, 1))) for j, row in enumerate(_ALPHA, 1)]
+_ARC = 0.9996 * 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64 + _N**6 / 256)
+_ECC = (1 - ((1 - _N) / (1 + _N)) ** 2) ** 0.5
 UTM_SQL = f"""
   p AS (SELECT c_custkey, -51 + (c_custkey % 97) / 97.0 - 0.5 AS lon, -28.5 + (c_custkey % 89) / 40.0 AS lat FROM customer),
-  a AS (SELECT *, radians(lat) AS phi, radians(lon + 51) * cos(radians(lat)) AS A,
-               tan(radians(lat)) * tan(radians(lat)) AS T, {_EP2} * cos(radians(lat)) * cos(radians(lat)) AS C,
-               6378137.0 / sqrt(1 - {_E2} * sin(radians(lat)) * sin(radians(lat))) AS N FROM p),
-  m AS (SELECT *, 6378137.0 * (
-          (1 - {_E2} / 4 - 3 * pow({_E2}, 2) / 64 - 5 * pow({_E2}, 3) / 256 - 175 * pow({_E2}, 4) / 16384) * phi
-          - (3 * {_E2} / 8 + 3 * pow({_E2}, 2) / 32 + 45 * pow({_E2}, 3) / 1024 + 105 * pow({_E2}, 4) / 4096) * sin(2 * phi)
-          + (15 * pow({_E2}, 2) / 256 + 45 * pow({_E2}, 3) / 1024 + 525 * pow({_E2}, 4) / 16384) * sin(4 * phi)
-          - (35 * pow({_E2}, 3) / 3072 + 175 * pow({_E2}, 4) / 12288) * sin(6 * phi)) AS M FROM a)"""
+  a AS (SELECT *, radians(lon + 51) AS lam, tan(radians(lat)) AS tau,
+               sinh({_ECC!r} * atanh({_ECC!r} * tan(radians(lat)) / sqrt(1 + tan(radians(lat)) * tan(radians(lat))))) AS sig FROM p),
+  c AS (SELECT *, tau * sqrt(1 + sig * sig) - sig * sqrt(1 + tau * tau) AS t FROM a),
+  m AS (SELECT *, atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta FROM c)"""
 
 
 @check("utm_projection", f"""WITH {UTM_SQL}
-  SELECT c_custkey,
-    {r6(f'500000 + 0.9996 * N * (A + (1 - T + C) * pow(A, 3) / 6 + (5 - 18 * T + T * T + 72 * C - 58 * {_EP2}) * pow(A, 5) / 120)', 1)} AS x,
-    {r6(f'''10000000 + 0.9996 * (M + N * tan(phi) * (A * A / 2 + (5 - T + 9 * C + 4 * C * C) * pow(A, 4) / 24
-           + (61 - 58 * T + T * T + 600 * C - 330 * {_EP2}) * pow(A, 6) / 720))''', 1)} AS y,
+  SELECT c_custkey, {r6(f"500000 + {_ARC!r} * (eta + {' + '.join(f'({v!r}) * cos({k} * xi) * sinh({k} * eta)' for k, v in _TERMS)})", 3)} AS x,
+    {r6(f"10000000 + {_ARC!r} * (xi + {' + '.join(f'({v!r}) * sin({k} * xi) * cosh({k} * eta)' for k, v in _TERMS)})", 3)} AS y,
     {r6('lon', 8)} AS lon, {r6('lat', 8)} AS lat
   FROM m""")
 def utm_projection(spark, d):
@@ -155,4 +154,4 @@ def utm_projection(spark, d):
     there = pts.select("c_custkey", x.alias("x"), y.alias("y"))
     lon, lat = utm_to_lonlat("x", "y")
     back = there.withColumns({"lon": lon, "lat": lat})
-    return rounded(rounded(back, 1, ["x", "y"]), 8, ["lon", "lat"])
+    return rounded(rounded(back, 3, ["x", "y"]), 8, ["lon", "lat"])

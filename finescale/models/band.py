@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,17 +17,15 @@ from pyspark.sql import functions as F
 from finescale.functions.physics import to_celsius
 from finescale.models.residual import branch_names, cached, missing_policy, predict
 from finescale.operators.anchoring import output_triple
-from finescale.operators.one_row import attach_row
 
 ALPHAS = (0.16, 0.5, 0.84)
 NAMES = ("pred_p_lo", "pred_p_med", "pred_p_hi")
-MAX_LEAVES = 1 << 16          # trees * 2^depth: what the packed leaf table may hold
 
 
 @dataclass
 class BandModel:
     forest: PipelineModel
-    leaves: DataFrame          # one row: per tree an array, per leaf the quantiles
+    leaves: list[np.ndarray]   # per tree (leaf, quantile); trees * 2**depth leaves at most, whatever the rows
     features: Sequence[str]
 
 
@@ -33,11 +33,10 @@ def fit_band(df: DataFrame, features: Sequence[str], alphas: Sequence[float] = A
              depth: int = 8, min_rows: int = 50, seed: int = 42, accuracy: int = 10_000) -> BandModel:
     """All quantiles from one forest on the full matrix, without routing.
 
-    Leaf quantiles are mergeable sketches, since a leaf may hold any number of rows; the packed
-    table holds ``trees * 2**depth`` leaves at most, which is checked.
+    Leaf quantiles are mergeable sketches, since a leaf may hold any number of rows. They are part of the
+    model, ``trees * 2**depth`` leaves at most. The band of a row is the mean of its leaves' quantiles over
+    the trees, not the quantile of the leaves' pooled samples; ``band_coverage`` tells how well it covers.
     """
-    if trees << depth > MAX_LEAVES:
-        raise ValueError("trees * 2**depth is too large for the packed leaf table")
     data, inputs = missing_policy(df, features)
     with cached(data.select(*inputs, "y_residuo")) as rows:
         return _grow(rows, inputs, list(features), alphas, trees, depth, min_rows, seed, accuracy)
@@ -53,27 +52,26 @@ def _grow(data: DataFrame, inputs: Sequence[str], features: Sequence[str], alpha
             .select("y_residuo", F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
             .groupBy("tree", F.col("leaf").cast("int").alias("leaf"))
             .agg(F.percentile_approx("y_residuo", list(alphas), accuracy).alias("q")))
-    per_tree = hits.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "q"))).alias("m"),
-                                        F.max("leaf").alias("last"))
-    dense = per_tree.select("tree", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.col("m")[i]).alias("q"))
-    packed = dense.agg(F.sort_array(F.collect_list(F.struct("tree", "q"))).alias("_t")).select(
-        F.transform("_t", lambda t: t["q"]).alias("_trees"))
-    # materialised: one row, so that scoring does not repeat the training pass
-    table = data.sparkSession.createDataFrame(packed.collect(), packed.schema)
+    found = hits.collect()
+    table = [np.full((1 + max(r["leaf"] for r in found if r["tree"] == t), len(alphas)), np.nan) for t in range(trees)]
+    for r in found:
+        table[r["tree"]][r["leaf"]] = r["q"]
     return BandModel(forest, table, features)
 
 
 def predict_band(df: DataFrame, model: BandModel, names: Sequence[str] = NAMES) -> DataFrame:
-    """Add the quantiles: leaf quantiles averaged over trees, looked up in place (no shuffle)."""
+    """Add the quantiles: leaf quantiles averaged over trees, looked up in Arrow batches (no shuffle)."""
     data, inputs = missing_policy(df, model.features)
-    rows = (attach_row(model.forest.transform(data), model.leaves)     # one row, size checked at fit
-            .withColumn("_leaves", vector_to_array("_leaf")))
-    picked = F.zip_with("_trees", "_leaves", lambda tree, leaf: tree[leaf.cast("int")])
-    out = rows.withColumn("_q", picked)
-    for i, name in enumerate(names):
-        total = F.aggregate("_q", F.lit(0.0), lambda acc, q: acc + q[i])
-        out = out.withColumn(name, total / F.size("_q"))
-    return out.drop("features", "_mean", "_leaf", "_leaves", "_trees", "_q", *inputs)
+    leaves = model.leaves
+
+    @F.pandas_udf("array<double>")
+    def band(leaf: pd.Series) -> pd.Series:
+        at = np.stack(leaf.to_numpy()).astype(int) if len(leaf) else np.zeros((0, len(leaves)), int)
+        return pd.Series(list(sum(t[at[:, k]] for k, t in enumerate(leaves)) / len(leaves)))
+
+    out = model.forest.transform(data).withColumn("_q", band(vector_to_array("_leaf")))
+    out = out.withColumns({name: F.col("_q")[i] for i, name in enumerate(names)})
+    return out.drop("features", "_mean", "_leaf", "_q", *inputs)
 
 
 def score_branches(features_df: DataFrame, band: BandModel, centre: PipelineModel, centre_features: Sequence[str],

@@ -33,11 +33,6 @@ def assign_folds(df: DataFrame, k: int = 10, cell: str = "cell_id") -> DataFrame
     return df.join(placed.select(cell, fold.alias("fold")), cell)
 
 
-def hash_folds(df: DataFrame, k: int = 10, cell: str = "cell_id", seed: int = 42) -> DataFrame:
-    """Unbalanced but shuffle-free folds from a hash of the cell."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(cell), F.lit(seed)), F.lit(k)).cast("int"))
-
-
 def require_cells(df: DataFrame, k: int, cell: str = "cell_id") -> DataFrame:
     """Raise when there are fewer cells than folds (a one-row job)."""
     n = df.select(F.approx_count_distinct(cell).alias("n")).first()["n"]

@@ -85,19 +85,26 @@ def predict(df: DataFrame, features: Sequence[str], model: PipelineModel, name:
 
 
 def oof_predict(df: DataFrame, features: Sequence[str], k: int = 10, params: BoostParams = BoostParams(),
-                early_stop: bool = True) -> tuple[DataFrame, list[PipelineModel]]:
+                early_stop: bool = True, path: str | None = None) -> tuple[DataFrame, list[PipelineModel]]:
     """Each row scored by the model that never saw its cell: ``(rows with pred_residuo and fold, models)``.
 
-    The loop is over folds only; every fit and every transform is distributed.
+    The loop is over folds only; every fit and every transform is distributed. Fits and scores read the matrix
+    with its folds many times: from ``path``, where it is written, or else from the cache, which stays until the
+    caller clears it, since the rows returned are read from it.
     """
     require_cells(df, k)
     out, models = None, []
-    with cached(assign_folds(df, k)) as folded:
-        for fold in range(k):
-            model = fit_residual(folded.filter(F.col("fold") != fold), features, params, early_stop)
-            models.append(model)
-            scored = predict(folded.filter(F.col("fold") == fold), features, model)
-            out = scored if out is None else out.unionByName(scored)
+    folded = assign_folds(df, k)
+    if path is not None:
+        folded.write.mode("overwrite").parquet(path)
+        folded = df.sparkSession.read.parquet(path)
+    else:
+        folded.persist()
+    for fold in range(k):
+        model = fit_residual(folded.filter(F.col("fold") != fold), features, params, early_stop)
+        models.append(model)
+        scored = predict(folded.filter(F.col("fold") == fold), features, model)
+        out = scored if out is None else out.unionByName(scored)
     bad = F.raise_error(F.lit("a row has no out-of-fold prediction")).cast("double")
     return out.withColumn("pred_residuo", F.coalesce("pred_residuo", bad)), models
 

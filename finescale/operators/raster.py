@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 import numpy as np
@@ -22,29 +22,21 @@ def block_keys(px: ColumnLike = "px", py: ColumnLike = "py", factor: int = FACTO
     return {"iy": F.floor(_c(py) / factor).cast("int"), "ix": F.floor(_c(px) / factor).cast("int")}
 
 
-def _statistic(value: Column, stat: str) -> Column:
-    if stat == "mean":
-        return F.avg(value)
-    if stat == "std":
-        return F.stddev_pop(value)          # population flavour, as for rasters
-    if stat == "max":
-        return F.max(value)
-    if stat.startswith("p"):
-        # at most factor*factor pixels per block, so the exact built-in is bounded here
-        return F.percentile(value, float(stat[1:]) / 100.0)
-    raise ValueError(f"unknown block statistic: {stat}")
+def _share(p: float) -> Callable[[str], Column]:
+    # at most factor*factor pixels per block, so the exact built-in is bounded here
+    return lambda c: F.percentile(c, p)
 
 
-def block_agg(pixels: DataFrame, stats: dict[str, tuple[str, str]], factor: int = FACTOR,
+def block_agg(pixels: DataFrame, stats: dict[str, Column], factor: int = FACTOR,
               shape: tuple[int, int] | None = None) -> DataFrame:
     """Statistics of ``factor`` x ``factor`` blocks; missing skipped, ragged edges trimmed.
 
-    ``pixels``: one row per ``(px, py)``. ``stats``: output name -> (column, statistic). ``shape``
+    ``pixels``: one row per ``(px, py)``. ``stats``: output name -> aggregate. ``shape``
     is (rows, columns) of the fine raster; without it the extent is read from the data in a
     one-row aggregate.
     """
     data = pixels.withColumns(block_keys(factor=factor))
-    out = data.groupBy("iy", "ix").agg(*[_statistic(F.col(c), s).alias(n) for n, (c, s) in stats.items()])
+    out = data.groupBy("iy", "ix").agg(*[s.alias(n) for n, s in stats.items()])
     if shape is not None:
         return out.filter((F.col("iy") < shape[0] // factor) & (F.col("ix") < shape[1] // factor))
     extent = pixels.agg(F.floor((F.max("py") + 1) / factor).alias("_ny"),
@@ -53,24 +45,34 @@ def block_agg(pixels: DataFrame, stats: dict[str, tuple[str, str]], factor: int
             .drop("_ny", "_nx"))
 
 
-# Terrain layers and their block statistics.
-TERRAIN_LAYERS = {
-    "z_alvo": ("z", "mean"), "z_std_1km": ("z", "std"),
-    "slope_mean_1km": ("slope", "mean"), "slope_max_1km": ("slope", "max"),
-    "tri_mean_1km": ("tri", "mean"), "tri_std_1km": ("tri", "std"), "tri_max_1km": ("tri", "max"),
-    "northness_mean_1km": ("northness", "mean"), "eastness_mean_1km": ("eastness", "mean"),
-    "svf_mean_1km": ("svf", "mean"), "svf_p10_1km": ("svf", "p10"),
-    "mrvbf_p90_1km": ("mrvbf", "p90"),
-    "hand_mean_1km": ("hand", "mean"), "hand_p10_1km": ("hand", "p10"),
-    "dev_r300_mean_1km": ("dev_r300", "mean"), "dev_r300_p10_1km": ("dev_r300", "p10"),
-    "dev_r1000_mean_1km": ("dev_r1000", "mean"), "dev_r1000_p10_1km": ("dev_r1000", "p10"),
-    "dev_r3000_mean_1km": ("dev_r3000", "mean"), "dev_r3000_p10_1km": ("dev_r3000", "p10"),
+# Terrain layers, their pixel columns and block statistics (deviation of the population, as for rasters).
+TERRAIN_LAYERS: dict[str, tuple[str, Callable[[str], Column]]] = {
+    "z_alvo": ("z", F.avg),
+    "z_std_1km": ("z", F.stddev_pop),
+    "slope_mean_1km": ("slope", F.avg),
+    "slope_max_1km": ("slope", F.max),
+    "tri_mean_1km": ("tri", F.avg),
+    "tri_std_1km": ("tri", F.stddev_pop),
+    "tri_max_1km": ("tri", F.max),
+    "northness_mean_1km": ("northness", F.avg),
+    "eastness_mean_1km": ("eastness", F.avg),
+    "svf_mean_1km": ("svf", F.avg),
+    "svf_p10_1km": ("svf", _share(0.1)),
+    "mrvbf_p90_1km": ("mrvbf", _share(0.9)),
+    "hand_mean_1km": ("hand", F.avg),
+    "hand_p10_1km": ("hand", _share(0.1)),
+    "dev_r300_mean_1km": ("dev_r300", F.avg),
+    "dev_r300_p10_1km": ("dev_r300", _share(0.1)),
+    "dev_r1000_mean_1km": ("dev_r1000", F.avg),
+    "dev_r1000_p10_1km": ("dev_r1000", _share(0.1)),
+    "dev_r3000_mean_1km": ("dev_r3000", F.avg),
+    "dev_r3000_p10_1km": ("dev_r3000", _share(0.1)),
 }
 
 
 def terrain_layers(pixels: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
     """All block statistics whose pixel column is present, in one aggregation."""
-    stats = {n: cs for n, cs in TERRAIN_LAYERS.items() if cs[0] in pixels.columns}
+    stats = {n: f(c) for n, (c, f) in TERRAIN_LAYERS.items() if c in pixels.columns}
     return block_agg(pixels, stats, shape=shape)
 
 

@@ -36,14 +36,14 @@ def differs(a: ColumnLike, b: ColumnLike, tol: float = 1e-9) -> Column:
 
 
 def gate_static_ranges(statics: DataFrame, ranges: dict = RANGES, slack: float = SLACK) -> DataFrame:
-    """``(camada, v_min, v_max, ok)`` of every ranged layer present, in one pass."""
+    """``(camada, v_min, v_max, ok)`` of every ranged layer present, in one pass; a layer without any value fails."""
     layers = [c for c in statics.columns if c in ranges]
     row = statics.agg(*[f(c).alias(f"{c}__{n}") for c in layers for n, f in (("lo", F.min), ("hi", F.max))])
     cells = F.array(*[F.struct(F.lit(c).alias("camada"), F.col(f"{c}__lo").alias("v_min"), F.col(f"{c}__hi").alias("v_max"),
                                F.lit(ranges[c][0]).alias("lo"), F.lit(ranges[c][1]).alias("hi")) for c in layers])
     out = row.select(F.explode(cells).alias("_r")).select("_r.*")
     ok = (F.col("v_min") >= F.col("lo") - slack) & (F.col("v_max") <= F.col("hi") + slack)
-    return out.select("camada", "v_min", "v_max", F.coalesce(ok, F.lit(True)).alias("ok"))
+    return out.select("camada", "v_min", "v_max", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def gate_on_grid(layer: DataFrame, grid: DataFrame, name: str = "grid_keys") -> DataFrame:

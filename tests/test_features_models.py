@@ -8,7 +8,6 @@ from finescale.operators import skill as S
 from finescale.plans import features as FT
 from finescale.plans import gates as G
 from finescale.plans.matrix import build_matrix
-from finescale.session import cut_lineage
 from finescale.sources.readers import COARSE_VARIABLES
 from tests.helpers import column, rows
 
@@ -122,8 +121,3 @@ def test_verdict(spark):
     assert v(0.17, 0.15, 0.16, True) == "calibrado"
     assert v(0.17, 0.30, 0.16, True) == "sub-cobre" and v(0.10, 0.16, 0.16, True) == "sobre-cobre"
     assert v(0.70, 0.84, 0.84, False) == "sub-cobre"
-
-
-def test_lineage_cut_keeps_the_rows(spark):
-    df = cut_lineage(spark.range(10).withColumn("b", F.col("id") * 2))
-    assert df.count() == 10 and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
