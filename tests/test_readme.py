@@ -1,0 +1,50 @@
+"""The run that the README shows, on made-up tables."""
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from finescale.functions.time import to_utc
+from finescale.models.residual import BoostParams, fit_residual, oof_predict
+from finescale.operators.anchoring import PUBLISHED, increments, rules_of, tune_anchor
+from finescale.operators.quality import clean_observations
+from finescale.plans.features import DYNAMIC, FRACTIONS, RELIEF, dynamic_features, feature_set
+from finescale.plans.field import anchored_field, score_field
+from finescale.plans.matrix import build_matrix
+from finescale.sources.readers import COARSE_VARIABLES, read_observations
+
+
+def test_from_files_to_an_anchored_field(spark, tmp_path):
+    n, hours = 12, 60
+    t0 = datetime(2021, 3, 1)
+    for s in range(n):
+        lines = "".join(f"{t0 + timedelta(hours=h - 3):%Y-%m-%d %H:%M:%S},{15 + s % 5 + 5 * ((h % 24) / 24) + ((h * 7 + s * 3) % 11) / 10},4\n" for h in range(hours))
+        (tmp_path / f"s{s}_202103.csv").write_text("dt_regis,md_valor,md_final\n" + lines)
+    obs = read_observations(spark, f"{tmp_path}/*.csv")
+    clean = clean_observations(obs, keys=["station"])
+    grid = spark.range(36).select((F.col("id") / 6).cast("int").alias("iy"), (F.col("id") % 6).cast("int").alias("ix")).withColumns({
+        "lat": -27.0 - F.col("iy") / 10, "lon": -50.0 + F.col("ix") / 10, "z_alvo": 100.0 * F.col("iy"), "z_era5_orog": F.lit(150.0),
+        "x_km": 10.0 * F.col("ix"), "y_km": 10.0 * F.col("iy"), "z_m": 100.0 * F.col("iy")})
+    station_cell = spark.range(n).select(F.concat(F.lit("s"), "id").alias("station"), (F.col("id") / 6).cast("int").alias("iy"), (F.col("id") % 6).cast("int").alias("ix"))
+    nodes = [(t0 + timedelta(hours=h), i, j, -26.9 - 0.3 * i, -50.1 + 0.4 * j) for h in range(hours) for i in range(3) for j in range(3)]
+    coarse = spark.createDataFrame(nodes, "ts TIMESTAMP_NTZ, lat_i INT, lon_i INT, lat DOUBLE, lon DOUBLE").withColumns(
+        {v: F.lit(285.0 if v in ("t2m", "skt", "stl1", "d2m") else 10.0 + k) + F.hour("ts") / 5 + F.col("lat_i") for k, v in enumerate(COARSE_VARIABLES)})
+    statics = grid.select("iy", "ix", "z_alvo", F.col("x_km").alias("coord_x"), F.col("y_km").alias("coord_y"), F.lit(5.0).alias("dist_oceano"),
+                          *[(F.col("iy") * (k + 1)).cast("double").alias(c) for k, c in enumerate((*RELIEF, *FRACTIONS))])
+    temperature = next(c for c in clean.columns if c.endswith("_qc"))
+    hourly = clean.select("station", to_utc("ts").alias("ts"), F.col(temperature).alias("temperatura_c_qc"))
+
+    dyn = dynamic_features(coarse, grid, DYNAMIC)
+    matrix = build_matrix(hourly, station_cell, dyn, statics, outlier=100.0)
+    feats, quick = feature_set("55"), BoostParams(rounds=2, depth=2, min_rows=5, rate=0.3)
+    oof, _ = oof_predict(matrix, feats, 3, quick, path=f"{tmp_path}/folded")
+    inc = increments(oof).withColumnRenamed("cell_id", "station")
+    stations = grid.select(F.concat_ws("_", "iy", "ix").alias("station"), "x_km", "y_km", "z_m")
+    rules = tune_anchor(inc, stations, rules_of(**PUBLISHED))
+    assert rules.count() == 73 and rules.filter("rmse IS NULL").isEmpty()
+    model = fit_residual(matrix, feats, quick, early_stop=False)
+    start, end = t0 + timedelta(hours=24), t0 + timedelta(hours=30)
+    field = anchored_field(score_field(dyn, statics, feats, model, grid.filter("iy < 3"), start, end), grid, inc, stations, k=20)
+    rows = field.collect()
+    assert len(rows) == 18 * 6 and all(abs(r["T_final"] - r["T_final_bc"] - r["T_final_oi"]) < 1e-9 for r in rows)
+    assert any(r["T_final_oi"] != 0 for r in rows)
