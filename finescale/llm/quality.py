@@ -152,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 17, sample: int = 3000,
     labels = labels.filter(learnable() & F.col("quality").isin(0, 1)).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     width = 1 << bits
-    counted = count_buckets(docs.join(labels, "doc_id"), bits).collect()        # 2**bits + 1 rows at most
+    # labels grow with the documents: joined by merge at every size, never by broadcast
+    counted = count_buckets(docs.join(labels.hint("merge"), "doc_id"), bits).collect()   # 2**bits + 1 rows at most
     counts, totals = np.zeros((2, width)), np.zeros(2)
     for bucket, zeros, ones in counted:
         if bucket < 0:
@@ -166,8 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 17, sample: int = 3000,
     shares = (counts + smoothing) / (counts + smoothing).sum(axis=1, keepdims=True)
     ratio = np.log(shares[1] / shares[0])
     rows = sorted(sample_buckets(docs, labels, bits, sample).collect(), key=lambda r: (r[0], r[1]))
-    own = [np.frombuffer(r[2], "<u4").astype(np.int64) for r in rows]
-    values = [ratio[x] / max(np.sqrt(np.square(ratio[x]).sum()), 1e-12) for x in own]
+    own = [np.frombuffer(r[2], "<u4") for r in rows]
+    values = [(ratio[x] / max(np.sqrt(np.square(ratio[x]).sum()), 1e-12)).astype(np.float32) for x in own]
     label = np.array([r[1] for r in rows])
     apart = np.random.default_rng(seed).random(len(rows)) < 0.2
     if len(set(label[apart])) < 2 or len(set(label[~apart])) < 2:
