@@ -1,6 +1,7 @@
 """Quality classifier: linear hinge-loss model on n-gram indicators scaled by naive-Bayes log-count ratios.
 
-Indicators are the distinct byte 2- and 4-grams of a text, hashed into ``2**bits`` buckets. Of every bucket, all labelled
+Indicators are the distinct n-grams of a text, hashed into ``2**bits`` buckets: 2- and 4-grams of its bytes, 5-grams of its shape
+(bytes with letters and digits replaced by their class), and 3-grams of the signs that a word repeats the one before. Of every bucket, all labelled
 learning documents of either class that hold it are counted; r = log ratio of the smoothed shares. A text's vector has r where it
 has the indicator, scaled to unit length. The hinge-loss model is fitted by dual coordinate descent on at most ``sample``
 documents of each class (those with the smallest hash of their id); a fifth of them is kept from the fit and gives the slope and
@@ -23,28 +24,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finescale.llm.shared import learnable
-from finescale.llm.text import plain, raw, slices
+from finescale.llm.text import plain, raw, slices, words
 
-SIZES = (2, 4)
+# lengths of the n-grams of a text's bytes, of its shape (letters and digits by class), and of the signs "same word again"
+BYTES, SHAPE, AGAIN = (2, 4), 5, 3
+_CLASS = np.arange(256, dtype=np.uint32)
+_CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = ord("A"), ord("a"), ord("0"), ord("a")
+
+
+def _codes(values: np.ndarray, n: int, kind: int, bits: int) -> np.ndarray:
+    """Bucket of the n-gram at each place."""
+    h = np.full(max(len(values) - n + 1, 0), kind * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+    for k in range(n):
+        h = h * np.uint32(0x01000193) + values[k:k + len(h)]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    return h >> np.uint32(32 - bits)
 
 
 def buckets(strings: pa.Array, bits: int) -> Iterator[np.ndarray]:
-    """Distinct buckets of each text's byte n-grams, ascending."""
+    """Distinct buckets of each text's n-grams, ascending."""
     data, offsets = raw(strings)
-    wide = data.astype(np.uint32)
-    codes = []
-    for n in SIZES:
-        h = np.full(max(len(wide) - n + 1, 0), n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
-        for k in range(n):
-            h = h * np.uint32(0x01000193) + wide[k:k + len(h)]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x85EBCA6B)
-        codes.append(h >> np.uint32(32 - bits))
+    w = words(strings)
+    again = np.zeros(len(w.hashes), np.uint32)
+    again[1:] = w.hashes[1:] == w.hashes[:-1]
+    views = [(n, _codes(data.astype(np.uint32), n, n, bits), offsets.tolist(), 0) for n in BYTES]
+    views.append((SHAPE, _codes(_CLASS[data], SHAPE, 16 + SHAPE, bits), offsets.tolist(), 0))
+    views.append((AGAIN, _codes(again, AGAIN, 32 + AGAIN, bits), w.first.tolist(), 1))       # a first word has none before it
     seen = np.zeros(1 << bits, bool)
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        for n, code in zip(SIZES, codes):
+    for k in range(len(strings)):
+        for n, codes, first, skip in views:
+            a, b = first[k] + skip, first[k + 1]
             if b - a >= n:
-                seen[code[a:b - n + 1]] = True
+                seen[codes[a:b - n + 1]] = True
         out = np.flatnonzero(seen)
         seen[out] = False
         yield out
@@ -145,7 +157,7 @@ def calibrate(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
     return float(max(theta[0], 0.0)), float(theta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 17, sample: int = 3000, c: float = 1.0, rounds: int = 30,
+def fit(docs: DataFrame, labels: DataFrame, bits: int = 17, sample: int = 3000, c: float = 10.0, rounds: int = 30,
         smoothing: float = 1.0, seed: int = 7) -> Model:
     """Model from documents (``doc_id, text``) and labels (``doc_id, quality``) of learning rows."""
     docs = docs.filter(learnable()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
