@@ -56,13 +56,13 @@ def learn(sample: np.ndarray, longest: float, tables: int, rounds: int = 30, see
     centre = x.mean(axis=0)
     x = x - centre
     width = max(8, min(x.shape[1] - 1, len(x) - 1, 64) // 8 * 8)
-    _, _, axes = np.linalg.svd(x, full_matrices=True)
-    axes = axes[:width].T
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :width]
+    width = axes.shape[1]
     rng = np.random.default_rng(seed)
     turns = []
     for _ in range(tables):
         y = x @ axes
-        turn, _ = np.linalg.qr(rng.standard_normal((axes.shape[1], width)))
+        turn, _ = np.linalg.qr(rng.standard_normal((width, width)))
         for _ in range(rounds):
             u, _, v = np.linalg.svd(np.where(y @ turn > 0, 1.0, -1.0).T @ y, full_matrices=False)
             turn = (u @ v).T
@@ -75,6 +75,7 @@ class Shard:
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.positions = codes, codes.shape[1]
+        self.long = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
         self.order = [np.argsort(codes[:, s], kind="stable") for s in range(self.positions)]
         self.heads = [np.searchsorted(codes[o, s], np.arange(257)) for s, o in enumerate(self.order)]
 
@@ -87,17 +88,18 @@ class Shard:
         n, m = self.codes.shape
         seen, far = np.zeros(n, bool), np.full(n, 255 * 8, np.int64)
         fresh: list[np.ndarray] = []
-        value = code.tolist()
-        step = max(1, m // 8)
+        value, long = code.tolist(), np.pad(code, (0, -len(code) % 8)).view(np.uint64)
+        step = max(1, m // 4)
         for r in range(9):
             for s in range(m):
                 fresh += self._bucket(s, value[s], r)
                 if (s + 1) % step and s + 1 < m:
                     continue
-                rows = np.concatenate(fresh)
-                rows = rows[~seen[rows]]
-                seen[rows] = True
-                far[rows] = np.bitwise_count(self.codes[rows] ^ code).sum(axis=1)
+                found = np.zeros(n, bool)
+                found[np.concatenate(fresh)] = True
+                rows = np.flatnonzero(found & ~seen)
+                seen |= found
+                far[rows] = np.bitwise_count(self.long[rows] ^ long).sum(axis=1)
                 fresh = []
                 radius = m * r + s
                 near = np.flatnonzero(far <= radius)
@@ -129,8 +131,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return kept.filter(F.size("x") == (common["n"] if common else 0)).mapInArrow(task, "vec_id bigint, vec binary")
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 4, pool: int = 400, sample: int = 8192,
-           shard_rows: int = 16_384, block_rows: int = 1_024) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 4, pool: int = 1200, sample: int = 8192,
+           shard_rows: int = 65_536, block_rows: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each vector (``vec_id, embedding``) whose id ``every`` divides. The codes
     are learned on at most ``sample`` vectors; a task holds at most about ``shard_rows`` vectors and ``block_rows`` queries."""
     spark = vectors.sparkSession
