@@ -10,7 +10,7 @@ Reading: every file is parsed by content lengths, wherever a payload may hold wh
 by origin, ordered, checked for gaps and against the total length, joined, and their chunk framing is undone. A record whose
 segments or chunks do not add up is returned with ``intact`` false and no payload.
 
-A file holds at most ``records_per_file`` records of ``segment`` bytes and some headers each, which bounds what a task holds.
+A file holds at most ``records_per_file`` records of ``segment`` bytes and some headers each, which bounds what a task holds. Files are compressed whole by ``compression`` (``none`` for plain ones).
 Null html counts as empty, a null url leaves out that header, a page without an id is always written whole and read with a
 null id. Rows that repeat a page id are all written; of equal copies of the smallest id all are responses. Other columns are
 ignored; an empty table gives an archive without records.
@@ -97,7 +97,7 @@ def records(page: int | None, url: str | None, digest: str, refers_to: int | Non
 
 
 def write_archive(pages: DataFrame, path: str, revisit_from: int = 100, segment: int = 16_384, records_per_file: int = 8_192,
-                  date: str = "1970-01-01T00:00:00Z", compression: str = "none") -> None:
+                  date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Writes ``page_id, url, html`` to WARC files below ``path``. Which pages revisit which is found on ids and digests
     alone; the payloads then meet their page id, so that a payload that a third of all pages share is not one key."""
     base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
