@@ -48,7 +48,8 @@ ROLES = {"navigation": -8.0, "banner": -8.0, "contentinfo": -8.0, "complementary
 BIAS, LINKED, LONG, STOPPED, HEADED = 0.4, -3.0, 1.2, 0.8, 0.3
 NEAR, SAME_PARENT, LIMIT = 0.25, 0.35, 12.0
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|"
+                  r"<[!?/a-zA-Z][^>]*(?:>|\Z)", re.S)               # the last: declarations, and tags with an open quote
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
