@@ -7,9 +7,11 @@ that two texts draw the same with the probability of their weighted Jaccard simi
 a band are candidates, and a link is a candidate pair whose weighted Jaccard similarity, computed in full, reaches the
 threshold. Groups are connected components of links.
 
-Exact copies are one text from the start. In a band's bucket of at most SMALL texts all pairs are candidates; in a larger one,
-however large, every text is held against the bucket's first document and then, where the two are not in one group, against
-neighbours in the order of their draws, which differs from band to band. Work thus follows the number of texts, not pairs.
+Exact copies are one text from the start. In a band's bucket of at most SMALL texts all pairs are candidates. In a larger one,
+every text is first held against the bucket's most central one (that with the most company over all bands). What is then in
+different groups is dealt out in blocks of some BLOCK texts, and each block meets each: no pair of a bucket is left out but pairs
+already in one group. Blocks look at draws first; only texts with a likely partner in another group are read, and central ones
+are compared first, so that families join in few comparisons and only links leave a task.
 
 Null text counts as empty. Texts without a word are only grouped with exact copies. Rows without an id are returned with a null
 group and are never compared. Rows that repeat an id are one document, which
@@ -37,7 +39,7 @@ DF_BITS, DF_BLOCKS = 20, 256
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 AGREE = 18                      # draws of SAMPLES that a pair at the threshold has in all but some 1 of 10,000 cases
-SMALL, NEIGHBOURS, SHARE = 12, 4, 256
+SMALL, BLOCK, SHARE = 12, 512, 256
 _POOL = 1 << 14
 
 
@@ -202,35 +204,82 @@ def small_pairs(rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Likely pairs of ``doc, draws`` with ``lead, lead_draws``."""
+    """Likely pairs of ``doc, draws`` with ``lead, lead_draws``; the lead comes first, as it has many partners."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             like = (_draws(batch.column("draws")) == _draws(batch.column("lead_draws"))).sum(axis=1) >= AGREE
-            yield _pairs(batch.column("lead").to_numpy()[like], batch.column("doc").to_numpy()[like])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(like)) for c in (batch.column("lead"), batch.column("doc"))], names=["a", "b"])
 
     return rows.select("lead", "lead_draws", "doc", "draws").mapInArrow(task, "a bigint, b bigint")
 
 
-def neighbour_pairs(rows: DataFrame) -> DataFrame:
-    """Likely pairs of ``key, doc, draws, grp`` among neighbours by draws within a key, where their groups differ. Range partitions
-    cut even one key's rows into even shares."""
+_MET = "key bigint, lo bigint, hi bigint, block bigint, doc bigint, digest binary, draws binary, grp bigint"
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()[0]
-            rest = table.slice(max(0, table.num_rows - NEIGHBOURS))
-            key, doc, grp = (table.column(c).to_numpy() for c in ("key", "doc", "grp"))
-            draws = _draws(table.column("draws"))
-            for step in range(1, NEIGHBOURS + 1):
-                at = np.flatnonzero((key[:-step] == key[step:]) & (grp[:-step] != grp[step:])) if step < len(key) else np.zeros(0, np.int64)
-                at = at[(draws[at] == draws[at + step]).sum(axis=1) >= AGREE] if len(at) else at
-                yield _pairs(doc[at], doc[at + step])
 
-    turned = F.expr(f"substring(draws, cast((key & 15) * {ROWS} AS INT) + 1)")
-    return (rows.withColumn("turned", turned).repartitionByRange("key", "turned", "doc").sortWithinPartitions("key", "turned", "doc")
-            .select("key", "doc", "draws", "grp").mapInArrow(task, "a bigint, b bigint"))
+def meeting_blocks(rows: DataFrame) -> DataFrame:
+    """``key, doc, digest, draws, grp`` of keys with several groups, once for each other block of the key: ``lo, hi`` name the two
+    blocks that meet, ``block`` the row's own."""
+    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high")
+    dealt = (rows.join(mixed.selectExpr("key", f"ceil(n / {BLOCK}) AS blocks"), "key")
+             .withColumn("block", F.expr("pmod(xxhash64(doc, digest), blocks)"))
+             .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))))
+    return dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "digest",
+                        "draws", "grp")
+
+
+def agreement(draws: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Draws in which each two rows agree, zero where under AGREE. Of two blocks only rows of different ones are held together."""
+    like = np.zeros((len(draws), len(draws)), np.uint8)
+    for k in range(SAMPLES):
+        like += draws[:, k, None] == draws[None, :, k]
+    like[like < AGREE] = 0
+    np.fill_diagonal(like, 0)
+    if len(block) and block.min() < block.max():
+        like[block[:, None] == block[None, :]] = 0
+    return like
+
+
+def promising(met: DataFrame) -> DataFrame:
+    """Rows of ``meeting_blocks`` with a likely partner of another group there."""
+
+    def task(table: pa.Table) -> pa.Table:
+        grp = table.column("grp").to_numpy()
+        like = agreement(_draws(table.column("draws")), table.column("block").to_numpy())
+        return table.filter(pa.array(((like > 0) & (grp[:, None] != grp[None, :])).any(axis=1)))
+
+    return met.groupBy("key", "lo", "hi").applyInArrow(task, _MET)
+
+
+def joined(rows: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
+    """Links ``a, b, similarity`` that join the groups of ``promising`` rows with ``text``. The row with most likely partners in other
+    groups is held against all of them, then the next one, until no likely pair of different groups is left."""
+
+    def task(table: pa.Table) -> pa.Table:
+        sets = []
+        for batch in table.combine_chunks().to_batches():
+            for part in slices(batch, "text"):
+                keys, counts, first = shingles(plain(part.column("text")))
+                weight = weights(keys, counts, idf.value)
+                sets += [(keys[p:q].copy(), weight[p:q].copy()) for p, q in zip(first[:-1], first[1:])]
+        doc, grp = table.column("doc").to_numpy(), table.column("grp").to_numpy().copy()
+        like = agreement(_draws(table.column("draws")), table.column("block").to_numpy())
+        out = []
+        while True:
+            open_ = np.where(grp[:, None] != grp[None, :], like, 0)
+            reach = open_.sum(axis=1, dtype=np.int64)
+            lead = int(reach.argmax())
+            if not reach[lead]:
+                break
+            for k in np.argsort(-open_[lead].astype(np.int16), kind="stable")[:np.count_nonzero(open_[lead])].tolist():
+                if grp[k] != grp[lead] and (value := similarity(sets[lead], sets[k])) >= threshold:
+                    out.append((int(doc[lead]), int(doc[k]), value))
+                    grp[grp == grp[k]] = grp[lead]
+            like[lead] = like[:, lead] = 0
+        a, b, value = zip(*out) if out else ((), (), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(value, pa.float64())], names=["a", "b", "similarity"])
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(task, "a bigint, b bigint, similarity double")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -277,7 +326,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, threshold: floa
 
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Texts and their links. First: ``doc, digest, head`` of every document with an id, where ``head`` is the smallest id with that
-    text. Second: linked ``a, b, similarity`` between heads of different texts."""
+    text. Second: linked ``a, b, similarity`` between heads of different texts, without those within a group that others join."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.unhex(F.md5(text.cast("binary"))).alias("digest"),
@@ -288,30 +337,33 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     heads = drawn.groupBy("digest").agg(F.min("doc").alias("head"))
     copies = drawn.select("doc", "digest").join(heads, "digest")
     texts = written(drawn.join(heads, [drawn["digest"] == heads["digest"], drawn["doc"] == heads["head"]], "left_semi")
-                    .filter(F.size("bands") > 0).select("doc", "bands", "draws").dropDuplicates(["doc", "bands"]), "texts")
-    rows = texts.select("doc", "draws", F.explode("bands").alias("key"))
-    counted = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("lead")).filter("n > 1"), "bands")
-    shared = rows.join(counted, "key")
-    lead_draws = texts.select(F.col("doc").alias("lead"), F.col("draws").alias("lead_draws")).dropDuplicates(["lead"])
-    large = counted.filter(F.col("n") > SMALL)
-    large = written(rows.join(large.join(lead_draws, "lead"), "key").select("key", "doc", "draws", "lead", "lead_draws"), "large")
-    first = small_pairs(shared.filter(F.col("n") <= SMALL)).unionByName(star_pairs(large.filter("doc <> lead")))
+                    .filter(F.size("bands") > 0).dropDuplicates(["doc", "digest"]), "texts")
+    rows = texts.select("doc", "digest", "draws", F.explode("bands").alias("key"))
+    counted = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
+    small = rows.join(counted.filter(F.col("n") <= SMALL), "key")
+    wide = written(rows.join(counted.filter(F.col("n") > SMALL), "key"), "wide")
+    company = wide.groupBy("doc").agg(F.sum("n").alias("company"))
+    top = F.max(F.struct("company", (-F.col("doc")).alias("back"), "draws")).alias("top")
+    leads = wide.join(company, "doc").groupBy("key").agg(top).select(
+        "key", (-F.col("top.back")).alias("lead"), F.col("top.draws").alias("lead_draws"))
+    first = small_pairs(small).unionByName(star_pairs(wide.join(leads, "key").filter("doc <> lead")))
     first = written(first.filter("a <> b").distinct(), "pairs")
 
-    def bodies(pairs: DataFrame) -> DataFrame:
-        own = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(heads, F.col("doc") == F.col("head"))
-        return written(base.join(own.select("doc", "digest"), ["doc", "digest"], "left_semi").select("doc", "text"), "bodies")
+    def bodies(own: DataFrame) -> DataFrame:
+        return base.join(own.select("doc", "digest").distinct(), ["doc", "digest"], "left_semi")
 
-    sure = written(verified(first, bodies(first), idf, threshold), "links")
-    if large.isEmpty():
+    paired = first.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(heads, F.col("doc") == F.col("head"))
+    sure = written(verified(first, written(bodies(paired).select("doc", "text"), "bodies"), idf, threshold), "links")
+    if wide.isEmpty():
         return copies, sure
     group = components(sure)
-    labelled = large.select("key", "doc", "draws").join(group, F.col("doc") == F.col("node"), "left").select(
-        "key", "doc", "draws", F.coalesce("component", "doc").alias("grp"))
-    late = written(neighbour_pairs(labelled).filter("a <> b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    labelled = written(wide.select("key", "doc", "digest", "draws").join(group, F.col("doc") == F.col("node"), "left").select(
+        "key", "doc", "digest", "draws", F.coalesce("component", "doc").alias("grp")), "labelled")
+    late = written(promising(meeting_blocks(labelled)), "promising")
     if late.isEmpty():
         return copies, sure
-    return copies, sure.unionByName(written(verified(late, bodies(late), idf, threshold), "links"))
+    read = written(bodies(late).dropDuplicates(["doc", "digest"]), "bodies")
+    return copies, sure.unionByName(written(joined(late.join(read, ["doc", "digest"]), idf, threshold), "links"))
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -86,6 +86,33 @@ def test_large_groups(spark):
     assert all(got[2000 + i] == 2000 + i for i in range(150))
 
 
+def test_large_group_around_a_middle_id(spark):
+    """1,200 copies that are only like their original, which is not the smallest id."""
+    rng = random.Random(11)
+    base = prose(rng, 200)
+    rows = [(i, " ".join(base if i == 600 else edited(rng, base, 3))) for i in range(1200)]
+    assert set(result(spark, rows).values()) == {0}
+
+
+def test_blocks_compare_every_pair(spark, monkeypatch):
+    """Two families and a chain in one bucket without a link to each other, cut into blocks smaller than they are."""
+    import numpy as np
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(12)
+    chain = [prose(rng, 200)]
+    for _ in range(40):
+        chain.append(edited(rng, chain[-1], 3))
+    one, other = prose(rng, 200), prose(rng, 200)
+    texts = [*chain, *(edited(rng, one, 2) for _ in range(30)), one, *(edited(rng, other, 2) for _ in range(30)), other]
+    order = rng.sample(range(len(texts)), len(texts))
+    draws, idf = np.zeros(neardup.SAMPLES, np.uint8).tobytes(), np.ones(1 << neardup.DF_BITS, np.float32)
+    rows = [(5, k, bytes([k]), draws, k) for k in order]
+    met = neardup.promising(neardup.meeting_blocks(spark.createDataFrame(rows, "key bigint, doc bigint, digest binary, draws binary, grp bigint")))
+    bodies = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc bigint, text string")
+    got = components(neardup.joined(met.join(bodies, "doc"), spark.sparkContext.broadcast(idf), neardup.THRESHOLD)).collect()
+    assert {r.node: r.component for r in got} == {k: 0 if k <= 40 else 41 if k <= 71 else 72 for k in range(len(texts))}
+
+
 def test_chains_and_empty(spark):
     assert result(spark, []) == {}
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 50), (50, 100), (7, 7)], "a bigint, b bigint")
