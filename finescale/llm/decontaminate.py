@@ -1,7 +1,7 @@
-"""Training documents that hold test items: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Training documents that hold test items: n-gram seeds, then Smith-Waterman alignment of words.
 
-Every ``SEED``-word sequence of a test item is counted over all training documents. Of each ``WINDOW`` sequences in a row the rarest
-is a seed: an item has seeds however common it is, and a copied stretch of WINDOW + SEED - 1 words always holds one. Tasks mark
+Every ``SEED``-word sequence of a test item is a seed, so a copy that keeps SEED words in a row anywhere is aligned, however it is
+edited elsewhere and whatever other documents hold. Tasks mark
 the places of a document that may be seeds with a bit table of fixed size, and cut out passages around them; exact hashes then join
 passages to items. Word alignment (match MATCH, mismatch and gap of a word COST each) gives the best local score, as a share of what
 the whole item would score. A pair is contaminated from ``threshold`` on.
@@ -17,13 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finescale.llm.shared import written
 from finescale.llm.text import Words, ngrams, plain, slices, words
 
-SEED, WINDOW = 4, 4
+SEED = 3
 MATCH, COST = 2, 1
 TABLE_BITS, TABLE_BLOCKS = 24, 64
 THRESHOLD = 0.5
@@ -84,35 +84,6 @@ def bit_table(grams: DataFrame) -> np.ndarray:
     return np.unpackbits(out.reshape(-1)).astype(bool)
 
 
-def document_frequencies(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """``gram, df`` of all sequences of all documents that fall on ``table``; each task sums before it sends."""
-    shipped = docs.sparkSession.sparkContext.broadcast(table)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
-        for batch in batches:
-            for part in slices(batch, "text"):
-                grams, first = ngrams(words(plain(part.column("text"))), SEED, whole_if_short=True)
-                at = np.flatnonzero(shipped.value[_slot(grams)])
-                text = np.searchsorted(first, at, side="right")
-                own = np.unique(np.stack([grams[at], text.astype(np.uint64)]), axis=1)[0]
-                for g, n in zip(*(x.tolist() for x in np.unique(own, return_counts=True))):
-                    found[g] = found.get(g, 0) + n
-        keys = np.fromiter(found.keys(), np.uint64, len(found)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(found.values()), pa.int64())], names=["gram", "df"])
-
-    return docs.select("text").mapInArrow(task, "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df"))
-
-
-def seeds(grams: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """``item_id, gram``: the rarest of each WINDOW sequences in a row (of equally rare ones the smallest hash)."""
-    known = grams.join(frequencies, "gram", "left").select("item_id", "place", "length", "gram", F.coalesce("df", F.lit(0)).alias("df"))
-    row = Window.partitionBy("item_id").orderBy("place").rowsBetween(0, WINDOW - 1)
-    best = known.withColumn("best", F.min(F.struct("df", "gram")).over(row))
-    whole = F.col("place") <= F.greatest(F.col("length") - (SEED - 1) - WINDOW, F.lit(0))       # windows that are not cut off
-    return best.filter(whole).select("item_id", F.col("best.gram").alias("gram")).distinct()
-
-
 def passages(docs: DataFrame, table: np.ndarray, margin: int) -> DataFrame:
     """Stretches of ``margin`` words around possible seeds, joined where they meet: ``doc_id, start`` (in words), ``body, grams``."""
     shipped = docs.sparkSession.sparkContext.broadcast(table)
@@ -196,7 +167,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     longest = grams.agg(F.max("length")).first()[0]
     if longest is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint")
-    own = written(seeds(grams, document_frequencies(docs, bit_table(grams))), "seeds")
+    own = written(grams.select("item_id", "gram").distinct(), "seeds")
     found = written(passages(docs, bit_table(own), longest + longest // 4), "passages")
     wanted = (found.select("doc_id", "start", F.explode("grams").alias("gram")).join(own, "gram")
               .select("doc_id", "start", "item_id").distinct())
@@ -211,14 +182,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 part = batch.slice(at, 64)
                 w = words(plain(part.column("item")))
                 spoken = [_spoken(w, a, b).split(" ") for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
-                got = aligned(list(zip(spoken, [b.split(" ") for b in part.column("body").to_pylist()])), threshold)
+                asked = list(zip(spoken, [b.split(" ") for b in part.column("body").to_pylist()]))
+                # a share cannot exceed that of the item's words that the passage has at all
+                held = [sum(map(set(b).__contains__, i)) >= threshold * len(i) for i, b in asked]
+                part, asked = part.filter(pa.array(held)), [x for x, h in zip(asked, held) if h]
+                got = aligned(asked, threshold)
                 score = pa.array([float(g[0]) for g in got], pa.float64())
                 start = part.column("start").to_numpy()
                 out = pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("item_id"), score, pa.array(start + [g[1] for g in got], pa.int64()),
                      pa.array(start + [g[2] for g in got], pa.int64())],
                     names=["doc_id", "item_id", "score", "first_word", "last_word"])
-                yield out.filter(pa.array([g[0] >= threshold for g in got]))
+                yield out.filter(pa.array([g[0] >= threshold for g in got], pa.bool_()))
 
     scored = pairs.select("doc_id", "start", "body", "item_id", "item").mapInArrow(
         task, "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint")

@@ -72,6 +72,25 @@ def test_against_all_pairs(spark):
     assert strong <= set(got)
 
 
+def test_one_edited_copy_of_each_item(spark):
+    """Copies without seven words in a row, in one document each, beside a whole copy or without one."""
+    tests, rows = [], []
+    for i, (n, changed) in enumerate([(15, (5, 10)), (42, range(5, 42, 6)), (42, range(6, 42, 7)), (40, range(3, 40, 4)), (15, (5, 10))]):
+        words = [f"t{i}w{k}" for k in range(n)]
+        tests.append((i, words))
+        rows.append((i, " ".join(["before"] * 9 + ["other" if k in changed else w for k, w in enumerate(words)] + ["after"] * 9)))
+    rows.append((9, " ".join(tests[4][1])))
+    want = {(d, i): plain_score(t, text.split()) for d, text in rows for i, t in tests if plain_score(t, text.split()) >= decontaminate.THRESHOLD}
+    assert len(want) == 6
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(documents(spark, rows), items(spark, [(i, " ".join(t)) for i, t in tests])).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
+def test_a_seed_without_a_copy(spark):
+    asked = items(spark, [(1, " ".join(f"t{k}" for k in range(20)))])
+    assert decontaminate.contaminated(documents(spark, [(1, "x t4 t5 t6 y")]), asked).collect() == []
+
+
 def test_empty_tables(spark):
     one = documents(spark, [(1, "a b c d e")])
     assert decontaminate.contaminated(one, items(spark, [])).collect() == []
