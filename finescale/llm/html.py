@@ -5,7 +5,8 @@ id words, share of link text, length, punctuation) gives the cost of calling it
 capacities from and to two terminals; edges between neighbouring blocks and between blocks of one container cost what it takes
 to label the two differently. The minimum cut (by maximum flow) is the cheapest labelling; the source's side is content.
 
-Scripts, styles, comments, head, forms and the like never become blocks. Character references are decoded, white space inside
+Scripts, styles, comments, head, controls and the like never become blocks. A form has a strike against it, unless it wraps more
+than half of the page's text; an article or main element inside it stands for itself. Character references are decoded, white space inside
 a block becomes one space, blocks are joined by one space in page order. Null and empty pages have empty text; broken, unclosed
 or cut-off markup is read as far as it goes. Repeated rows stay rows, null ids stay null, other columns are ignored.
 """
@@ -25,8 +26,9 @@ from pyspark.sql import DataFrame
 BLOCKS = frozenset("""address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th
 thead tr ul""".split())
-UNREAD = frozenset("""script style noscript template head title svg math iframe object canvas audio video select textarea button
-form dialog""".split())
+UNREAD = frozenset("""script style noscript template head title svg iframe object canvas audio video select textarea button
+dialog annotation annotation-xml""".split())
+KEEPS_ENDS = frozenset("template object title textarea iframe".split())          # no end tag inside closes an element around them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AUTO_CLOSE = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
               "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
@@ -36,6 +38,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Weights of the classifier, in the unit of the cut: positive speaks for content. Surroundings count for all blocks below.
 TAG_WEIGHT = {"article": 4.0, "main": 3.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "menu": -8.0}
+FORM_WEIGHT = -8.0                                         # a form that is not the page itself
 HEADER_WEIGHT = -6.0                                       # a header element outside an article
 NAMES = re.compile(r"(?i)(?<![a-z])(?:(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|newsletter|subscri\w*|"
                    r"signup|popup|modal|notice|alert|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|foot|sidebar|"
@@ -60,6 +63,7 @@ class Element:
     weight: float
     in_article: bool
     unread: bool = False
+    form: int = 0                                          # number of the form around it
 
 
 @dataclass
@@ -78,7 +82,7 @@ def _weight(tag: str, attributes: str, in_article: bool) -> tuple[float, bool]:
     if attributes.strip() and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id"):
+            if name in ("class", "id") and tag != "form":
                 spoken = [x.lastindex for x in NAMES.finditer(value)]
                 if 1 in spoken:
                     weight += NAME_WEIGHT[0]
@@ -139,7 +143,7 @@ def blocks(html: str) -> list[Block]:
                     if tag in BLOCKS:
                         now = Block(stack[-1], stack[-2].number if len(stack) > 1 else 0)
                     break
-                if stack[k].unread and tag not in ("body", "html"):
+                if stack[k].unread and tag not in ("body", "html") and (tag not in BLOCKS | UNREAD or stack[k].tag in KEEPS_ENDS):
                     break
             continue
         if tag == "body" and stack[-1].unread:             # a head left open
@@ -170,7 +174,8 @@ def blocks(html: str) -> list[Block]:
         top = stack[-1]
         weight, hidden = _weight(tag, m[3], top.in_article)
         stack.append(Element(tag, number, max(-LIMIT, min(LIMIT, top.weight + weight)), top.in_article or tag == "article",
-                             top.unread or hidden or tag in UNREAD))
+                             top.unread or hidden or tag in UNREAD or tag in ("label", "legend") and top.form > 0,
+                             number if tag == "form" else 0 if tag in ("article", "main") else top.form))
         if tag == "a":
             anchors += 1
         if tag in BLOCKS:
@@ -277,6 +282,11 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
     gain = [cost(b) for b in found]
+    inside: dict[int, int] = {}
+    for b in found:
+        inside[b.parent.form] = inside.get(b.parent.form, 0) + len(b.text)
+    forms = {f for f, n in inside.items() if f and 2 * n <= sum(inside.values())}
+    gain = [max(-LIMIT, g + FORM_WEIGHT) if b.parent.form in forms else g for g, b in zip(gain, found)]
     # where an article or main element is marked, what stands outside it has a strike against it
     if any(b.parent.weight >= TAG_WEIGHT["main"] and b.parent.in_article for b in found):
         gain = [g if b.parent.in_article else g - 4.0 for g, b in zip(gain, found)]

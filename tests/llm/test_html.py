@@ -28,6 +28,24 @@ def test_odd_pages():
     assert main_text(f"<article><p>{long}</p></article>") == long.strip()
 
 
+def test_open_elements_do_not_swallow_the_rest():
+    for tag in ("form", "select", "button", "noscript", "canvas"):
+        assert main_text(f"<div><{tag}><input></div><article><p>A whole sentence stands here.</p></article>") == "A whole sentence stands here."
+    assert main_text("<article><p>One.</p><template><p>Two.</div></template><p>Three.</p></article>") == "One. Three."
+
+
+def test_page_inside_a_form():
+    article = "<article><h1>Title</h1><p>A sentence of the article, which goes on.</p></article>"
+    assert main_text(f"<body><form id='form1'><nav>Home</nav>{article}<label>Name</label><input></form></body>") == \
+        "Title A sentence of the article, which goes on."
+    assert main_text("<body><form><div><p>" + "A sentence of words. " * 20 + "</p></div></form></body>") == ("A sentence of words. " * 20).strip()
+
+
+def test_formula():
+    page = "<article><p>Here <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></semantics></math> holds.</p></article>"
+    assert main_text(page) == "Here x=2 holds."
+
+
 def test_minimum_cut_against_all_labellings():
     rng = random.Random(3)
     for _ in range(60):
