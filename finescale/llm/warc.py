@@ -133,18 +133,19 @@ _FIELD = re.compile(rb"(?m)^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$")
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """Rows of ``RECORD`` from the bytes of one file; a damaged end stops the file there."""
+    """Rows of ``RECORD`` from the bytes of one file. A header without an end, a length or its bytes is an error: what follows cannot be
+    trusted, and no record is lost unseen."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(END, at)
         if end < 0:
-            return
+            raise ValueError(f"damaged record at byte {at}: its header does not end")
         fields = {k.lower(): v.decode() for k, v in _FIELD.findall(data, at, end)}
         length = int(fields.get(b"content-length", "-1"))
         if length < 0 or end + 4 + length > len(data):
-            return
+            raise ValueError(f"damaged record at byte {at}: no length, or fewer bytes than it says")
         number, total = fields.get(b"warc-segment-number"), fields.get(b"warc-segment-total-length")
         yield (fields.get(b"warc-record-id"), fields.get(b"warc-type"), fields.get(b"warc-target-uri"), fields.get(b"warc-refers-to"),
                fields.get(b"warc-payload-digest"), number and int(number), fields.get(b"warc-segment-origin-id"), total and int(total),

@@ -43,6 +43,14 @@ def test_lost_segment_and_wrong_total(spark):
     found.unpersist()
 
 
+def test_damage_is_an_error():
+    whole = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert len(list(warc.parse(whole * 3))) == 3
+    for bad in (whole.replace(b"Content-Length: 3\r\n", b""), whole.replace(b": 3", b": 9999"), b"WARC/1.1\r\nWARC-Type: resource"):
+        with pytest.raises(ValueError, match="damaged record"):
+            list(warc.parse(whole + bad))
+
+
 def test_chunks():
     for n in (0, 1, 8191, 8192, 8193, 100_000):
         data = bytes(i % 251 for i in range(n))
