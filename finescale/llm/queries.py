@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finescale.llm import ann, decontaminate, html, language, licenses, neardup, packing, quality, shared, urls, warc
+from finescale.llm import ann, decontaminate, html, language, licenses, merkle, neardup, packing, quality, rules, shared, spelling, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.reassembled(warc.read_records(spark, path)))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents")))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.without_capitals())
+
+
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *rules.COUNTS[:5], "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_quality, op4_url_filter, op5_language_id, op6_nearest_neighbours,
-                            op7_packing, op8_html_extraction, op9_license_scan, op10_warc)}
-ORACLES: dict[str, str] = {"op4_url_filter": urls.oracle(), "op9_license_scan": licenses.oracle(), "op10_warc": warc.ORACLE}
+                            op7_packing, op8_html_extraction, op9_license_scan, op10_warc, op11_spelling, op12_merkle, op13_rules)}
+ORACLES: dict[str, str] = {"op4_url_filter": urls.oracle(), "op9_license_scan": licenses.oracle(), "op10_warc": warc.ORACLE,
+                           "op11_spelling": spelling.oracle(), "op12_merkle": merkle.oracle(), "op13_rules": rules.oracle()}

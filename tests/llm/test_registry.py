@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not HAVE, reason="driver tables absent")
 
 def test_one_query_per_operator():
     names = list(entry.LLM_QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{n}" for n in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{n}" for n in range(1, 14)] + ["pipeline"]
     assert set(entry.LLM_SQL) <= set(names)
 
 
@@ -33,7 +33,11 @@ def test_columns(spark):
             "op6": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
             "op7": {c: "bigint" for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")},
             "op8": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
-            "op10": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"}}
+            "op10": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+            "op11": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
+            "op12": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
+            "op13": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint",
+                     "base_failed": "boolean", "kept": "boolean"}}
     for name, query in entry.LLM_QUERIES.items():
         if (short := name.split("_")[0]) in want:
             assert want[short].items() <= dict(query(spark, SF).dtypes).items(), name
