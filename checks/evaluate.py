@@ -113,7 +113,28 @@ def bootstrap_ci(spark, d):
   SELECT n, CAST(wp AS DOUBLE) AS w_plus, CAST(wm AS DOUBLE) AS w_minus, {r6('z')} AS z,
          {r6('q * (0.254829592 + q * (-0.284496736 + q * (1.421413741 + q * (-1.453152027 + q * 1.061405429)))) * exp(-z * z / 2)')} AS p_value FROM k""")
 def wilcoxon_paired(spark, d):
-    return rounded(S.wilcoxon_paired(_stations(spark, d), "rmse_down", "rmse_era5"), only=["z", "p_value"])
+    return rounded(S.wilcoxon_paired(_stations(spark, d), "rmse_down", "rmse_era5", exact_upto=0), only=["z", "p_value"])
+
+
+# a nation's mean balance of customers against that of suppliers: one pair a nation, no ties. The sums of either half of the ranks are
+# counted apart and then added
+HALVES_SQL = "SELECT s, count(*) AS ways FROM (SELECT coalesce(list_sum(list_transform(list_filter(range(1, 14), lambda k: k <= n AND (m >> (k - 1)) & 1 = 1)," \
+             " lambda k: k + first)), 0) AS s FROM {side}, range(1 << n) t(m)) GROUP BY s"
+
+
+@check("wilcoxon_exact", f"""WITH d AS (
+  SELECT avg(c_acctbal) - any_value(b) AS d FROM customer JOIN (SELECT s_nationkey, avg(s_acctbal) AS b FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey GROUP BY c_nationkey),
+  r AS (SELECT d, rank() OVER (ORDER BY abs(d)) AS rk FROM d),
+  w AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS wm FROM r),
+  low AS (SELECT CAST(n // 2 AS BIGINT) AS n, CAST(0 AS BIGINT) AS first FROM w), high AS (SELECT CAST(n - n // 2 AS BIGINT) AS n, CAST(n // 2 AS BIGINT) AS first FROM w),
+  a AS ({HALVES_SQL.format(side='low')}), b AS ({HALVES_SQL.format(side='high')}),
+  p AS (SELECT sum(a.ways * b.ways) AS ways FROM a JOIN b ON a.s + b.s <= (SELECT least(wp, wm) FROM w))
+  SELECT n, CAST(wp AS DOUBLE) AS w_plus, CAST(wm AS DOUBLE) AS w_minus, {r6('(wp - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0)')} AS z,
+         {r6('least(1, 2 * CAST(ways AS DOUBLE) / pow(2, n))')} AS p_value FROM w, p""")
+def wilcoxon_exact(spark, d):
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("station")).agg(F.avg("c_acctbal").alias("a"))
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("station")).agg(F.avg("s_acctbal").alias("b"))
+    return rounded(S.wilcoxon_paired(c.join(s, "station"), "a", "b"), only=["z", "p_value"])
 
 
 @check("gain_decomposition", f"""

@@ -364,6 +364,19 @@ def axis_off_hour(spark, d):
     return I.axis_problems(obs(spark, d), ["station"])
 
 
+@check("axis_absent_months", """WITH
+  m AS (SELECT o_custkey % 10 AS station, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(*) AS n, count(DISTINCT o_orderdate) AS whole
+        FROM orders WHERE month(o_orderdate) <> 4 GROUP BY 1, 2),
+  s AS (SELECT station, unnest(generate_series(TIMESTAMP '1991-12-01', TIMESTAMP '2002-09-01', INTERVAL 1 MONTH)) AS month FROM (SELECT DISTINCT station FROM m))
+  SELECT station, month, coalesce(n, 0) AS n, CAST(24 * day(last_day(month)) AS BIGINT) AS expected, 24 * day(last_day(month)) - coalesce(whole, 0) AS missing,
+         coalesce(n - whole, 0) AS extra FROM s LEFT JOIN m USING (station, month)""")
+def axis_absent_months(spark, d):
+    """Every April is missing, and so are the months around the table's span. Stamps are days, so repeated ones are extra rows."""
+    o = table(spark, d, "orders").filter(F.month("o_orderdate") != 4)
+    o = o.select((F.col("o_custkey") % 10).alias("station"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"))
+    return I.axis_problems(o, ["station"], span=("1991-12-07", "2002-09-30"))
+
+
 @check("adopt_axis", """SELECT o_orderkey, TIMESTAMP '2021-01-01' + to_hours(o_orderkey) AS ts FROM orders""")
 def adopt_axis(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("step"))

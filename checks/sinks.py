@@ -52,20 +52,33 @@ def load_span(spark, d):
 
 
 @check("station_meta_csv", """
-  SELECT CAST(c_custkey AS VARCHAR) AS station, c_custkey * 1.5 AS altitude, CAST(c_nationkey AS DOUBLE) AS longitude,
-         CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey AS DOUBLE) END AS latitude FROM customer WHERE c_custkey < 1000""")
+  SELECT CAST(c_custkey AS VARCHAR) AS station, CAST(c_custkey * 1.5 AS DOUBLE) AS altitude, CAST(c_nationkey AS DOUBLE) AS longitude,
+         CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey AS DOUBLE) END AS latitude FROM customer""")
 def station_meta_csv(spark, d):
-    """Several files; of a repeated station the row in the first file counts. Columns in another order, one more of them."""
+    """Many files in two layouts; of a repeated station the row in the first file counts. Notes hold separators and quotes."""
     c, path = table(spark, d, "customer"), scratch(spark, "meta")
     k = F.col("c_custkey")
-    rows = c.select(k, F.lit("x").alias("Nota"), F.when(k % 7 != 0, k.cast("string")).otherwise("?").alias("Latitude"), (k % 1000).cast("string").alias("Estacao"),
+    note = F.concat(F.lit('see "map", sheet '), k.cast("string"), F.lit(', "old"'))
+    rows = c.select(note.alias("Nota"), F.when(k % 7 != 0, k.cast("string")).otherwise("?").alias("Latitude"), k.cast("string").alias("Estacao"),
                     (k * 1.5).alias("Altitude"), F.col("c_nationkey").alias("Longitude"))
-    for part in (0, 1):                      # the second file only repeats stations of the first
-        (rows.filter((k < 1000) if part == 0 else (k >= 1000)).drop("c_custkey").coalesce(1)
-         .write.options(header=True).csv(f"{path}/part{part}"))
-    meta = R.read_station_meta(spark, [f"{path}/part0", f"{path}/part1"])
-    first = rows.filter(k < 1000).select(F.col("Estacao").alias("station"))
-    return rounded(meta.join(first, "station", "left_semi"))
+    rows.write.options(header=True, escape='"').csv(f"{path}/part0")
+    again = rows.withColumn("Altitude", F.lit(-1.0)).select("Estacao", "Altitude", "Nota", "Longitude", "Latitude")
+    again.write.options(header=True, escape='"', quoteAll=True).csv(f"{path}/part1")             # later files only repeat stations of the first
+    return rounded(R.read_station_meta(spark, [f"{path}/part0", f"{path}/part1"]))
+
+
+@check("station_obs_csv", """
+  SELECT CAST(ts AS TIMESTAMP) AS ts, 'v,' || CAST(event_id AS VARCHAR) AS md_valor, CAST(user_id AS VARCHAR) AS md_final, count(*) AS n FROM events GROUP BY 1, 2, 3
+  UNION ALL SELECT CAST(ts AS TIMESTAMP), 'v,' || CAST(event_id AS VARCHAR), NULL, count(*) FROM events GROUP BY 1, 2, 3""")
+def station_obs_csv(spark, d):
+    """Every event in two files of different layouts, with quoted values that hold the separator; the second has no flag in its rows."""
+    path, e = scratch(spark, "obs-csv"), table(spark, d, "events")
+    rows = e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("dt_regis"), F.concat(F.lit("v,"), F.col("event_id").cast("string")).alias("md_valor"),
+                    F.col("user_id").cast("string").alias("md_final"), F.lit('a, "b", c').alias("nota"))
+    rows.select("nota", "md_final", "dt_regis", "md_valor").write.options(header=True, escape='"').csv(f"{path}/a")
+    rows.select("dt_regis", "md_valor", F.lit("").alias("md_final")).write.options(header=True, escape='"', emptyValue="").csv(f"{path}/b")
+    found = R.read_observations(spark, [f"{path}/a", f"{path}/b"])
+    return found.groupBy("ts", "md_valor", "md_final").agg(F.count("*").alias("n"))
 
 
 @check("side_table_csv", "SELECT CAST(p_size AS INTEGER) AS code, 'T' || (p_size % 8 + 1) AS grupo FROM part WHERE p_size % 9 <> 0 GROUP BY ALL")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from finescale.functions.physics import ColumnLike, _c
 from finescale.functions.utm import lonlat_to_utm
@@ -143,9 +145,14 @@ def grid_meta(grid: DataFrame, factor: int = 11, nodata: float = -9999.0,
 
 def bbox_scan(df: DataFrame, x: tuple[float, float], y: tuple[float, float], margin: float = 0.0,
               px: str = "px", py: str = "py") -> DataFrame:
-    """Pixels of a window plus margin; the range predicates reach the Parquet scan."""
-    return df.filter(F.col(px).between(x[0] - margin, x[1] + margin)
-                     & F.col(py).between(y[0] - margin, y[1] + margin))
+    """Pixels of a window plus margin; the range predicates reach the Parquet scan, which skips what lies outside in a table of
+    ``write_pixels``."""
+    def inside(name: str, low: float, high: float) -> Column:
+        if isinstance(df.schema[name].dataType, IntegralType):     # compared as integers: a cast of the column would keep the scan from skipping
+            low, high = math.ceil(low), math.floor(high)
+        return F.col(name).between(low, high)
+
+    return df.filter(inside(px, x[0] - margin, x[1] + margin) & inside(py, y[0] - margin, y[1] + margin))
 
 
 def holdout_class(stations: DataFrame, training: DataFrame, cell: Sequence[str] = ("iy", "ix")) -> DataFrame:

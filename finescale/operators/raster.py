@@ -104,6 +104,41 @@ def fractions(pixels: DataFrame, lookup: DataFrame, land: DataFrame | None = Non
     return out if land is None else out.join(land.select(*keys), list(keys), "left_semi")
 
 
+def _axis_shares(at: str, origin: float, edge: float, width: float, name: str) -> str:
+    """SQL array of the cells that the stretch of ``width`` around ``at`` meets on one axis, each with the stretch's share in it."""
+    low, high = f"(({at} - {width / 2!r}D - {origin!r}D) / {edge!r}D)", f"(({at} + {width / 2!r}D - {origin!r}D) / {edge!r}D)"
+    shares = (f"transform(sequence(CAST(floor({low}) AS INT), CAST(floor({high}) AS INT)), i -> named_struct('{name}', i,"
+              f" 'share', (least({high}, i + 1D) - greatest({low}, CAST(i AS DOUBLE))) / ({high} - {low})))")
+    return f"filter({shares}, s -> s.share > 0)"
+
+
+def cell_shares(pixels: DataFrame, origin: tuple[float, float], cell: tuple[float, float], pixel: tuple[float, float],
+                x: str = "x", y: str = "y") -> DataFrame:
+    """Pixels dealt to every cell they overlap: ``iy, ix`` and ``share``, the part of the pixel's area inside. The shares of a pixel add up to
+    one.
+
+    ``x, y``: pixel centres; ``pixel``: their width and height; cell (0, 0) begins at ``origin`` and is ``cell`` wide and high, all in
+    one unit. Pixels may be finer or coarser than cells. A pixel without a place meets no cell.
+    """
+    rows = pixels.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = rows.withColumn("_h", F.explode(F.expr(_axis_shares(f"`{x}`", origin[0], cell[0], pixel[0], "ix"))))
+    rows = rows.withColumn("_v", F.explode(F.expr(_axis_shares(f"`{y}`", origin[1], cell[1], pixel[1], "iy"))))
+    return rows.withColumns({"iy": F.col("_v.iy"), "ix": F.col("_h.ix"), "share": F.col("_h.share") * F.col("_v.share")}).drop("_h", "_v")
+
+
+def area_fractions(shares: DataFrame, lookup: DataFrame, land: DataFrame | None = None, keys: Sequence[str] = ("iy", "ix"),
+                   groups: Sequence[str] = GROUPS) -> DataFrame:
+    """As ``fractions``, by area: ``shares`` of ``cell_shares`` with a ``code``. Areas add up per (cell, code) before any shuffle and before
+    the lookup. Codes without a group lie in a cell's area but in no fraction; cells without a mapped pixel have NULL fractions."""
+    areas = shares.groupBy(*keys, "code").agg(F.sum("share").alias("area"))
+    grouped = areas.join(lookup.select("code", "grupo"), "code", "left")
+    area = lambda g: F.sum(F.when(F.col("grupo") == g, F.col("area")).otherwise(0.0))
+    mapped = F.sum(F.when(F.col("grupo").isin(list(groups)), F.col("area")).otherwise(0.0))
+    out = grouped.groupBy(*keys).agg(*[F.try_divide(area(g), mapped).alias(f"fracao_{g.lower()}") for g in groups],
+                                     (mapped / F.sum("area")).alias("fracao_observada"))
+    return out if land is None else out.join(land.select(*keys), list(keys), "left_semi")
+
+
 def check_fractions(df: DataFrame, groups: Sequence[str] = GROUPS, tol: float = 1e-3) -> DataFrame:
     """One row: extremes over all groups, worst deviation of the sum from one, and the verdict."""
     cols = [F.col(f"fracao_{g.lower()}") for g in groups]

@@ -234,11 +234,20 @@ def bootstrap_ci(stations: DataFrame, column: str, n: int = 2000, seed: int = 42
     return _side_by_side(data.agg(F.avg("_v").alias("mean"), F.count("_v").alias("n_stations")), ci)
 
 
-def wilcoxon_paired(stations: DataFrame, a: str, b: str) -> DataFrame:
+def _signed_rank_tail(n: str, w: str) -> str:
+    """SQL: P(W <= w) of the signed-rank statistic of n untied differences. The array of ways to reach each sum grows by one rank
+    at a time: those without the rank, and those with it, shifted. Ways stay exact in doubles up to 2^53."""
+    ways = (f"aggregate(sequence(1L, {n}), array(1D), (ways, r) -> zip_with(concat(ways, array_repeat(0D, CAST(r AS INT))),"
+            " concat(array_repeat(0D, CAST(r AS INT)), ways), (a, b) -> a + b))")
+    return f"aggregate(slice({ways}, 1, CAST({w} AS INT) + 1), 0D, (s, c) -> s + c) / power(2D, {n})"
+
+
+def wilcoxon_paired(stations: DataFrame, a: str, b: str, exact_upto: int = 50) -> DataFrame:
     """Signed-rank test of paired station metrics: ``n, w_plus, w_minus, z, p_value`` (two-sided).
 
-    Zero differences are dropped, ties share their mean rank, normal approximation with tie
-    correction. Ranks come from value counts in two levels (value buckets, then values inside a
+    Zero differences are dropped, ties share their mean rank. Up to ``exact_upto`` (at most 50) untied
+    differences, ``p_value`` comes from the exact distribution; else from the normal form with
+    tie correction. ``z`` is the normal form's in either case. Ranks come from value counts in two levels (value buckets, then values inside a
     bucket), so no task sees all stations.
     """
     d = (stations.select((F.col(a) - F.col(b)).alias("d")).filter("d IS NOT NULL AND d <> 0")
@@ -259,7 +268,9 @@ def wilcoxon_paired(stations: DataFrame, a: str, b: str) -> DataFrame:
     mean = F.col("n") * (F.col("n") + 1) / 4.0
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("_ties") / 48.0
     row = row.withColumn("z", F.try_divide(F.col("w_plus") - mean, F.sqrt(var)))
-    return row.withColumn("p_value", 2 * _normal_tail(F.abs("z"))).drop("_ties")
+    exact = F.expr(f"least(1D, 2 * {_signed_rank_tail('n', 'least(w_plus, w_minus)')})")
+    return row.withColumn("p_value", F.when((F.col("n") <= min(exact_upto, 50)) & (F.col("n") > 0) & (F.col("_ties") == 0), exact)
+                          .otherwise(2 * _normal_tail(F.abs("z")))).drop("_ties")
 
 
 def _normal_tail(z: Column) -> Column:

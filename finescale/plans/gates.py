@@ -63,12 +63,13 @@ def gate_reprojection(stations: DataFrame, tol_m: float = 1e-3) -> DataFrame:
 
 def gate_train_equals_inference(train: DataFrame, infer: DataFrame, keys: Sequence[str],
                                 values: Sequence[str], tol: float = 1e-9) -> DataFrame:
-    """Values read for training equal those read for scoring, missing matching missing."""
-    b = infer.select(*keys, *[F.col(v).alias("_b_" + v) for v in values])
-    bad = F.lit(False)
+    """Values read for training equal those read for scoring, missing matching missing. A row on one side only is bad, too."""
+    b = infer.select(*keys, *[F.col(v).alias("_b_" + v) for v in values], F.lit(True).alias("_in_b"))
+    a = train.select(*keys, *values, F.lit(True).alias("_in_a"))
+    bad = F.col("_in_a").isNull() | F.col("_in_b").isNull()
     for v in values:
         bad = bad | differs(v, "_b_" + v, tol)
-    return _gate("train_equals_inference", train.select(*keys, *values).join(b, list(keys), "left")
+    return _gate("train_equals_inference", a.join(b, list(keys), "full")
                  .agg(F.count_if(bad).alias("n_bad")))
 
 

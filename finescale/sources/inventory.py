@@ -70,9 +70,10 @@ def hourly_axis(spans: DataFrame, start: str = "start", end: str = "end", unit:
     return spans.withColumn("ts", F.explode(F.sequence(F.col(start), F.col(end), F.expr(f"INTERVAL 1 {unit}"))))
 
 
-def axis_problems(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+def axis_problems(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", span: tuple[str, str] | None = None) -> DataFrame:
     """``(keys, month, n, expected, missing, extra)`` of the months whose hourly axis is not canonical.
 
+    A month without any row is one of them (``n`` 0) if it lies between a series' first and last month, or within ``span`` (two dates).
     Compared per series and month by counting, so no canonical axis is joined: an axis is whole
     when it has days*24 distinct on-the-hour stamps and no other row.
     """
@@ -82,15 +83,23 @@ def axis_problems(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> Da
     per = (df.groupBy(*keys, month.alias("month"), F.col(ts).alias("_t"), on_hour.alias("_ok"))
            .agg(F.count("*").alias("_c"))
            .groupBy(*keys, "month").agg(F.sum("_c").alias("n"), F.count_if("_ok").alias("_whole")))
+    first, last = ((F.min("month"), F.max("month")) if span is None else
+                   (F.trunc(F.lit(s).cast("date"), "month").cast("timestamp_ntz") for s in span))
+    whole = F.explode(F.sequence("_first", "_last", F.expr("INTERVAL 1 MONTH")))
+    bounds = per.groupBy(*keys).agg(F.min("month").alias("_own"), first.alias("_first"), last.alias("_last")).filter("_own IS NOT NULL")
+    known = per.select(*keys, "month")
+    absent = (bounds.select(*keys, whole.alias("month")).join(known, [*keys, "month"], "left_anti")
+              .withColumns({"n": F.lit(0).cast("bigint"), "_whole": F.lit(0).cast("bigint")}))
+    per = per.unionByName(absent)
     return (per.withColumn("expected", hours.cast("bigint"))
             .withColumn("missing", F.col("expected") - F.col("_whole"))
             .withColumn("extra", F.col("n") - F.col("_whole"))
             .filter("missing > 0 OR extra > 0").drop("_whole"))
 
 
-def check_hourly_axis(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+def check_hourly_axis(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", span: tuple[str, str] | None = None) -> DataFrame:
     """Return ``df``; raise when a month is incomplete or off the hourly grid."""
-    if not axis_problems(df, keys, ts).isEmpty():
+    if not axis_problems(df, keys, ts, span).isEmpty():
         raise ValueError("the hourly time axis is incomplete or off the canonical hours")
     return df
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from datetime import date
 
@@ -28,14 +29,24 @@ ACCUMULATED = ("sshf", "slhf", "ssr", "str")
 
 def _by_header(lines: DataFrame, columns: Sequence[str], sep: str) -> DataFrame:
     """Fields of the named columns of delimited text, each file by its own header line: any order, any further columns. A file
-    without one of them fails."""
-    fields = F.transform(F.split(F.regexp_replace("value", "^\ufeff|\r$", ""), f"\\Q{sep}\\E"), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
-    cut = lines.select("*", fields.alias("_f"))
-    head = cut.filter("_first").select(F.col("_file").alias("_of"), F.col("_f").alias("_head"))      # a row per file
-    lost = F.raise_error(F.concat(F.lit("a column is missing in "), "_file"))
-    pick = lambda c: F.when(F.array_contains("_head", c), F.try_element_at("_f", F.array_position("_head", F.lit(c)).cast("int"))).otherwise(lost)
-    return (cut.filter("NOT _first AND value <> ''").join(head, F.col("_file") == F.col("_of"))
-            .select("_file", "_line", *[F.nullif(pick(c), F.lit("")).alias(c) for c in columns]))
+    without one of them fails.
+
+    Files are grouped by header: the driver reads the distinct header lines (as many as there are layouts, not files) and Spark's CSV parser
+    reads the lines of each. Fields may be quoted, then hold separators and doubled quotes, but no line break.
+    """
+    clean = lines.withColumn("value", F.regexp_replace("value", "^\ufeff|\r$", ""))
+    head = clean.filter("_first").select(F.col("_file").alias("_of"), F.col("value").alias("_head"))      # a row per file
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    fields = F.lit(None).cast("array<string>")
+    for (layout,) in head.select("_head").distinct().collect():
+        names = [n.strip() for n in next(csv.reader([layout], delimiter=sep, skipinitialspace=True))] if len(sep) == 1 else layout.split(sep)
+        lost = [c for c in columns if c not in names]
+        if lost:
+            raise ValueError(f"columns {lost} are missing below the header {layout!r}")
+        parsed = F.from_csv("value", ", ".join(f"_c{k} STRING" for k in range(len(names))), options)
+        fields = F.when(F.col("_head") == layout, F.array(*[parsed[f"_c{names.index(c)}"] for c in columns])).otherwise(fields)
+    rows = clean.filter("NOT _first AND value <> ''").join(head, F.col("_file") == F.col("_of")).withColumn("_f", fields)
+    return rows.select("_file", "_line", *[F.nullif(F.col("_f")[k], F.lit("")).alias(c) for k, c in enumerate(columns)])
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finescale.functions.physics import to_celsius
@@ -80,6 +80,24 @@ def overwrite_window(new: DataFrame, path: str, start: datetime | None, end: dat
     spark.catalog.refreshByPath(path)
 
 
+def morton(bx: str, by: str, bits: int = 24) -> Column:
+    """Place on the Z-order curve of two block numbers (SQL text) from -2**(bits-1) to 2**(bits-1) - 1: their bits by turns."""
+    half = 1 << (bits - 1)
+    return F.expr(f"aggregate(sequence(0, {bits - 1}), 0L, (m, k) -> m | shiftleft(shiftright({bx} + {half}L, k) & 1L, 2 * k)"
+                  f" | shiftleft(shiftright({by} + {half}L, k) & 1L, 2 * k + 1))")
+
+
+def write_pixels(df: DataFrame, path: str, px: str = "px", py: str = "py", block: int = 64, rows: int = 1 << 16, partitions: int | None = None) -> None:
+    """A raster table whose files and row groups (of ``rows`` pixels at most) each cover a compact area: blocks of pixels in Z-order, dealt by
+    ranges of it. A window then reads the row groups whose smallest and largest ``px, py`` meet it, not the table."""
+    key = morton(f"CAST(floor(`{px}` / {block}) AS BIGINT)", f"CAST(floor(`{py}` / {block}) AS BIGINT)")
+    order = ["_place", py, px]
+    placed = df.withColumn("_place", key)
+    spread = placed.repartitionByRange(partitions, *order) if partitions else placed.repartitionByRange(*order)
+    (spread.sortWithinPartitions(*order).drop("_place").write.mode("overwrite").option("parquet.block.row.count.limit", rows)
+     .option("parquet.page.row.count.limit", max(rows // 4, 1)).parquet(path))
+
+
 def write_matrix(df: DataFrame, path: str, ts: str = "ts", partitions: int | None = None) -> None:
     """Matrix in (cell, hour) order: range partitions, sorted inside each."""
     key = ["cell_id", ts]

@@ -65,6 +65,8 @@ def test_gate_detects_differences(spark):
     b = spark.createDataFrame([(1, None), (2, 1.0 + 1e-10), (3, None)], "k INT, v DOUBLE")
     gate = G.gate_train_equals_inference(a, b, ["k"], ["v"])
     assert gate.first()["n_bad"] == 1
+    lost, more = b.filter("k <> 1"), b.union(spark.createDataFrame([(9, 5.0)], b.schema))      # rows on one side only, also where null
+    assert [G.gate_train_equals_inference(a, x, ["k"], ["v"]).first()["n_bad"] for x in (lost, more)] == [2, 2]
     with pytest.raises(ValueError):
         G.stop_on_failure(gate)
 

@@ -31,6 +31,30 @@ def test_observations_by_header_name(spark, tmp_path):
         ("a_1", datetime(2020, 1, 1), "10.5", "4"), ("a_1", datetime(2020, 1, 1, 1), "7", None), ("b", datetime(2020, 1, 2), "1", "5")]
 
 
+def test_quoted_fields_keep_separators_and_quotes(spark, tmp_path):
+    (tmp_path / "a_1_202001.csv").write_text('dt_regis,nota,md_valor,md_final\n2020-01-01 00:00:00,"a, b",21.5,4\n2020-01-01 01:00:00,"say ""x, y""", 7 ,\n')
+    (tmp_path / "a_1_202002.csv").write_text('md_final,md_valor,dt_regis\n5,"1,5",2020-02-01 00:00:00\n9\n')
+    assert rows(R.read_observations(spark, str(tmp_path)), "md_final") == [
+        ("a_1", datetime(2020, 1, 1, 1), "7", None), ("a_1", datetime(2020, 1, 1), "21.5", "4"), ("a_1", datetime(2020, 2, 1), "1,5", "5"), ("a_1", None, None, "9")]
+
+
+def test_other_separators(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('Latitude;Estacao;Altitude;Longitude\n-27;"0;1";10;-50\n')
+    assert rows(R.read_station_meta(spark, str(tmp_path / "m.csv"), sep=";")) == [("0;1", 10.0, -50.0, -27.0)]
+
+
+def test_months_without_a_row_are_reported(spark):
+    hours = [(s, datetime(2020, m, d, h)) for s, m in (("a", 1), ("a", 3), ("b", 2)) for d in range(1, {1: 32, 2: 30, 3: 32}[m]) for h in range(24)]
+    df = spark.createDataFrame(hours, "station STRING, ts TIMESTAMP_NTZ")
+    assert rows(I.axis_problems(df, ["station"]).drop("extra")) == [("a", datetime(2020, 2, 1), 0, 696, 696)]
+    assert rows(I.axis_problems(df, ["station"], span=("2020-01-15", "2020-03-02")).select("station", "month"), "station", "month") == [
+        ("a", datetime(2020, 2, 1)), ("b", datetime(2020, 1, 1)), ("b", datetime(2020, 3, 1))]
+    assert I.axis_problems(df.filter("station = 'b'")).isEmpty()
+    assert rows(I.axis_problems(df).select("month")) == []
+    with pytest.raises(ValueError):
+        I.check_hourly_axis(df, span=("2020-01-01", "2020-04-01"))
+
+
 def test_observations_without_a_column_fail(spark, tmp_path):
     (tmp_path / "1_202001.csv").write_text("dt_regis,valor,md_final\n2020-01-01 00:00:00,10.5,4\n")
     with pytest.raises(Exception):
