@@ -12,51 +12,106 @@ null id stays null. Other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from finescale.llm.text import plain, slices
+from finescale.llm.text import plain, raw, slices
 
-SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+SCHEMA = "doc_id bigint, start bigint, length bigint, {ids}, doc_tokens bigint, sequence_id bigint, offset bigint"
+
+
+def _byte_signs() -> dict[int, str]:
+    """Signs that byte-level vocabularies write for bytes: visible Latin-1 characters for themselves, the others from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_SIGNS = _byte_signs()
 
 
 class WordIds:
     """Token ids of texts, as little-endian 32-bit values, for a tokenizer that drops white space and reads lower case: such
     a tokenizer treats what stands between spaces alone, so that each distinct word is tokenised once."""
 
-    LIMIT = 600_000                     # distinct words kept by a worker; then it starts anew
+    LIMIT = 400_000                     # distinct words of a generation; a worker keeps two, and words in use move to the younger one
+
+    PROBES = ("the", "straße", "coração", "zażółć", "internationalisation")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {b"": b""}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        missing = set().union(*split).difference(self.known)
+        # a model over bytes reads a word of lower-case letters as it stands; probes tell whether this tokenizer does nothing else to them
+        self.bytewise = all([t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(BYTE_SIGNS))]
+                            == self.tokenizer.encode(w, add_special_tokens=False).ids for w in self.PROBES)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a ``plain`` array. Words become numbers first, so that each distinct one is looked up once, and ids are
+        gathered by number."""
+        data, offsets = raw(texts)
+        data = np.where((data >= 65) & (data <= 90), data | 32, data)
+        inside = (data != 32) & (data != 10)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        starts = np.flatnonzero(inside & (edge[:-1] | ~np.append(False, inside)[:-1]))
+        ends = np.flatnonzero(inside & (edge[1:] | ~np.append(inside, False)[1:])) + 1
+        begin = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(begin), pa.py_buffer(data[inside])]).dictionary_encode()
+        body, bounds = raw(found.dictionary)
+        body, bounds = body.tobytes(), bounds.tolist()
+        each = self._ids_of([body[a:z] for a, z in zip(bounds, bounds[1:])])
+        flat = np.frombuffer(b"".join(each), "<u4")
+        size = np.fromiter(map(len, each), np.int64, len(each)) >> 2
+        at = found.indices.to_numpy(zero_copy_only=False)
+        count = size[at]
+        total = np.append(0, np.cumsum(count))
+        ids = flat[np.repeat((np.cumsum(size) - size)[at] - total[:-1], count) + np.arange(total[-1])]
+        bounds = total[np.searchsorted(starts, offsets)].tolist()
+        return [ids[a:z].tobytes() for a, z in zip(bounds, bounds[1:])]
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        missing = set(words).difference(self.known)
         if len(self.known) + len(missing) > self.LIMIT:
-            self.known = {b"": b""}
-            missing = set().union(*split) - {b""}
-        self._learn(missing)
-        look = self.known.__getitem__
-        return [b"".join(map(look, x)) for x in split]
+            self.older, self.known = self.known, {}
+            missing = set(words)
+        again = missing.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        self._learn(missing - again)
+        return list(map(self.known.__getitem__, words))
 
     def _learn(self, missing: set[bytes]) -> None:
-        letters, others, ends = set(), [], []
+        letters, plain_letters, others, ends = set(), set(), [], []
         for word in missing:
+            if word.isalpha():                              # ASCII letters
+                plain_letters.add(word)
+                continue
             bare = word.rstrip(b".,;:!?")
-            if bare.decode().isalpha():                     # one word of letters, then signs: two independent parts
-                letters.add(bare)
-                if bare != word:
-                    ends.append((word, bare, word[len(bare):]))
+            if bare.isalpha():
+                plain_letters.add(bare)
+            elif (as_text := bare.decode()).isalpha() and as_text.lower().isalpha():     # one word of letters, then signs: two parts
+                (plain_letters if max(as_text) < "\u0250" and as_text.islower() and is_normalized("NFC", as_text) else letters).add(bare)
             else:
                 others.append(word)
+                continue
+            if bare != word:
+                ends.append((word, bare, word[len(bare):]))
         others += {e for _, _, e in ends}.difference(self.known, missing)
+        if self.bytewise:
+            read, known = self.tokenizer.model.tokenize, self.known
+            for word in plain_letters.difference(known):
+                signs = word.decode("latin-1")
+                known[word] = array("I", [t.id for t in read(signs if word.isascii() else signs.translate(BYTE_SIGNS))]).tobytes()
+        else:
+            letters |= plain_letters
         self._learn_letters([x for x in letters if x not in self.known])
         for word, x in zip(others, self.tokenizer.encode_batch([x.decode() for x in others], add_special_tokens=False)):
             self.known[word] = np.array(x.ids, "<u4").tobytes()
@@ -96,8 +151,8 @@ def cuts(length: int, capacity: int, slack: int) -> list[int]:
 class Packer:
     """Bins of one task."""
 
-    def __init__(self, capacity: int, task: int):
-        self.capacity, self.next = capacity, task << 33
+    def __init__(self, capacity: int, task: int, with_ids: bool = True):
+        self.capacity, self.next, self.with_ids = capacity, task << 33, with_ids
         self.open: dict[int, list[tuple]] = {}
         self.rows: list[tuple] = []
 
@@ -112,7 +167,7 @@ class Packer:
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
         for doc, start, size, ids, total in pieces:
-            self.rows.append((doc, start, size, ids, total, self.next, offset))
+            self.rows.append((doc, start, size, ids if self.with_ids else zlib.crc32(ids), total, self.next, offset))
             offset += size
         self.next += 1
 
@@ -137,17 +192,17 @@ class Packer:
     def drain(self) -> pa.RecordBatch:
         columns = list(zip(*self.rows)) or [[]] * 7
         self.rows = []
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary() if self.with_ids else pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "start", "length", "ids" if self.with_ids else "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, slack: int = 16) -> DataFrame:
-    """Pieces of all documents (``doc_id``, ``text``) with their ids (little-endian unsigned 32-bit), place in the document and
-    place in a sequence. ``tokenizer``: path of a file for the tokenizers library, the same on all machines."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, slack: int = 16, with_ids: bool = True) -> DataFrame:
+    """Pieces of all documents (``doc_id``, ``text``) with their ids (little-endian unsigned 32-bit; only their crc32, ``ids_crc32``,
+    unless ``with_ids``), place in the document and place in a sequence. ``tokenizer``: path of a file for the tokenizers library, the same on all machines."""
     if capacity & (capacity - 1) or capacity < 16:
         raise ValueError("capacity must be a power of two, 16 or more")
     end = int(end_id).to_bytes(4, "little")
@@ -156,11 +211,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         if tokenizer not in _TOKENIZERS:
             _TOKENIZERS[tokenizer] = WordIds(tokenizer)
         words = _TOKENIZERS[tokenizer]
-        packer = Packer(capacity, TaskContext.get().partitionId())
+        packer = Packer(capacity, TaskContext.get().partitionId(), with_ids)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                texts = pc.cast(plain(part.column("text")), pa.large_binary()).to_pylist()
-                for doc, ids in zip(part.column("doc_id").to_pylist(), words.encode(texts)):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), words.encode(plain(part.column("text")))):
                     ids += end
                     start, total = 0, len(ids) // 4
                     for size in cuts(total, capacity, slack):
@@ -171,4 +225,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         packer.finish()
         yield packer.drain()
 
-    return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(task, SCHEMA.format(ids="ids binary" if with_ids else "ids_crc32 bigint"))

@@ -1,12 +1,15 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from finescale.llm import packing
-from tests.llm.common import documents
+from tests.llm.common import HAVE, SF, documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [(1, "Some words, here. It's 12 o'clock <|endoftext|> é-ü"), (2, None), (3, ""), (4, "word " * 9000), (4, "word " * 9000),
@@ -70,10 +73,32 @@ def test_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(packing.WordIds, "LIMIT", 5)
     words, plain = packing.WordIds(PATH), Tokenizer.from_file(PATH)
     for text in ("one two three", "four five six seven", "one eight. nine"):
-        assert np.frombuffer(words.encode([text.encode()])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.encode(pa.array([text], pa.large_string()))[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_empty_table_and_digest(spark):
     assert packing.pack(documents(spark, []), PATH).collect() == []
     r = packing.pack(documents(spark, [(1, "a b")]), PATH).selectExpr("ids", "crc32(ids) AS c").first()
     assert r.c == zlib.crc32(bytes(r.ids))
+
+
+def test_words_equal_the_tokenizer():
+    """Whole documents, texts of odd signs, and letters that lower case or normalisation would change."""
+    words, plain = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    assert words.bytewise
+    rng = random.Random(2)
+    signs = "aBé ßÉ.,!?\n\t 1ıİΣσſǅé漢-'\"₂ñ́ Ω"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(3000)] + ["", " ", "\n", "İ", "é. é."]
+    if HAVE:
+        texts += [t or "" for t in pq.read_table(SF.replace("sf0.001", "sf0.01") + "/documents.parquet").column("text").to_pylist()]
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    for bytewise in (True, False):
+        words.bytewise, words.known = bytewise, {}
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(pa.array(texts, pa.large_string()))] == want
+
+
+def test_checksums_instead_of_ids(spark):
+    docs = documents(spark, TEXTS).repartition(3).cache()
+    ids = {(r.doc_id, r.start, r.length, r.sequence_id, r.offset, zlib.crc32(bytes(r.ids))) for r in packing.pack(docs, PATH).collect()}
+    got = packing.pack(docs, PATH, with_ids=False)
+    assert {(r.doc_id, r.start, r.length, r.sequence_id, r.offset, r.ids_crc32) for r in got.collect()} == ids
