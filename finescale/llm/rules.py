@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finescale.llm.oracle import crc32_sql, crc32_table
@@ -38,6 +38,7 @@ from finescale.operators.one_row import attach_row
 FEWEST, REPEATED, WINDOW = 20, 30, 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "n_stutters")
 FOLDS = 4
+SALTS = 32                      # shares of a stratum's rows, each of which meets a copy of its cutoffs
 STEPS = (0.0, 0.002, 0.005, 0.01, 0.02)        # shares of good documents that one rule may reject in the proposing fold
 LIMIT, RISK, PRICE = 0.05, 0.05, 20
 # Rules: measure (sign, numerator, denominator) and its grid of cutoffs, in thousandths. A document is beyond a cutoff if its measure is greater.
@@ -164,7 +165,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, limit: float = LIMIT, risk:
     marks = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     values = F.array(*[F.expr(r.sql()) for r in rules])
     taught = written(measured.filter("NOT base_failed AND doc_id IS NOT NULL").join(marks, "doc_id")
-                     .select("stratum", F.expr("quality = 1").alias("good"), (fold() == 0).alias("proposes"), values.alias("values")), "taught")
+                     .select("stratum", F.expr("quality = 1").alias("good"), (fold() == 0).alias("proposes"), values.alias("values"), _salt()), "taught")
     grid = "array(" + ", ".join("array(" + ", ".join(map(str, r.grid)) + ")" for r in rules) + ")"
     # how many cutoffs of its rule's grid a value is beyond, counted per stratum and label, then summed from the top
     bins = (taught.filter("proposes").select("stratum", "good", F.posexplode("values").alias("rule", "value"))
@@ -183,7 +184,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, limit: float = LIMIT, risk:
               .agg(F.map_from_entries(F.collect_list(F.struct("rule", F.col("best.cut").alias("cut")))).alias("cuts"))
               .select("stratum", "step", F.expr(f"transform(sequence(0, {len(rules) - 1}), r -> cuts[r])").alias("cuts")))
     proposed = written(picked, "proposed")
-    held = taught.filter("NOT proposes").join(proposed, "stratum").select("stratum", "step", "good", F.expr(beyond()).alias("rejected"))
+    held = taught.filter("NOT proposes").join(_salted(proposed), ["stratum", "salt"]).select("stratum", "step", "good", F.expr(beyond()).alias("rejected"))
     tested = held.groupBy("stratum", "step").agg(F.expr("count_if(good)").alias("n_good"), F.expr("count_if(good AND rejected)").alias("n_lost"),
                                                  F.expr("count_if(NOT good)").alias("n_bad"), F.expr("count_if(NOT good AND rejected)").alias("n_caught"))
     strata = taught.select("stratum").distinct().agg(F.count("*").alias("strata"))
@@ -197,6 +198,15 @@ def cutoffs(measured: DataFrame, labels: DataFrame, limit: float = LIMIT, risk:
     return chosen.join(proposed, ["stratum", "step"]).select("stratum", "step", "cuts", "n_good", "n_lost", "tail")
 
 
+def _salt() -> Column:
+    return F.expr(f"pmod(xxhash64(doc_id, n_words, word_chars), {SALTS})").cast("int").alias("salt")
+
+
+def _salted(cuts: DataFrame) -> DataFrame:
+    """A row of each stratum for every share of its documents: a stratum may hold most of them, its cutoffs are one row."""
+    return cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def beyond(values: str = "values", cuts: str = "cuts") -> str:
     """SQL: any value is beyond its cutoff. Rules that are off, and values that do not exist, reject nothing."""
     return f"exists(zip_with({values}, {cuts}, (v, c) -> coalesce(v > c, false)), x -> x)"
@@ -212,7 +222,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: floa
     values = ", ".join(r.sql() for r in rules)
     names = ", ".join(f"'{r.name}'" for r in rules)
     broken = f"filter(zip_with(zip_with(array({values}), cuts, (v, c) -> coalesce(v > c, false)), array({names}), (b, n) -> IF(b, n, NULL)), x -> x IS NOT NULL)"
-    judged = measured.join(found, "stratum", "left").withColumn("broken", F.expr(f"coalesce({broken}, CAST(array() AS array<string>))"))
+    judged = measured.withColumn("salt", _salt()).join(_salted(found), ["stratum", "salt"], "left").drop("salt").withColumn("broken", F.expr(f"coalesce({broken}, CAST(array() AS array<string>))"))
     return judged.withColumn("kept", F.expr("NOT base_failed AND size(broken) = 0")).drop("cuts")
 
 
