@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finescale.llm.components import components
-from finescale.llm.shared import written
+from finescale.llm.shared import discard, written
 from finescale.llm.text import ngrams, plain, slices, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -40,6 +40,7 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 AGREE = 18                      # draws of SAMPLES that a pair at the threshold has in all but some 1 of 10,000 cases
 SMALL, BLOCK, SHARE = 12, 512, 256
+MARK_BITS = 24
 _POOL = 1 << 14
 
 
@@ -324,6 +325,49 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, threshold: floa
             .groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
 
 
+def marks(rows: DataFrame) -> np.ndarray:
+    """Bits of a table of fixed width, 2**MARK_BITS, that the rows' ``slot`` take."""
+    width = (1 << MARK_BITS) // DF_BLOCKS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << MARK_BITS, bool)
+        for batch in batches:
+            bits[batch.column("slot").to_numpy()] = True
+        used = np.flatnonzero(bits.reshape(DF_BLOCKS, width).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([np.packbits(bits[k * width:(k + 1) * width]).tobytes()
+                                                                                    for k in used.tolist()], pa.binary())], names=["block", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(bits, np.uint8)
+                found[block] = found[block] | x if block in found else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())],
+                                         names=["block", "bits"])
+
+    kinds, out = "block int, bits binary", np.zeros((DF_BLOCKS, width // 8), np.uint8)
+    for block, bits in rows.mapInArrow(mark, kinds).repartition(DF_BLOCKS // 4, "block").mapInArrow(join, kinds).collect():
+        out[block] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def bodies(base: DataFrame, own: DataFrame) -> DataFrame:
+    """``doc, digest, text`` of ``base`` for the ``doc, digest`` of ``own``. A bit table of fixed width drops most other texts where they are
+    read, before whole texts are shuffled; the exact join stays behind it. At any size the join alone decides."""
+    slot = F.expr(f"pmod(xxhash64(doc, digest), {1 << MARK_BITS})")
+    own = own.select("doc", "digest").distinct()
+    bits = base.sparkSession.sparkContext.broadcast(marks(own.select(slot.alias("slot"))))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)).drop_columns(["slot"])
+
+    likely = base.select("doc", "digest", "text", slot.alias("slot")).mapInArrow(task, "doc bigint, digest binary, text string")
+    return likely.join(own, ["doc", "digest"], "left_semi")
+
+
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Texts and their links. First: ``doc, digest, head`` of every document with an id, where ``head`` is the smallest id with that
     text. Second: linked ``a, b, similarity`` between heads of different texts, without those within a group that others join."""
@@ -335,9 +379,10 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     idf = spark.sparkContext.broadcast(inverse(df, n))                            # 2**DF_BITS numbers
     drawn = written(signatures(base, idf), "draws")
     heads = drawn.groupBy("digest").agg(F.min("doc").alias("head"))
-    copies = drawn.select("doc", "digest").join(heads, "digest")
+    copies = written(drawn.select("doc", "digest").join(heads, "digest"), "copies")
     texts = written(drawn.join(heads, [drawn["digest"] == heads["digest"], drawn["doc"] == heads["head"]], "left_semi")
                     .filter(F.size("bands") > 0).dropDuplicates(["doc", "digest"]), "texts")
+    discard(drawn)
     rows = texts.select("doc", "digest", "draws", F.explode("bands").alias("key"))
     counted = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
     small = rows.join(counted.filter(F.col("n") <= SMALL), "key")
@@ -348,22 +393,25 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
         "key", (-F.col("top.back")).alias("lead"), F.col("top.draws").alias("lead_draws"))
     first = small_pairs(small).unionByName(star_pairs(wide.join(leads, "key").filter("doc <> lead")))
     first = written(first.filter("a <> b").distinct(), "pairs")
-
-    def bodies(own: DataFrame) -> DataFrame:
-        return base.join(own.select("doc", "digest").distinct(), ["doc", "digest"], "left_semi")
-
-    paired = first.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(heads, F.col("doc") == F.col("head"))
-    sure = written(verified(first, written(bodies(paired).select("doc", "text"), "bodies"), idf, threshold), "links")
+    discard(texts, counted)
+    own = copies.filter("doc = head").select("doc", "digest")
+    paired = first.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(own, "doc")
+    read = written(bodies(base, paired).select("doc", "text"), "bodies")
+    sure = written(verified(first, read, idf, threshold), "links")
+    discard(first, read)
     if wide.isEmpty():
         return copies, sure
     group = components(sure)
     labelled = written(wide.select("key", "doc", "digest", "draws").join(group, F.col("doc") == F.col("node"), "left").select(
         "key", "doc", "digest", "draws", F.coalesce("component", "doc").alias("grp")), "labelled")
     late = written(promising(meeting_blocks(labelled)), "promising")
+    discard(wide, labelled)
     if late.isEmpty():
         return copies, sure
-    read = written(bodies(late).dropDuplicates(["doc", "digest"]), "bodies")
-    return copies, sure.unionByName(written(joined(late.join(read, ["doc", "digest"]), idf, threshold), "links"))
+    read = written(bodies(base, late).dropDuplicates(["doc", "digest"]), "bodies")
+    more = written(joined(late.join(read, ["doc", "digest"]), idf, threshold), "links")
+    discard(late, read)
+    return copies, sure.unionByName(more)
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -29,7 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` whose last reader has run: none may be part of a frame that is still to be computed."""
+    for table in tables:
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def fold(doc_id: Column | str = "doc_id") -> Column:
