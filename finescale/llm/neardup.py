@@ -383,10 +383,13 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     texts = written(drawn.join(heads, [drawn["digest"] == heads["digest"], drawn["doc"] == heads["head"]], "left_semi")
                     .filter(F.size("bands") > 0).dropDuplicates(["doc", "digest"]), "texts")
     discard(drawn)
-    rows = texts.select("doc", "digest", "draws", F.explode("bands").alias("key"))
+    # bands meet without draws, which only the few rows in shared bands need; of an id with several texts, ``tag`` tells them apart but
+    # for chance, and then both are candidates
+    rows = texts.select("doc", F.hash("digest").alias("tag"), F.explode("bands").alias("key"))
     counted = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
-    small = rows.join(counted.filter(F.col("n") <= SMALL), "key")
-    wide = written(rows.join(counted.filter(F.col("n") > SMALL), "key"), "wide")
+    shared = written(rows.join(counted, "key"), "shared").join(texts.select("doc", F.hash("digest").alias("tag"), "digest", "draws"), ["doc", "tag"])
+    small = shared.filter(F.col("n") <= SMALL)
+    wide = written(shared.filter(F.col("n") > SMALL).drop("tag"), "wide")
     company = wide.groupBy("doc").agg(F.sum("n").alias("company"))
     top = F.max(F.struct("company", (-F.col("doc")).alias("back"), "draws")).alias("top")
     leads = wide.join(company, "doc").groupBy("key").agg(top).select(
