@@ -17,7 +17,7 @@ from finescale.llm import decontaminate, language, neardup, packing, quality
 from finescale.llm.shared import new_path, written
 
 QUALITY = 0.7                   # documents that score less go
-LANGUAGE = 0.5                  # so do those without a letter and those where no language has this score
+LANGUAGE = 0.5                  # so do those without a letter and those whose set of languages is less certain; their shares do not matter
 OWN = "__corpus_pipeline_"      # before the names of columns that a stage adds for itself
 
 
@@ -28,7 +28,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = language.predict(docs, language.fit(docs), OWN)
-    return found.filter((F.col(OWN + "lang_pred") != "und") & (F.col(OWN + "score") >= LANGUAGE)).select(docs.columns)
+    certain = F.col(OWN + "score") >= LANGUAGE * F.array_max(OWN + "proportions")         # the score is certainty times the largest share
+    return found.filter((F.col(OWN + "lang_pred") != "und") & certain).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
