@@ -128,10 +128,10 @@ def _stack(spark, d):
             .select("iy", "ix", "ts", (F.col("t") - 0.5 * F.col("iy")).alias("t2m_1km")))
 
 
-def matrix(spark, d):
+def matrix(spark, d, counts=None, outlier=60.0):
     """Training matrix of the driver's tables: baseline, time and memory features plus the statics."""
-    return build_matrix(hourly_obs(spark, d), station_cells(spark, d), _stack(spark, d), _statics(spark, d), outlier=60.0,
-                        expected_features=None)
+    return build_matrix(hourly_obs(spark, d), station_cells(spark, d), _stack(spark, d), _statics(spark, d), outlier=outlier,
+                        expected_features=None, counts=counts)
 
 
 @check("feature_matrix", f"""WITH {MATRIX_SQL}

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import OBS_CELL_SQL, cells, check, obs_cell, table
+from checks.base import OBS_CELL_SQL, cells, check, obs_cell, r6, rounded, table
 from checks.fields import BILINEAR_SQL, MATRIX_SQL, matrix
+from checks.sinks import scratch
 from finescale.models import band as B
 from finescale.models import folds as FO
 from finescale.models import residual as RM
 from finescale.operators.one_row import attach_row
+from finescale.plans import training as TR
 from finescale.plans.field import anchored_field, score_field
+from finescale.plans.matrix import MatrixCounts
 
 ROUNDS, FOLDS = 5, 3
 PARAMS = RM.BoostParams(rounds=ROUNDS, rate=0.3, depth=4, min_rows=20, features="all", rows=0.8, bins=64)
@@ -126,6 +129,77 @@ def importance_structure(spark, d):
         "feature", F.col("gain").between(0, 1).alias("in_range"), (F.abs(F.col("_all") - 1) < 1e-6).alias("sums_to_one"))
 
 
+@check("split_counts_structure", f"SELECT {FOLDS} AS models, TRUE AS adds_up, TRUE AS some_split")
+def split_counts_structure(spark, d):
+    """Splits per feature add up to the inner nodes of all trees of every fold's model."""
+    _, models = RM.oof_predict(matrix(spark, d), FEATURES, FOLDS, PARAMS)
+    inner = sum((t.numNodes - 1) // 2 for m in models for t in m.stages[-1].trees)
+    total = RM.importance(models, FEATURES, spark).agg((F.sum("split") * len(models)).alias("s"))
+    return total.select(F.lit(len(models)).alias("models"), (F.abs(F.col("s") - inner) < 1e-6).alias("adds_up"), (F.col("s") > 0).alias("some_split"))
+
+
+def _cv(spark, d):
+    return TR.cv_centre(matrix(spark, d), FEATURES, scratch(spark, "cv"), FOLDS, PARAMS)
+
+
+@check("cv_centre_table", f"""WITH {MATRIX_SQL} SELECT cell_id, ts, {r6('y_residuo')} AS y_residuo, TRUE AS predicted FROM mat""")
+def cv_centre_table(spark, d):
+    out = _cv(spark, d).table
+    return rounded(out.withColumn("predicted", F.col("pred_residuo").isNotNull()).drop("pred_residuo"), only=["y_residuo"])
+
+
+# what a report says about the baseline needs no model, so SQL knows it
+@check("cv_centre_strata", f"""WITH {MATRIX_SQL},
+  s AS (SELECT y_residuo AS y, 'hora' AS estrato, CAST(hour(ts) AS VARCHAR) AS grupo FROM mat
+        UNION ALL SELECT y_residuo, 'mes', CAST(month(ts) AS VARCHAR) FROM mat
+        UNION ALL SELECT y_residuo, 'faixa_elev', CASE WHEN z_alvo <= 200 THEN '0-200' WHEN z_alvo <= 500 THEN '200-500' WHEN z_alvo <= 1000 THEN '500-1000' ELSE '>1000' END
+                  FROM mat WHERE z_alvo >= 0)
+  SELECT estrato, grupo, count(*) AS n, {r6('sqrt(avg(y * y))')} AS rmse_era5, {r6('avg(abs(y))')} AS mae_era5, TRUE AS better FROM s GROUP BY 1, 2""")
+def cv_centre_strata(spark, d):
+    out = _cv(spark, d).strata
+    return rounded(out.select("estrato", "grupo", "n", "rmse_era5", "mae_era5", (F.col("rmse_down").isNotNull() & (F.col("ss") <= 1)).alias("better")), only=["rmse_era5", "mae_era5"])
+
+
+@check("matrix_counts_on_write", f"""WITH {MATRIX_SQL.replace('<= 60', '<= 1e9')}
+  SELECT count(*) AS n_found, (SELECT count(*) FROM obs_cell) - count(*) AS n_lost, count(*) FILTER (abs(y_residuo) <= 30) AS mantidos,
+         count(*) FILTER (abs(y_residuo) > 30) AS removidos, {r6('max(abs(y_residuo)) FILTER (abs(y_residuo) > 30)')} AS maior_removido,
+         count(*) FILTER (abs(y_residuo) <= 30) AS n_rows, count(*) FILTER (abs(y_residuo) <= 30 AND n_est_cel > 1) AS n_multi,
+         count(*) FILTER (abs(y_residuo) <= 30 AND dt2m_1h IS NULL) AS null_dt2m_1h, count(*) FILTER (abs(y_residuo) <= 30 AND z_alvo IS NULL) AS null_z_alvo FROM mat""")
+def matrix_counts_on_write(spark, d):
+    """All counts come from the one job that writes the matrix."""
+    counts = MatrixCounts()
+    matrix(spark, d, counts, outlier=30.0).write.parquet(scratch(spark, "matrix"))
+    figures = counts.figures()
+    names = ("n_found", "n_lost", "mantidos", "removidos", "n_rows", "n_multi", "null_dt2m_1h", "null_z_alvo")
+    top = figures["maior_removido"]
+    return rounded(spark.createDataFrame([(*[figures[n] for n in names], None if top is None else float(top))],
+                                         ", ".join(f"{n} BIGINT" for n in names) + ", maior_removido DOUBLE"))
+
+
+@check("branch_report", f"""WITH {MATRIX_SQL}
+  SELECT count(*) AS n_train, 0 AS crossing, {r6('quantile_cont(T_ERA5_bilinear + 273.15, 0.16)')} AS "t_lo_K", {r6('quantile_cont(T_ERA5_bilinear + 273.15, 0.84)')} AS "t_hi_K",
+         TRUE AS calibrated, TRUE AS centre_fits FROM mat""")
+def branch_report(spark, d):
+    """Shares below the quantiles lie within 0.05 of their levels on the rows of the fit; the centre beats the baseline there."""
+    m = matrix(spark, d)
+    band, centre = TR.fit_branches(m, FEATURES, FEATURES, params=PARAMS, trees=8, depth=5, min_rows=20)
+    r = attach_row(TR.branch_report(m, band, centre, FEATURES), m.agg(F.sqrt(F.avg(F.col("y_residuo") * F.col("y_residuo"))).alias("_base")))
+    near = lambda c, a: F.abs(F.col(c) - a) < 0.05
+    return rounded(r.select("n_train", F.col("crossing").cast("int").alias("crossing"), "t_lo_K", "t_hi_K",
+                            (near("cob_lo", 0.16) & near("cob_med", 0.5) & near("cob_hi", 0.84)).alias("calibrated"),
+                            (F.col("rmse") < F.col("_base")).alias("centre_fits")), only=["t_lo_K", "t_hi_K"])
+
+
+@check("forest_held_out")
+def forest_held_out(spark, d):
+    """Shares of the target below each quantile on a fifth of the cells, which the fit has not seen: figures, no verdict."""
+    m = FO.carve_holdout(matrix(spark, d), 0.2, 42)
+    model = B.fit_band(m.filter("NOT holdout"), FEATURES, trees=8, depth=5, min_rows=20)
+    return B.predict_band(m.filter("holdout"), model).agg(
+        F.count("*").alias("n"), F.count_distinct("cell_id").alias("cells"),
+        *[F.avg((F.col("y_residuo") <= F.col(q)).cast("double")).alias(n) for q, n in zip(B.NAMES, ("cob_lo", "cob_med", "cob_hi"))])
+
+
 @check("band_structure", f"""WITH {MATRIX_SQL}
   SELECT count(*) AS n, 0 AS missing, 0 AS out_of_order, TRUE AS low_covers, TRUE AS mid_covers, TRUE AS high_covers FROM mat""")
 def band_structure(spark, d):

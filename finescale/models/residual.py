@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -84,6 +87,23 @@ def predict(df: DataFrame, features: Sequence[str], model: PipelineModel, name:
     return out if name == "pred_residuo" else out.withColumnRenamed("pred_residuo", name)
 
 
+def fit_folds(folded: DataFrame, features: Sequence[str], k: int, params: BoostParams = BoostParams(), early_stop: bool = True,
+              side_by_side: int = 1) -> list[PipelineModel]:
+    """The model of every fold, which never saw its rows; ``side_by_side`` fits share the cluster at a time."""
+    def fit(fold: int) -> PipelineModel:
+        return fit_residual(folded.filter(F.col("fold") != fold), features, params, early_stop)
+
+    with ThreadPoolExecutor(max(side_by_side, 1)) as pool:
+        return list(pool.map(fit, range(k)))
+
+
+def score_folds(folded: DataFrame, features: Sequence[str], models: Sequence[PipelineModel]) -> DataFrame:
+    """Each row with the prediction of its fold's model; a row without one is an error."""
+    parts = [predict(folded.filter(F.col("fold") == fold), features, model) for fold, model in enumerate(models)]
+    bad = F.raise_error(F.lit("a row has no out-of-fold prediction")).cast("double")
+    return reduce(DataFrame.unionByName, parts).withColumn("pred_residuo", F.coalesce("pred_residuo", bad))
+
+
 def oof_predict(df: DataFrame, features: Sequence[str], k: int = 10, params: BoostParams = BoostParams(),
                 early_stop: bool = True, path: str | None = None) -> tuple[DataFrame, list[PipelineModel]]:
     """Each row scored by the model that never saw its cell: ``(rows with pred_residuo and fold, models)``.
@@ -93,30 +113,30 @@ def oof_predict(df: DataFrame, features: Sequence[str], k: int = 10, params: Boo
     caller clears it, since the rows returned are read from it.
     """
     require_cells(df, k)
-    out, models = None, []
     folded = assign_folds(df, k)
     if path is not None:
         folded.write.mode("overwrite").parquet(path)
         folded = df.sparkSession.read.parquet(path)
     else:
         folded.persist()
-    for fold in range(k):
-        model = fit_residual(folded.filter(F.col("fold") != fold), features, params, early_stop)
-        models.append(model)
-        scored = predict(folded.filter(F.col("fold") == fold), features, model)
-        out = scored if out is None else out.unionByName(scored)
-    bad = F.raise_error(F.lit("a row has no out-of-fold prediction")).cast("double")
-    return out.withColumn("pred_residuo", F.coalesce("pred_residuo", bad)), models
+    models = fit_folds(folded, features, k, params, early_stop)
+    return score_folds(folded, features, models), models
+
+
+def split_counts(model: PipelineModel, features: Sequence[str]) -> list[int]:
+    """How many inner nodes of the model's trees ask for each feature or for its indicator."""
+    asked = [int(i) for i in re.findall(r"If \(feature (\d+) ", model.stages[-1].toDebugString)]
+    return [sum(i % len(features) == f for i in asked) for f in range(len(features))]
 
 
 def importance(models: Sequence[PipelineModel], features: Sequence[str], spark: SparkSession) -> DataFrame:
-    """``(feature, gain)``: importance averaged over fold models, indicator columns added to theirs."""
+    """``(feature, gain, split)``: gain share and number of splits averaged over fold models, indicator columns added to theirs."""
     rows = []
     for fold, m in enumerate(models):
-        gains = m.stages[-1].featureImportances.toArray()
-        rows += [(fold, f, float(gains[i] + gains[len(features) + i])) for i, f in enumerate(features)]
-    table = spark.createDataFrame(rows, "fold INT, feature STRING, gain DOUBLE")
-    return table.groupBy("feature").agg(F.avg("gain").alias("gain"))
+        gains, splits = m.stages[-1].featureImportances.toArray(), split_counts(m, features)
+        rows += [(fold, f, float(gains[i] + gains[len(features) + i]), splits[i]) for i, f in enumerate(features)]
+    table = spark.createDataFrame(rows, "fold INT, feature STRING, gain DOUBLE, split BIGINT")
+    return table.groupBy("feature").agg(F.avg("gain").alias("gain"), F.avg("split").alias("split"))
 
 
 def fold_diagnostics(oof: DataFrame) -> DataFrame:

@@ -53,24 +53,37 @@ def stencil(cells: DataFrame, coarse: DataFrame, keys: Sequence[str] = ("iy", "i
                               for n, (i, j) in enumerate(CORNERS)}).drop("_u", "_v", "_inside")
 
 
-def land_nodes(coarse: DataFrame, variable: str = "t2m") -> DataFrame:
-    """Nodes that hold ``variable`` at some hour."""
-    return (coarse.groupBy("lat_i", "lon_i")
-            .agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"),
-                 F.max(F.col(variable).isNotNull()).alias("land"))
-            .filter("land").drop("land"))
+def node_presence(coarse: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """``(lat_i, lon_i, lat, lon, _has_<variable>...)``: which variables a node holds at some hour, in one pass."""
+    return coarse.groupBy("lat_i", "lon_i").agg(
+        F.first("lat").alias("lat"), F.first("lon").alias("lon"), *[F.max(F.col(v).isNotNull()).alias(f"_has_{v}") for v in variables])
 
 
-def dry_cells(sten: DataFrame, land: DataFrame, keys: Sequence[str] = ("iy", "ix")) -> DataFrame:
-    """Cells outside the axes, or none of whose weighted corners is ever present."""
+def variable_classes(nodes: DataFrame, variables: Sequence[str]) -> list[list[str]]:
+    """Variables held by the same nodes, together. The driver reads one row of comparisons; families of one source share a class."""
+    pairs = [(a, b) for i, a in enumerate(variables) for b in variables[i + 1:]]
+    same = nodes.agg(F.count("*"), *[F.count_if(F.col(f"_has_{a}") != F.col(f"_has_{b}")).alias(f"{a}|{b}") for a, b in pairs]).first()
+    classes: list[list[str]] = []
+    for v in variables:
+        home = next((c for c in classes if same[f"{c[0]}|{v}"] == 0), None)
+        if home is None:
+            classes.append([v])
+        else:
+            home.append(v)
+    return classes
+
+
+def dry_cells(sten: DataFrame, nodes: DataFrame, variables: Sequence[str], keys: Sequence[str] = ("iy", "ix")) -> DataFrame:
+    """Cells outside the axes, or none of whose weighted corners ever holds one of ``variables``, with a flag ``_dry_<variable>`` each."""
     corners = (sten.select(*keys, "lat", "lon", F.explode(F.array(*[
                    F.struct((F.col("bi") + c[0]).alias("lat_i"), (F.col("bj") + c[1]).alias("lon_i"),
                             F.col(f"w{n}").alias("w")) for n, c in enumerate(CORNERS)])).alias("_c"))
                .select(*keys, "lat", "lon", "_c.*"))
-    return (corners.join(land.select("lat_i", "lon_i", F.lit(1).alias("_land")), ["lat_i", "lon_i"], "left")
-            .groupBy(*keys).agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"),
-                                F.max(F.when(F.col("w") > 0, F.col("_land"))).alias("_land"))
-            .filter("_land IS NULL").drop("_land"))
+    flags = {v: f"_dry_{v}" for v in variables}
+    absent = [~F.coalesce(F.max((F.col("w") > 0) & F.col(f"_has_{v}")), F.lit(False)) for v in variables]
+    return (corners.join(nodes.drop("lat", "lon"), ["lat_i", "lon_i"], "left")
+            .groupBy(*keys).agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), *[x.alias(c) for x, c in zip(absent, flags.values())])
+            .filter(reduce(Column.__or__, map(F.col, flags.values()))))
 
 
 def nearest_land(dry: DataFrame, land: DataFrame, keys: Sequence[str] = ("iy", "ix")) -> DataFrame:
@@ -119,14 +132,16 @@ def bilinear(coarse: DataFrame, cells: DataFrame, variables: Sequence[str],
 
     if ocean == "nan":
         return weighted(sten)
-    dry, copied = [], []
-    for v in variables:
-        land = land_nodes(coarse, v)
-        dry.append(dry_cells(sten, land, keys))
-        copied.append(nearest_land(dry[-1], land, keys).join(coarse.select("lat_i", "lon_i", "ts", v), ["lat_i", "lon_i"])
-                      .select(*keys, "ts", *[F.col(v) if u == v else F.lit(None).cast("double").alias(u) for u in variables]))
-    some = reduce(DataFrame.union, [d.select(*keys) for d in dry]).distinct()
-    wet = sten.join(some, list(keys), "left_anti")                   # per cell, before the hours
+    nodes = node_presence(coarse, variables)
+    classes = variable_classes(nodes, variables)
+    some = dry_cells(sten, nodes, [c[0] for c in classes], keys)
+    copied = []
+    for own in classes:                                              # one search for all variables of a class
+        land = nodes.filter(f"`_has_{own[0]}`").select("lat_i", "lon_i", "lat", "lon")
+        found = nearest_land(some.filter(f"`_dry_{own[0]}`").select(*keys, "lat", "lon"), land, keys)
+        copied.append(found.join(coarse.select("lat_i", "lon_i", "ts", *own), ["lat_i", "lon_i"])
+                      .select(*keys, "ts", *[F.col(v) if v in own else F.lit(None).cast("double").alias(v) for v in variables]))
+    wet = sten.join(some.select(*keys), list(keys), "left_anti")     # per cell, before the hours
     # of a cell that lacks a variable, each variable has a value in one of the parts only
-    parts = reduce(DataFrame.unionByName, copied, weighted(sten.join(some, list(keys), "left_semi")))
+    parts = reduce(DataFrame.unionByName, copied, weighted(sten.join(some.select(*keys), list(keys), "left_semi")))
     return weighted(wet).unionByName(parts.groupBy(*keys, "ts").agg(*[F.max(v).alias(v) for v in variables]))

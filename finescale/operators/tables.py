@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from finescale.functions.time import in_window
@@ -66,16 +66,20 @@ def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
-def cut_outliers(df: DataFrame, column: str = "y_residuo", limit: float = 10.0) -> DataFrame:
-    """Keep ``abs(value) <= limit``; the boundary stays."""
-    return df.filter(F.abs(column) <= limit)
+def _outlier_columns(column: str, limit: float) -> list[Column]:
+    gone = F.abs(column) > limit
+    return [F.count_if(~gone).alias("mantidos"), F.count_if(gone).alias("removidos"), F.max(F.when(gone, F.abs(column))).alias("maior_removido")]
+
+
+def cut_outliers(df: DataFrame, column: str = "y_residuo", limit: float = 10.0, watch: Observation | None = None) -> DataFrame:
+    """Keep ``abs(value) <= limit``; the boundary stays. ``watch`` gets the figures of ``outlier_counts`` from the job that reads the rows."""
+    seen = df if watch is None else df.observe(watch, *_outlier_columns(column, limit))
+    return seen.filter(F.abs(column) <= limit)
 
 
 def outlier_counts(df: DataFrame, column: str = "y_residuo", limit: float = 10.0) -> DataFrame:
     """One row: how many rows the cut keeps and removes, and the largest magnitude removed."""
-    gone = F.abs(column) > limit
-    return df.filter(F.col(column).isNotNull()).agg(F.count_if(~gone).alias("mantidos"), F.count_if(gone).alias("removidos"),
-                                                    F.max(F.when(gone, F.abs(column))).alias("maior_removido"))
+    return df.filter(F.col(column).isNotNull()).agg(*_outlier_columns(column, limit))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -135,8 +139,12 @@ def collapse_cells(obs: DataFrame, value: str = "temperatura_c_qc", station: str
             .agg(F.avg(value).alias(value), F.count_distinct(station).cast("int").alias("n_est_cel")))
 
 
-def attach_stack(obs: DataFrame, stack: DataFrame, ts: str = "ts") -> DataFrame:
-    return obs.join(stack, ["iy", "ix", ts])
+def attach_stack(obs: DataFrame, stack: DataFrame, ts: str = "ts", watch: Observation | None = None) -> DataFrame:
+    """Observations with the features of their hour; others are dropped. ``watch`` counts both (``n_found, n_lost``) in the same job."""
+    if watch is None:
+        return obs.join(stack, ["iy", "ix", ts])
+    rows = obs.join(stack.withColumn("_found", F.lit(True)), ["iy", "ix", ts], "left")
+    return rows.observe(watch, F.count("_found").alias("n_found"), F.count_if(F.col("_found").isNull()).alias("n_lost")).filter("_found").drop("_found")
 
 
 def unmatched_hours(obs: DataFrame, stack: DataFrame, ts: str = "ts") -> DataFrame:
