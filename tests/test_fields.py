@@ -201,3 +201,29 @@ def test_leave_one_out_ignores_missing_increments(spark):
 
 def test_published_rules():
     assert len(A.rules_of(**A.PUBLISHED)) == 72
+
+
+def test_leave_one_out_in_parts(spark):
+    """An hour cut into parts gives what one group gives, and sums per rule equal sums over rows; strata may be NULL."""
+    st = spark.range(40).selectExpr("concat('s', id) AS station", "id * 7919 % 97 * 1D AS x_km", "id * 31 % 53 * 1D AS y_km",
+                                    "CASE WHEN id % 9 > 0 THEN id * 40D END AS z_m")
+    inc = spark.range(200).selectExpr("concat('s', id % 40) AS station", "TIMESTAMP_NTZ'2020-01-01' + make_dt_interval(0, CAST(id div 40 AS INT)) AS ts",
+                                      "CASE WHEN id % 11 > 0 THEN id * 13 % 17 - 8D END AS inc", "CASE WHEN id % 7 > 0 THEN id % 5 - 2D END AS y_residuo",
+                                      "CASE WHEN id % 4 > 0 THEN concat('g', id % 4) END AS stratum")
+    rules = A.rules_of(ks=[3, 12], powers=[1, 2], lengths=[20], lzs=[0, 300])
+    whole = {(r["station"], r["ts"]): r["hats"] for r in A.loo_anchor(inc, st, rules).collect()}
+    cut = A.loo_anchor(inc, st, rules, targets=7).collect()
+    assert len(cut) == len(whole) == 200
+    for r in cut:
+        assert r["hats"] == pytest.approx(whole[r["station"], r["ts"]], abs=1e-12)
+    loo = A.loo_anchor(inc, st, rules, targets=7)
+    got = {(r["stratum"], r["rule"]): r for r in A.rule_errors(loo, rules, ["stratum"]).collect()}
+    assert len(got) == 4 * (len(rules) + 1)
+    for (stratum, rule), r in got.items():
+        mine = [x for x in cut if x["stratum"] == stratum and x["inc"] is not None]
+        e = [x["inc"] - (x["hats"][rule] if rule >= 0 else 0.0) for x in mine]
+        base = [x["y_residuo"] ** 2 for x in mine if x["y_residuo"] is not None]
+        rmse = math.sqrt(sum(v * v for v in e) / len(e))
+        assert (r["n"], r["rmse"], r["mae"], r["me"], r["ss"]) == pytest.approx(
+            (len(e), rmse, sum(map(abs, e)) / len(e), sum(e) / len(e), 1 - rmse / math.sqrt(sum(base) / len(base))), abs=1e-9)
+    assert A.rule_errors(loo.filter("false"), rules).collect() == []
