@@ -5,6 +5,10 @@ id words, share of link text, length, punctuation) gives the cost of calling it
 capacities from and to two terminals; edges between neighbouring blocks and between blocks of one container cost what it takes
 to label the two differently. The minimum cut (by maximum flow) is the cheapest labelling; the source's side is content.
 
+Names of boilerplate ("sidebar", "comments") count against all that an element holds, but not where the element is the page itself: a
+name inside a longer word ("with-sidebar", "modal-open") is void on an element with more than half of the page's text, a whole word on one
+with more than nine tenths, if the first article or main element (the first h1 where there is none) is not outside it.
+
 Scripts, styles, comments, head, controls and the like never become blocks. A form has a strike against it, unless it wraps more
 than half of the page's text; an article or main element inside it stands for itself. Character references are decoded, white space inside
 a block becomes one space, blocks are joined by one space in page order. Null and empty pages have empty text; broken, unclosed
@@ -46,16 +50,28 @@ NAMES = re.compile(r"(?i)(?<![a-z])(?:(ads?|advert\w*|sponsor\w*|promo\w*|banner
                    r"disclaimer|comments?|disqus|repl(?:y|ies)|respond|hidden|login|search|form)|"
                    r"(article|content|main|post|entry|story|body|text|prose))(?![a-z])")
 NAME_WEIGHT = (-8.0, 2.0)
+WRAPS = (0.5, 0.9)                                         # shares of the text from which names are void: inside a word, whole words
 ROLES = {"navigation": -8.0, "banner": -8.0, "contentinfo": -8.0, "complementary": -8.0, "search": -8.0, "form": -8.0,
          "alert": -8.0, "dialog": -8.0, "alertdialog": -8.0, "main": 3.0, "article": 3.0}
 BIAS, LINKED, LONG, STOPPED, HEADED = 0.4, -3.0, 1.2, 0.8, 0.3
-NEAR, SAME_PARENT, LIMIT = 0.25, 0.35, 12.0
+NEAR, SAME_PARENT, LIMIT = 0.6, 0.9, 12.0                  # an inner block's edges add up to 3: more than an unnamed linked line costs
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|"
                   r"<[!?/a-zA-Z][^>]*(?:>|\Z)", re.S)               # the last: declarations, and tags with an open quote
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+@dataclass
+class Named:
+    """An element with a name of boilerplate, within another such one (a number, or -1); elements from ``first`` to ``last`` lie in it."""
+
+    above: int
+    whole: bool
+    first: int
+    last: int = 0
+    held: int = 0
+
+
 @dataclass
 class Element:
     tag: str
@@ -64,6 +80,7 @@ class Element:
     in_article: bool
     unread: bool = False
     form: int = 0                                          # number of the form around it
+    named: int = -1                                        # number of the innermost named element around it
 
 
 @dataclass
@@ -72,21 +89,24 @@ class Block:
     outer: int
     text: str = ""
     linked: int = 0
+    weight: float = 0.0
     parts: list[str] = field(default_factory=list)
 
 
-def _weight(tag: str, attributes: str, in_article: bool) -> tuple[float, bool]:
-    """Weight that an element lends to what it holds, and whether it is hidden."""
+def _weight(tag: str, attributes: str, in_article: bool) -> tuple[float, bool, bool | None]:
+    """Weight that an element lends to what it holds, whether it is hidden, and whether it has a name of boilerplate: a whole word
+    (true), one inside a longer word (false) or none."""
     weight = TAG_WEIGHT.get(tag, HEADER_WEIGHT if tag == "header" and not in_article else 0.0)
-    hidden = False
+    hidden, named = False, None
     if attributes.strip() and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id") and tag != "form":
-                spoken = [x.lastindex for x in NAMES.finditer(value)]
-                if 1 in spoken:
-                    weight += NAME_WEIGHT[0]
-                elif 2 in spoken:
+                spoken = [(x.lastindex, word) for word in value.split() for x in NAMES.finditer(word)]
+                against = [NAMES.fullmatch(word) is not None for k, word in spoken if k == 1]
+                if against:
+                    named = any(against) or bool(named)
+                elif spoken:
                     weight += NAME_WEIGHT[1]
             elif name == "role":
                 weight += ROLES.get(value.lower(), 0.0)
@@ -94,13 +114,33 @@ def _weight(tag: str, attributes: str, in_article: bool) -> tuple[float, bool]:
                 hidden = True
             elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 hidden = True
-    return weight, hidden
+    return weight, hidden, named
+
+
+def _weigh(found: list[Block], names: list[Named], mark: int) -> None:
+    """Blocks' weights, with the names that are not void. ``mark``: number of the element that begins the article, or 0."""
+    whole = 0
+    for b in found:
+        whole += len(b.text)
+        if b.parent.named >= 0:
+            names[b.parent.named].held += len(b.text)
+    for n in reversed(names):                              # outer ones come first
+        if n.above >= 0:
+            names[n.above].held += n.held
+    total: list[float] = []
+    for n in names:
+        void = n.held > WRAPS[n.whole] * whole and (not mark or n.first <= mark <= n.last)
+        total.append((total[n.above] if n.above >= 0 else 0.0) + (0.0 if void else NAME_WEIGHT[0]))
+    for b in found:
+        b.weight = max(-LIMIT, min(LIMIT, b.parent.weight + (total[b.parent.named] if b.parent.named >= 0 else 0.0)))
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks of a page in order."""
     stack = [Element("", 0, 0.0, False)]
     number, anchors, done, at = 0, 0, [], 0
+    names: list[Named] = []
+    marks: dict[bool, int] = {}                            # first article or main element (true), first h1 (false)
     now = Block(stack[0], 0)
 
     def flush() -> None:
@@ -115,8 +155,11 @@ def blocks(html: str) -> list[Block]:
     def pop(until: int) -> None:
         nonlocal anchors
         while len(stack) > until:
-            if stack.pop().tag == "a":
+            gone = stack.pop()
+            if gone.tag == "a":
                 anchors -= 1
+            if gone.named >= 0 and names[gone.named].first == gone.number:
+                names[gone.named].last = number
 
     size = len(html)
     while at < size:
@@ -172,15 +215,22 @@ def blocks(html: str) -> list[Block]:
                 now = Block(stack[-1], stack[-2].number if len(stack) > 1 else 0)
             continue
         top = stack[-1]
-        weight, hidden = _weight(tag, m[3], top.in_article)
+        weight, hidden, named = _weight(tag, m[3], top.in_article)
+        if named is not None:
+            names.append(Named(top.named, named, number))
+        if tag in ("article", "main", "h1") and not top.unread:
+            marks.setdefault(tag != "h1", number)
         stack.append(Element(tag, number, max(-LIMIT, min(LIMIT, top.weight + weight)), top.in_article or tag == "article",
                              top.unread or hidden or tag in UNREAD or tag in ("label", "legend") and top.form > 0,
-                             number if tag == "form" else 0 if tag in ("article", "main") else top.form))
+                             number if tag == "form" else 0 if tag in ("article", "main") else top.form,
+                             top.named if named is None else len(names) - 1))
         if tag == "a":
             anchors += 1
         if tag in BLOCKS:
             now = Block(stack[-1], top.number)
     flush()
+    pop(1)
+    _weigh(done, names, marks.get(True, marks.get(False, 0)))
     return done
 
 
@@ -188,7 +238,7 @@ def cost(block: Block) -> float:
     """The classifier: above zero for content."""
     text = block.text
     share = min(1.0, block.linked / max(1, len(text)))
-    score = BIAS + block.parent.weight + LINKED * share
+    score = BIAS + block.weight + LINKED * share
     score += LONG * min(1.0, len(text) / 200) * (1 - share)
     if text[-1] in ".!?:;\"')”…":
         score += STOPPED * (1 - share)
@@ -268,7 +318,7 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
         a, b = found[k - 1], found[k]
         if a.outer == b.outer or a.parent.number == b.parent.number:
             out.append((k - 1, k, NEAR + SAME_PARENT))
-        elif a.parent.in_article == b.parent.in_article and a.parent.weight == b.parent.weight:
+        elif a.parent.in_article == b.parent.in_article and a.weight == b.weight:
             out.append((k - 1, k, NEAR))
     last: dict[int, int] = {}
     for k, b in enumerate(found):
@@ -288,7 +338,7 @@ def main_text(html: str | None) -> str:
     forms = {f for f, n in inside.items() if f and 2 * n <= sum(inside.values())}
     gain = [max(-LIMIT, g + FORM_WEIGHT) if b.parent.form in forms else g for g, b in zip(gain, found)]
     # where an article or main element is marked, what stands outside it has a strike against it
-    if any(b.parent.weight >= TAG_WEIGHT["main"] and b.parent.in_article for b in found):
+    if any(b.weight >= TAG_WEIGHT["main"] and b.parent.in_article for b in found):
         gain = [g if b.parent.in_article else g - 4.0 for g, b in zip(gain, found)]
     keep = minimum_cut(gain, edges(found))
     return " ".join(b.text for b, k in zip(found, keep) if k)

@@ -64,3 +64,35 @@ def test_rows(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted((r.page_id or 0, len(r.text)) for r in got.collect()) == [(0, 0), (1, 82), (1, 82), (2, 0)]
     assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+STORY = "<h1>The title</h1><p>A sentence of the article, which goes on for a while, and on.</p><p>Another one follows it, and ends here.</p>"
+TOLD = "The title A sentence of the article, which goes on for a while, and on. Another one follows it, and ends here."
+AROUND = '<div class="menu"><a href="/">Home</a></div>{}<div class="sidebar"><p>Popular stories.</p></div><div id="footer">Somebody, 2020.</div>'
+
+
+def test_names_on_the_page_itself():
+    """Boilerplate words on an element that holds the page do not empty it, and still count inside it."""
+    for name in ("with-sidebar", "modal-open", "comments-open", "post tag-news", "page-header-fixed content", "has-sidebar"):
+        for inner in (STORY, f"<article>{STORY}</article>", f"<div>{STORY}</div>"):
+            assert main_text(f'<body><div class="{name}">' + AROUND.format(inner) + "</div></body>") == TOLD, (name, inner)
+    assert main_text(f'<body><div id="modal">{STORY}</div></body>') == TOLD
+    assert main_text(f'<article class="post tag-news">{STORY}</article>') == TOLD
+
+
+def test_long_comments_stay_out():
+    comments = "<p>I do not agree with any of this, and here is why, at length.</p>" * 8
+    for name in ("comments", "comment-list", "site-comments"):
+        assert main_text(f'<body><article>{STORY}</article><div class="{name}">{comments}</div></body>') == TOLD
+        assert main_text(f'<body><div>{STORY}</div><div class="{name}">{comments}</div></body>') == TOLD
+
+
+def test_cut_decides_doubtful_blocks():
+    """A line that is all link goes alone, and stays between two sentences of one container; classifier costs say no both times."""
+    line = '<p><a href="/x">the whole report in full</a></p>'
+    said = "<p>" + "A plain sentence of some words, and more. " * 6 + "</p>"
+    page = f"<div>{said}{line}{said}</div><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li><li><a href='/3'>Three</a></li></ul>"
+    found = html.blocks(page)
+    assert [html.cost(b) > 0 for b in found] == [True, False, True, False, False, False]
+    assert minimum_cut([html.cost(b) for b in found], html.edges(found)) == [True, True, True, False, False, False]
+    assert main_text(f"<div>{line}</div>") == ""
