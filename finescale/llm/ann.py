@@ -9,13 +9,15 @@ codes lie within the radius that is complete. These are ranked by the inner prod
 
 All rows are indexed, equal vectors once; queries meet every shard. Ties go to the smaller id. Vectors that are null, zero, of
 other than the most common number of components, or hold null or non-finite components take no part, nor do rows without an id.
+Components may have any finite size: codes are taken of vectors scaled by powers of two, and so are products that overflow on the way; one
+that lies beyond the range of doubles itself is infinite.
 Rows that repeat an id and a vector are one. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,12 @@ from finescale.llm.shared import written
 
 @dataclass(frozen=True)
 class Codes:
-    """``centre`` and ``turns`` (one matrix per table) of the lengthened vectors; ``longest`` of all."""
+    """``centre`` and ``turns`` (one matrix per table) of the lengthened vectors; ``longest`` of all; all three of rows scaled by 2^-``exponent``."""
 
     centre: np.ndarray
     turns: tuple[np.ndarray, ...]
     longest: float
+    exponent: int = 0
 
     def lengthened(self, x: np.ndarray) -> np.ndarray:
         rest = np.maximum(self.longest ** 2 - np.square(x).sum(axis=1), 0.0)
@@ -41,10 +44,11 @@ class Codes:
         """Codes of rows, as bytes. A query has no length of its own: its last component is 0, and it is scaled to the rows'
         length, which changes no order."""
         if query:
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
             size = np.sqrt(np.square(x).sum(axis=1, keepdims=True))
             x = np.concatenate([x / np.maximum(size, 1e-300) * self.longest, np.zeros((len(x), 1))], axis=1)
         else:
-            x = self.lengthened(x)
+            x = self.lengthened(np.ldexp(x, -self.exponent))
         x = x - self.centre
         return np.packbits(np.concatenate([x @ t > 0 for t in self.turns], axis=1), axis=1)
 
@@ -131,6 +135,24 @@ def usable(vectors: DataFrame) -> DataFrame:
     return kept.filter(F.size("x") == (common["n"] if common else 0)).mapInArrow(task, "vec_id bigint, vec binary")
 
 
+def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products; where one overflows on the way, that of the vectors scaled by powers of two, scaled back."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = rows @ q
+        far = np.flatnonzero(~np.isfinite(out))
+        if len(far):
+            own, e = np.frexp(np.abs(rows[far]).max(axis=1))[1], np.frexp(np.abs(q).max())[1]
+            out[far] = np.ldexp(np.ldexp(rows[far], -own[:, None]) @ np.ldexp(q, -e), own + e)
+    return out
+
+
+def square(x: np.ndarray) -> tuple[int, float]:
+    """Squared length as an exponent of two and a part from 0.5 to 1, without overflow."""
+    own = int(np.frexp(np.abs(x).max())[1])
+    part, e = np.frexp(np.square(np.ldexp(x, -own)).sum())
+    return int(e) + 2 * own, float(part)
+
+
 def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 4, pool: int = 1200, sample: int = 8192,
            shard_rows: int = 65_536, block_rows: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each vector (``vec_id, embedding``) whose id ``every`` divides. The codes
@@ -150,11 +172,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 4, po
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = max((float(np.square(np.frombuffer(v, "<f8")).sum()) for v in batch.column("vec").to_pylist()), default=0.0)
-            yield pa.RecordBatch.from_arrays([pa.array([most])], names=["most"])
+            squares = [square(np.frombuffer(v, "<f8")) for v in batch.column("vec").to_pylist()]
+            if squares:
+                e, part = max(squares)
+                yield pa.RecordBatch.from_arrays([pa.array([e], pa.int32()), pa.array([part])], names=["e", "part"])
 
-    longest = float(np.sqrt(classes.select("vec").mapInArrow(sizes, "most double").agg(F.max("most")).first()[0]))
-    codes = spark.sparkContext.broadcast(learn(points, longest, tables))
+    most = classes.select("vec").mapInArrow(sizes, "e int, part double").agg(F.max(F.struct("e", "part")).alias("most")).first()["most"]
+    exponent = most["e"] // 2
+    longest = float(np.sqrt(np.ldexp(most["part"], most["e"] - 2 * exponent)))
+    codes = spark.sparkContext.broadcast(replace(learn(np.ldexp(points, -exponent), longest, tables), exponent=exponent))
 
     asked = all_rows.filter(F.col("vec_id") % every == 0).select("digest", "vec_id").distinct()
     asked = asked.join(classes.select("class", "digest"), "digest").select("class", F.col("vec_id").alias("query_id"))
@@ -174,7 +200,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 4, po
             shard = Shard(codes.value.encode(rows))
             for name, q, code in zip(right.column("class").to_pylist(), own, codes.value.encode(own, query=True)):
                 at = shard.within(code, pool)
-                score = rows[at] @ q
+                score = products(rows[at], q)
                 best = np.lexsort((names[at], -score))[:k + 1]
                 found.append((np.full(len(best), name), names[at[best]], score[best]))
         q, c, s = (np.concatenate(x) if found else [] for x in (zip(*found) if found else ((), (), ())))

@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 
 from finescale.llm import ann
@@ -65,3 +67,31 @@ def test_probing_is_complete():
             got = shard.within(query, pool)
             radius = np.sort(far)[min(pool, len(far)) - 1]
             assert set(got) == set(np.flatnonzero(far <= radius))
+
+
+def test_vectors_of_any_finite_size(spark):
+    """Components far beyond the root of the largest double, beside tiny ones, against all pairs."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.standard_normal(16) * (1e-100 if i % 20 == 0 else 1e200)).tolist()) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(frame, pool=600).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    x = np.array([v for _, v in rows])
+    hits = []
+    for q, found_ in got.items():
+        score = np.where(np.arange(2000) == q, -np.inf, x @ x[q])
+        best = np.lexsort((np.arange(2000), -score))[:20]
+        hits.append(len(set(best.tolist()) & {i for i, _ in found_}) / 20)
+        assert all(abs(s - score[i]) <= 1e-12 * abs(score[i]) for i, s in found_)
+    assert len(got) == 100 and np.mean(hits) >= 0.9
+    huge = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-200, 0.0]), (3, [1e300, 1e300]), (4, [1e200, -1e200])]
+    got = ann.search(spark.createDataFrame(huge, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 3, 2, 4] and [r.score for r in got] == [float("inf"), float("inf"), 1.0, 0.0]
+
+
+def test_length_as_exponent_and_part():
+    for v in ([3.0, 4.0], [1e-300, 2e-300], [1e300, -1e300, 5e299]):
+        e, part = ann.square(np.array(v))
+        exact = sum(Fraction(c) ** 2 for c in v)
+        assert 0.5 <= part < 1 and abs(float(Fraction(part) * Fraction(2) ** e / exact) - 1) < 1e-14
