@@ -85,7 +85,8 @@ def test_vectors_of_any_finite_size(spark):
         hits.append(len(set(best.tolist()) & {i for i, _ in found_}) / 20)
         assert all(abs(s - score[i]) <= 1e-12 * abs(score[i]) for i, s in found_)
     assert len(got) == 100 and np.mean(hits) >= 0.9
-    huge = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-200, 0.0]), (3, [1e300, 1e300]), (4, [1e200, -1e200])]
+    big = 2.0 ** 600
+    huge = [(0, [big, big]), (1, [big, 0.0]), (2, [1 / big, 0.0]), (3, [big * big ** 0.5, 0.0]), (4, [big, -big])]
     got = ann.search(spark.createDataFrame(huge, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 3, 2, 4] and [r.score for r in got] == [float("inf"), float("inf"), 1.0, 0.0]
 
