@@ -234,6 +234,29 @@ def increments_out_of_training(spark, d):
     return rounded(out.select("iy", "ix", "ts", "y_residuo", "inc"))
 
 
+@check("increments_from_raw", f"""WITH {BILINEAR_SQL.replace('FROM events GROUP BY', "FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY")},
+  {OBS_CELL_SQL.strip()},
+  keep AS (SELECT CAST(floor(station / 6) AS INTEGER) AS iy, CAST(floor(station / 6) AS INTEGER) % 7 AS ix,
+                  CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, avg(value) AS t FROM obs
+           WHERE event_type <> 'error' AND station NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1, 2, 3)
+  SELECT k.iy, k.ix, k.ts, {r6('k.t - (f.t2m - 273.15)', 5)} AS y_residuo,
+         {r6('COALESCE(f.t2m - 0.0065 * (c.z_m - c.z_era5_orog), 0) / 100 - hour(k.ts) - (k.t - (f.t2m - 273.15))', 5)} AS inc
+  FROM keep k JOIN fine f ON f.iy = k.iy AND f.ix = k.ix AND f.ts = k.ts JOIN cells c ON c.iy = k.iy AND c.ix = k.ix
+  WHERE k.ts >= TIMESTAMP '2024-01-10' AND k.ts < TIMESTAMP '2024-01-25' AND f.t2m IS NOT NULL AND k.t IS NOT NULL""")
+def increments_from_raw(spark, d):
+    """The stand-in model, a Spark ML stage too, takes a hundredth of the lapsed baseline."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    from finescale.plans.field import increments_from_raw as run
+    codes = table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("station"))
+    model = PipelineModel(stages=[SQLTransformer(statement="SELECT *, coalesce(lapse, 0D) / 100 - hour(ts) AS pred_residuo FROM __THIS__")])
+    at = cells(spark, d).withColumnRenamed("z_m", "z_alvo")
+    out = run(coarse(spark, d), at, _statics(spark, d), ["lapse", "dt2m_1h", "hora_sin", "fracao_t1"], model, hourly_obs(spark, d),
+              station_cells(spark, d), datetime(2024, 1, 10), datetime(2024, 1, 25), codes, hourly=False)
+    return rounded(out.select("iy", "ix", "ts", "y_residuo", "inc"), 5)
+
+
 @check("field_layout", f"""WITH {MATRIX_SQL}
   SELECT s.iy, s.ix, s.ts, c.lon, c.lat, {r6('s.t2m_1km - 273.15 + 1.5')} AS "T_final", {r6('s.t2m_1km - 273.15 + 1.5')} AS "T_final_bc",
          CAST(0.0 AS DOUBLE) AS "T_final_oi", {r6('s.t2m_1km - 273.15')} AS "T_ERA5", CAST(1.5 AS DOUBLE) AS pred_residuo

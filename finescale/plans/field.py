@@ -12,7 +12,8 @@ from finescale.functions.time import in_window
 from finescale.models.residual import score_grid
 from finescale.operators.anchoring import anchor, increments, neighbours, output_triple, require_obs
 from finescale.operators.tables import collapse_cells, exclude_stations, match_obs, to_cells
-from finescale.plans.features import build_features
+from finescale.plans.features import DYNAMIC, build_features, dynamic_features
+from finescale.sources.inventory import axis_problems
 
 
 MEMORY = timedelta(hours=6)          # what second differences over 3 hours look back
@@ -58,3 +59,28 @@ def increments_out_of_training(scored: DataFrame, obs: DataFrame, station_cell:
     rows = match_obs(scored.filter(in_window("ts", start, end)), per_cell)
     rows = rows.withColumn("y_residuo", residual("temperatura_c_qc", "t2m_1km")).withColumn("cell_id", cell_id("iy", "ix"))
     return increments(rows)
+
+
+def increments_from_raw(coarse: DataFrame, cells: DataFrame, statics: DataFrame, features: list[str], model: PipelineModel, obs: DataFrame,
+                        station_cell: DataFrame, start: datetime, end: datetime, excluded: DataFrame | None = None,
+                        hourly: bool = True) -> DataFrame:
+    """Increments of station cells for ``[start, end)`` from coarse fields and fresh observations, by a model that never saw the period.
+
+    Only the cells that hold a station are interpolated and scored. Coarse rows are read by whole months, from the one that memory
+    features reach back to, so that fluxes restart where they do in training. ``hourly`` stops at a month of these whose hourly axis is
+    not whole or that is absent. No match gives no rows, at which ``anchored_field`` stops.
+    """
+    first = (start - MEMORY).replace(day=1, hour=0, minute=0, second=0, microsecond=0)
+    last = (end - timedelta(microseconds=1)).replace(day=1, hour=0, minute=0, second=0, microsecond=0)
+    near = coarse.filter(in_window("ts", first, (last + timedelta(days=32)).replace(day=1)))
+    if hourly:
+        bad = axis_problems(near.select("ts").distinct(), span=(f"{first:%Y-%m-%d}", f"{last:%Y-%m-%d}")).limit(12).collect()
+        if bad:
+            raise ValueError("hourly axis not whole: " + ", ".join(f"{r['month']:%Y-%m} ({r['n']} of {r['expected']})" for r in bad))
+    used = station_cell.select("iy", "ix").distinct()
+    wanted = [f for f in DYNAMIC if f in features or f == "t2m_1km"]
+    dynamic = dynamic_features(near, cells.join(used, ["iy", "ix"], "left_semi"), wanted)
+    layers = statics.join(used, ["iy", "ix"], "left_semi")
+    layers = layers.drop(*[c for c in dynamic.columns if c not in ("iy", "ix") and c in layers.columns])
+    scored = score_field(dynamic, layers, features, model, start=start, end=end)
+    return increments_out_of_training(scored, obs, station_cell, start, end, excluded)

@@ -1,4 +1,5 @@
 import math
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +228,32 @@ def test_leave_one_out_in_parts(spark):
         assert (r["n"], r["rmse"], r["mae"], r["me"], r["ss"]) == pytest.approx(
             (len(e), rmse, sum(map(abs, e)) / len(e), sum(e) / len(e), 1 - rmse / math.sqrt(sum(base) / len(base))), abs=1e-9)
     assert A.rule_errors(loo.filter("false"), rules).collect() == []
+
+
+def test_increments_from_raw_across_months(spark):
+    """Memory at the first hour of a month reads the month before; a month with a hole, or absent, stops the run."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    from finescale.plans.field import increments_from_raw
+    hours = spark.range(60 * 24).selectExpr("id AS h", "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, CAST(id AS INT)) AS ts")
+    nodes = spark.range(9).selectExpr("CAST(id div 3 AS INT) AS lat_i", "CAST(id % 3 AS INT) AS lon_i", "1D * (id div 3) AS lat", "1D * (id % 3) AS lon")
+    coarse = hours.crossJoin(nodes).selectExpr("ts", "lat_i", "lon_i", "lat", "lon", "280D + h / 100D AS t2m")
+    cells = spark.createDataFrame([(0, 0, 0.5, 0.5, 10.0, 0.0), (0, 1, 1.5, 1.0, 20.0, 0.0)], "iy INT, ix INT, lat DOUBLE, lon DOUBLE, z_alvo DOUBLE, z_era5_orog DOUBLE")
+    where = spark.createDataFrame([("a", 0, 0), ("b", 0, 0), ("c", 0, 0)], "station STRING, iy INT, ix INT")
+    obs = spark.createDataFrame([("a", datetime(2024, 2, 1), 10.0), ("b", datetime(2024, 2, 1), 12.0), ("c", datetime(2024, 2, 1), 99.0),
+                                 ("a", datetime(2024, 2, 2), 5.0), ("a", datetime(2024, 1, 31, 23), 5.0), ("z", datetime(2024, 2, 1), 5.0)],
+                                "station STRING, ts TIMESTAMP_NTZ, temperatura_c_qc DOUBLE")
+    out = spark.createDataFrame([("c",)], "station STRING")
+    model = PipelineModel(stages=[SQLTransformer(statement="SELECT *, 100 * x_dt2m_1h + x_fracao_t1 AS pred_residuo FROM __THIS__")])
+    statics = cells.selectExpr("iy", "ix", "z_alvo", "3D AS fracao_t1")
+    run = lambda fields, **o: increments_from_raw(fields, cells, statics, ["dt2m_1h", "fracao_t1"], model, obs, where,
+                                                  datetime(2024, 2, 1), datetime(2024, 2, 2), out, **o)
+    rows_ = run(coarse).collect()
+    assert [(r["cell_id"], r["ts"]) for r in rows_] == [("0_0", datetime(2024, 2, 1))]
+    y = 11.0 - (280 + 744 / 100 - 273.15)
+    assert rows_[0]["y_residuo"] == pytest.approx(y) and rows_[0]["inc"] == pytest.approx(1.0 + 3.0 - y)
+    with pytest.raises(ValueError, match="2024-02"):
+        run(coarse.filter("ts <> TIMESTAMP_NTZ'2024-02-20 05:00:00'"))
+    with pytest.raises(ValueError, match="2024-01"):
+        run(coarse.filter("ts >= TIMESTAMP_NTZ'2024-02-01'"))
