@@ -74,7 +74,7 @@ def distance_to_lines(targets: DataFrame, segments: DataFrame, target_keys: Sequ
     coarser = "CAST(floor({0} / power(2D, " + str(finest) + " - level)) AS BIGINT)"
     level_of = (tg.select("_fx", "_fy").distinct().withColumn("level", F.expr(f"explode(sequence(0, {finest}))"))
                 .withColumns({"tx": F.expr(coarser.format("_fx")), "ty": F.expr(coarser.format("_fy"))})
-                .join(served, ["level", "tx", "ty"]).groupBy("_fx", "_fy").agg(F.max("level").alias("level")))
+                .join(served.hint("merge"), ["level", "tx", "ty"]).groupBy("_fx", "_fy").agg(F.max("level").alias("level")))
     reach = math.ceil(REACH)
     # a target far outside has no level: it meets the one tile of level 0, which every segment crosses
     around = (spread(tg).join(level_of, ["_fx", "_fy"], "left")
@@ -82,5 +82,6 @@ def distance_to_lines(targets: DataFrame, segments: DataFrame, target_keys: Sequ
                                           .otherwise(_block(f"({_tile_text('_x', size)})", f"({_tile_text('_y', size)})", reach, reach))))
               .select(*target_keys, "_x", "_y", F.coalesce("level", F.lit(0)).alias("level"), "_t.tx", "_t.ty"))
     part = "((_x - x1) * (x2 - x1) + (_y - y1) * (y2 - y1)) / nullif(power(x2 - x1, 2) + power(y2 - y1, 2), 0)"
-    met = around.join(tiled, ["level", "tx", "ty"]).withColumn("_k", F.expr(f"coalesce(greatest(0D, least(1D, {part})), 0D)"))
+    # an explode has multiplied the pieces, which size estimates do not see: no broadcast
+    met = around.join(tiled.hint("merge"), ["level", "tx", "ty"]).withColumn("_k", F.expr(f"coalesce(greatest(0D, least(1D, {part})), 0D)"))
     return met.groupBy(*target_keys).agg(F.min(F.expr("sqrt(power(_x - x1 - _k * (x2 - x1), 2) + power(_y - y1 - _k * (y2 - y1), 2))")).alias(name))
