@@ -160,9 +160,9 @@ BAND_SQL = """
 
 def _band_rows(spark, d):
     li = table(spark, d, "lineitem")
-    key = ["l_linestatus", "l_returnflag"]
+    key = ["l_linestatus", "l_returnflag"]                     # a row per status and flag: a handful
     cut = quantiles_wide(li, "l_extendedprice", {"pred_p_lo": 0.16, "pred_p_med": 0.5, "pred_p_hi": 0.84}, key)
-    return li.join(cut, key).select("l_orderkey", F.col("l_extendedprice").alias("y_residuo"), *S.BAND,
+    return li.join(F.broadcast(cut), key).select("l_orderkey", F.col("l_extendedprice").alias("y_residuo"), *S.BAND,
                                     F.col("l_linenumber").alias("hora"), (F.col("l_quantity") * 40).alias("z_alvo"))
 
 

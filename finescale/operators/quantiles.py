@@ -3,7 +3,8 @@
 The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable sketch brackets each wanted rank
 (its error is bounded), a second pass counts rows in ``BINS`` equal parts of the bracket, and a third counts the distinct values of the
 one or two parts that hold the rank. All passes combine map-side, and what a window then orders is at most ``BINS`` parts, or one
-part's distinct values, per group and quantile.
+part's distinct values, per group and quantile. The values are written once, so that all passes count the same bits; so are the few
+rows per group, whose real size lets the planner join them without dealing all values by a group key.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from finescale.functions.physics import ColumnLike, _c
 from finescale.operators.one_row import attach_row
+from finescale.session import kept
 
 BINS = 4096
 
@@ -27,11 +29,12 @@ def exact_quantiles(df: DataFrame, value: ColumnLike, qs: Sequence[float],
     data = df.select(*by, _c(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if not by:
         data = data.withColumn("_all", F.lit(0))
-    join = (lambda a, b: a.join(b, key)) if by else (lambda a, b: attach_row(a, b.drop("_all")))
+    data = kept(data, "values")
+    join = (lambda a, b: a.join(kept(b, "groups"), key)) if by else (lambda a, b: attach_row(a, b.drop("_all")))
     slack, k = 4.0 / accuracy, len(qs)
     lows, highs = [max(q - slack, 0.0) for q in qs], [min(q + slack, 1.0) for q in qs]
     sketch = data.groupBy(*key).agg(F.count("*").alias("n"), F.percentile_approx("_v", lows + highs, accuracy).alias("_b"))
-    # the input is read again: leave room for the last bits of sums added up in another order
+    # room for the last bits of the bracket's own arithmetic
     pad = lambda b, sign: b + sign * F.abs(b) * F.lit(1e-9)
     brackets = sketch.select(*key, "n", F.array(*[
         F.struct(F.lit(float(q)).alias("q"), pad(F.col("_b")[i], -1).alias("lo"), pad(F.col("_b")[k + i], 1).alias("hi"))

@@ -220,18 +220,27 @@ def bootstrap_ci(stations: DataFrame, column: str, n: int = 2000, seed: int = 42
     Every resample draws as many stations as there are, with replacement; draw ``j`` of resample
     ``r`` is a hash of (seed, r, j), so the result does not depend on partitioning.
     """
-    data = dense_index(stations.filter(F.col(column).isNotNull())
-                       .select(station, F.col(column).alias("_v")), station)
+    data = _indexed(stations, column, station)
+    reps = bootstrap_draws(data, n, seed).groupBy("_rep").agg(F.avg("_v").alias("mean"))
+    ci = quantiles_wide(reps, "mean", {"ci_low": low, "ci_high": high})
+    return _side_by_side(data.agg(F.avg("_v").alias("mean"), F.count("_v").alias("n_stations")), ci)
+
+
+def _indexed(stations: DataFrame, column: str, station: str) -> DataFrame:
+    return dense_index(stations.filter(F.col(column).isNotNull()).select(station, F.col(column).alias("_v")), station)
+
+
+def bootstrap_draws(data: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``(_rep, _v)``: all draws of ``n`` resamples of ``data`` (``idx`` from 0 without gaps, ``_v``)."""
     word = F.md5(F.concat_ws("_", F.lit(seed), F.col("_rep"), F.col("idx")))
     u = F.conv(F.substring(word, 1, 8), 16, 10).cast("double") / float(1 << 32)
     # resamples are spread first: the station list is short, its draws are many
-    reps = stations.sparkSession.range(n).select(F.col("id").alias("_rep"))
+    reps = data.sparkSession.range(n).select(F.col("id").alias("_rep"))
     draws = (attach_row(reps, data.agg(F.count("*").alias("n"))).filter("n > 0")
              .withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
              .select("_rep", F.floor(u * F.col("n")).alias("idx")))
-    reps = draws.join(data.select("idx", "_v"), "idx").groupBy("_rep").agg(F.avg("_v").alias("mean"))
-    ci = quantiles_wide(reps, "mean", {"ci_low": low, "ci_high": high})
-    return _side_by_side(data.agg(F.avg("_v").alias("mean"), F.count("_v").alias("n_stations")), ci)
+    # draws are some thousands a station, which size estimates do not see: the stations (two numbers each) go to them
+    return draws.join(F.broadcast(data.select("idx", "_v")), "idx").select("_rep", "_v")
 
 
 def _signed_rank_tail(n: str, w: str) -> str:
