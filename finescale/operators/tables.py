@@ -140,10 +140,13 @@ def collapse_cells(obs: DataFrame, value: str = "temperatura_c_qc", station: str
 
 
 def attach_stack(obs: DataFrame, stack: DataFrame, ts: str = "ts", watch: Observation | None = None) -> DataFrame:
-    """Observations with the features of their hour; others are dropped. ``watch`` counts both (``n_found, n_lost``) in the same job."""
+    """Observations with the features of their hour; others are dropped. ``watch`` counts both (``n_found, n_lost``) in the same job.
+
+    By merge: a stack made from cells and hours is larger than its estimate, which would have it broadcast.
+    """
     if watch is None:
-        return obs.join(stack, ["iy", "ix", ts])
-    rows = obs.join(stack.withColumn("_found", F.lit(True)), ["iy", "ix", ts], "left")
+        return obs.join(stack.hint("merge"), ["iy", "ix", ts])
+    rows = obs.join(stack.withColumn("_found", F.lit(True)).hint("merge"), ["iy", "ix", ts], "left")
     return rows.observe(watch, F.count("_found").alias("n_found"), F.count_if(F.col("_found").isNull()).alias("n_lost")).filter("_found").drop("_found")
 
 

@@ -15,6 +15,7 @@ from finescale.operators import grid as G
 from finescale.operators import lines as L
 from finescale.operators import neighbours as N
 from finescale.operators import skill as S
+from finescale.operators import tables as T
 from finescale.operators.quantiles import exact_quantiles
 
 
@@ -112,3 +113,11 @@ def test_gauss_from_places_equals_gauss_from_pairs(spark, rule):
     got = got.orderBy("iy", "ix", "ts").collect()
     assert [(r["iy"], r["ix"], r["ts"]) for r in got] == [(r["iy"], r["ix"], r["ts"]) for r in want] and any(r["T_final_oi"] for r in got)
     assert [r["T_final_oi"] for r in got] == pytest.approx([r["T_final_oi"] for r in want], abs=1e-9)
+
+
+def test_a_stack_of_cells_and_hours_is_not_broadcast(spark):
+    cells = spark.sql("SELECT CAST(id AS INT) AS iy, 0 AS ix FROM range(20)")
+    hours = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS ts FROM range(48)")
+    stack = G.expand_hours(cells, hours)
+    text = plan(T.attach_stack(stack.withColumn("v", F.lit(1.0)), stack))
+    assert "SortMergeJoin [iy" in text and "BroadcastHashJoin [iy" not in text
