@@ -46,8 +46,7 @@ def _anchor(spark, d, lz_by_hour=None, **rule):
     if rule.get("method") == "gauss":
         rule = {k: v for k, v in rule.items() if k != "method"}
         return rounded(A.anchor_gauss(_field(spark, d), cells(spark, d), net(spark, d), _inc(spark, d), lz_by_hour, **rule))
-    neigh = A.neighbours(cells(spark, d), net(spark, d), **rule)
-    return rounded(A.anchor(_field(spark, d), neigh, _inc(spark, d), lz_by_hour))
+    return rounded(A.anchor_idw(_field(spark, d), cells(spark, d), net(spark, d), _inc(spark, d), lz_by_hour, **rule))
 
 
 @check("idw_anchor", _anchored_sql("1 / greatest(d, 1e-6)", "rk <= 20"))

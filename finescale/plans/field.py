@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from finescale.functions.physics import cell_id, residual
 from finescale.functions.time import in_window
 from finescale.models.residual import score_grid
-from finescale.operators.anchoring import anchor, anchor_gauss, increments, neighbours, output_triple, require_obs
+from finescale.operators.anchoring import anchor_gauss, anchor_idw, increments, output_triple, require_obs
 from finescale.operators.tables import collapse_cells, exclude_stations, match_obs, to_cells
 from finescale.plans.features import DYNAMIC, build_features, dynamic_features
 from finescale.sources.inventory import axis_problems
@@ -44,7 +44,7 @@ def anchored_field(scored: DataFrame, cells: DataFrame, inc: DataFrame | None, s
     require_obs(inc)
     if rule.get("method") == "gauss":
         return anchor_gauss(scored, cells, stations, inc, lz_by_hour, **{k: v for k, v in rule.items() if k in ("length_km", "lz_m", "radius_km")})
-    return anchor(scored, neighbours(cells, stations, **rule), inc, lz_by_hour)
+    return anchor_idw(scored, cells, stations, inc, lz_by_hour, **{k: v for k, v in rule.items() if k in ("k", "power", "lz_m", "radius_km")})
 
 
 def increments_out_of_training(scored: DataFrame, obs: DataFrame, station_cell: DataFrame, start: datetime,
