@@ -18,12 +18,18 @@ from finescale.operators.one_row import attach_row
 from finescale.plans import training as TR
 from finescale.plans.field import anchored_field, score_field
 from finescale.plans.matrix import MatrixCounts
+from finescale.session import kept
 
 ROUNDS, FOLDS = 5, 3
 PARAMS = RM.BoostParams(rounds=ROUNDS, rate=0.3, depth=4, min_rows=20, features="all", rows=0.8, bins=64)
 FEATURES = ["t2m_1km", "dt2m_1h", "d2t2m_1h", "hora_sin", "hora_cos", "z_alvo", "tri_mean_1km"]
 
 
+def _rows(spark, d):
+    """Rows for models, written once: a fit, its folds and its report read them many times, and nothing else of the matrix."""
+    return kept(matrix(spark, d).select("iy", "ix", "ts", "cell_id", "y_residuo", *FEATURES), "matrix")
+
+
 @check("fold_assignment", """
   WITH c AS (SELECT o_custkey AS cell_id, count(*) AS n FROM orders GROUP BY 1),
   b AS (SELECT *, length(bin(n)) AS bits, n >> greatest(length(bin(n)) - 4, 0) AS top, substr(md5(CAST(cell_id AS VARCHAR)), 1, 1) AS h FROM c),
@@ -53,13 +59,13 @@ def missing_policy(spark, d):
 
 @check("gbt_out_of_fold")
 def gbt_out_of_fold(spark, d):
-    oof, _ = RM.oof_predict(matrix(spark, d), FEATURES, FOLDS, PARAMS)
+    oof, _ = RM.oof_predict(_rows(spark, d), FEATURES, FOLDS, PARAMS)
     return oof.select("cell_id", "ts", "y_residuo", "pred_residuo", "fold")
 
 
 @check("gbt_fold_diagnostics")
 def gbt_fold_diagnostics(spark, d):
-    m = matrix(spark, d)
+    m = _rows(spark, d)
     oof, models = RM.oof_predict(m, FEATURES, FOLDS, PARAMS)
     return RM.fold_diagnostics(oof).join(RM.fit_diagnostics(m, FEATURES, models, FOLDS), "fold")
 
@@ -67,14 +73,14 @@ def gbt_fold_diagnostics(spark, d):
 @check("gbt_importance")
 def gbt_importance(spark, d):
     from finescale.operators.skill import top_features
-    model = RM.fit_residual(matrix(spark, d), FEATURES, PARAMS, early_stop=False)
+    model = RM.fit_residual(_rows(spark, d), FEATURES, PARAMS, early_stop=False)
     return top_features(RM.importance([model], FEATURES, spark), 12)
 
 
 def _grid(spark, d):
     """Scored and anchored field of every grid cell at every hour that the coarse table holds."""
     from checks.fields import _fine, _statics
-    m = matrix(spark, d)
+    m = _rows(spark, d)
     model = RM.fit_residual(m, FEATURES, PARAMS, early_stop=False)
     stack = _fine(spark, d).select("iy", "ix", "ts", F.col("t2m").alias("t2m_1km"))
     field = score_field(stack, _statics(spark, d), FEATURES, model, cells(spark, d))
@@ -103,7 +109,7 @@ def grid_score_structure(spark, d):
 @check("oof_structure", f"""WITH {MATRIX_SQL}
   SELECT count(*) AS n, count(DISTINCT cell_id) AS cells, {FOLDS} AS folds, 0 AS cells_in_two_folds, 0 AS no_prediction, TRUE AS unlike_target FROM mat""")
 def oof_structure(spark, d):
-    oof, _ = RM.oof_predict(matrix(spark, d), FEATURES, FOLDS, PARAMS)
+    oof, _ = RM.oof_predict(_rows(spark, d), FEATURES, FOLDS, PARAMS)
     per = oof.groupBy("cell_id").agg(F.count("*").alias("n"), F.min("fold").alias("a"), F.max("fold").alias("z"), F.count_if(F.col("pred_residuo").isNull()).alias("none"),
                                      F.sum(F.pow(F.col("pred_residuo") - F.col("y_residuo"), 2)).alias("e"))
     return per.agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.count_distinct("a").cast("int").alias("folds"), F.count_if(F.col("a") != F.col("z")).alias("cells_in_two_folds"),
@@ -112,7 +118,7 @@ def oof_structure(spark, d):
 
 @check("fold_fit_structure", f"""WITH {MATRIX_SQL} SELECT unnest(range({FOLDS})) AS fold, {ROUNDS} AS best_iter, count(*) AS n_all, TRUE AS finite FROM mat""")
 def fold_fit_structure(spark, d):
-    m = matrix(spark, d)
+    m = _rows(spark, d)
     oof, models = RM.oof_predict(m, FEATURES, FOLDS, PARAMS, early_stop=False)
     both = RM.fold_diagnostics(oof).join(RM.fit_diagnostics(m, FEATURES, models, FOLDS), "fold")
     total = both.agg(F.sum("n").alias("n_all"))
@@ -123,7 +129,7 @@ def fold_fit_structure(spark, d):
 @check("importance_structure", f"""SELECT feature, TRUE AS in_range, TRUE AS sums_to_one FROM (VALUES {', '.join(f"('{f}')" for f in FEATURES)}) AS t(feature)""")
 def importance_structure(spark, d):
     """Mean over the fold models."""
-    _, models = RM.oof_predict(matrix(spark, d), FEATURES, FOLDS, PARAMS)
+    _, models = RM.oof_predict(_rows(spark, d), FEATURES, FOLDS, PARAMS)
     gain = RM.importance(models, FEATURES, spark)
     return attach_row(gain, gain.agg(F.sum("gain").alias("_all"))).select(
         "feature", F.col("gain").between(0, 1).alias("in_range"), (F.abs(F.col("_all") - 1) < 1e-6).alias("sums_to_one"))
@@ -132,14 +138,14 @@ def importance_structure(spark, d):
 @check("split_counts_structure", f"SELECT {FOLDS} AS models, TRUE AS adds_up, TRUE AS some_split")
 def split_counts_structure(spark, d):
     """Splits per feature add up to the inner nodes of all trees of every fold's model."""
-    _, models = RM.oof_predict(matrix(spark, d), FEATURES, FOLDS, PARAMS)
+    _, models = RM.oof_predict(_rows(spark, d), FEATURES, FOLDS, PARAMS)
     inner = sum((t.numNodes - 1) // 2 for m in models for t in m.stages[-1].trees)
     total = RM.importance(models, FEATURES, spark).agg((F.sum("split") * len(models)).alias("s"))
     return total.select(F.lit(len(models)).alias("models"), (F.abs(F.col("s") - inner) < 1e-6).alias("adds_up"), (F.col("s") > 0).alias("some_split"))
 
 
 def _cv(spark, d):
-    return TR.cv_centre(matrix(spark, d), FEATURES, scratch(spark, "cv"), FOLDS, PARAMS)
+    return TR.cv_centre(_rows(spark, d), FEATURES, scratch(spark, "cv"), FOLDS, PARAMS)
 
 
 @check("cv_centre_table", f"""WITH {MATRIX_SQL} SELECT cell_id, ts, {r6('y_residuo')} AS y_residuo, TRUE AS predicted FROM mat""")
@@ -181,7 +187,7 @@ def matrix_counts_on_write(spark, d):
          TRUE AS calibrated, TRUE AS centre_fits FROM mat""")
 def branch_report(spark, d):
     """Shares below the quantiles lie within 0.05 of their levels on the rows of the fit; the centre beats the baseline there."""
-    m = matrix(spark, d)
+    m = _rows(spark, d)
     band, centre = TR.fit_branches(m, FEATURES, FEATURES, params=PARAMS, trees=8, depth=5, min_rows=20)
     r = attach_row(TR.branch_report(m, band, centre, FEATURES), m.agg(F.sqrt(F.avg(F.col("y_residuo") * F.col("y_residuo"))).alias("_base")))
     near = lambda c, a: F.abs(F.col(c) - a) < 0.05
@@ -193,7 +199,7 @@ def branch_report(spark, d):
 @check("forest_held_out")
 def forest_held_out(spark, d):
     """Shares of the target below each quantile on a fifth of the cells, which the fit has not seen: figures, no verdict."""
-    m = FO.carve_holdout(matrix(spark, d), 0.2, 42)
+    m = FO.carve_holdout(_rows(spark, d), 0.2, 42)
     model = B.fit_band(m.filter("NOT holdout"), FEATURES, trees=8, depth=5, min_rows=20)
     return B.predict_band(m.filter("holdout"), model).agg(
         F.count("*").alias("n"), F.count_distinct("cell_id").alias("cells"),
@@ -204,7 +210,7 @@ def forest_held_out(spark, d):
   SELECT count(*) AS n, 0 AS missing, 0 AS out_of_order, TRUE AS low_covers, TRUE AS mid_covers, TRUE AS high_covers FROM mat""")
 def band_structure(spark, d):
     """Shares of the target below each quantile lie within 0.1 of its level, on the rows of the fit."""
-    m = matrix(spark, d)
+    m = _rows(spark, d)
     b = B.predict_band(m, B.fit_band(m, FEATURES, trees=8, depth=5, min_rows=20))
     lo, mid, hi = (F.col(c) for c in B.NAMES)
     covers = lambda q, level: (F.abs(F.avg((F.col("y_residuo") <= q).cast("double")) - level) < 0.1)
@@ -214,14 +220,14 @@ def band_structure(spark, d):
 
 @check("forest_band")
 def forest_band(spark, d):
-    m = matrix(spark, d)
+    m = _rows(spark, d)
     band = B.fit_band(m, FEATURES, trees=8, depth=5, min_rows=20)
     return B.predict_band(m, band).select("cell_id", "ts", "y_residuo", *B.NAMES)
 
 
 @check("branch_fields")
 def branch_fields(spark, d):
-    m = matrix(spark, d)
+    m = _rows(spark, d)
     band = B.fit_band(m, FEATURES, trees=8, depth=5, min_rows=20)
     centre = RM.fit_residual(m, FEATURES, PARAMS, early_stop=False)
     return B.score_branches(m, band, centre, FEATURES)
