@@ -83,8 +83,9 @@ class WordIds:
         if len(self.known) + len(missing) > self.LIMIT:
             self.older, self.known = self.known, {}
             missing = set(words)
-        again = missing.intersection(self.older)
-        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        older = self.older
+        again = {w for w in missing if w in older}          # set.intersection would walk the whole older generation
+        self.known.update(zip(again, map(older.__getitem__, again)))
         self._learn(missing - again)
         return list(map(self.known.__getitem__, words))
 
@@ -213,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         words = _TOKENIZERS[tokenizer]
         packer = Packer(capacity, TaskContext.get().partitionId(), with_ids)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 for doc, ids in zip(part.column("doc_id").to_pylist(), words.encode(plain(part.column("text")))):
                     ids += end
                     start, total = 0, len(ids) // 4
