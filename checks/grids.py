@@ -86,11 +86,11 @@ def read_cells(spark, d):
 
 
 @check("scatter", f"""WITH {OBS_CELL_SQL}, {CELL_SQL},
-  h AS (SELECT DISTINCT CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts FROM obs_cell)
+  h AS (SELECT DISTINCT CAST(ts AS TIMESTAMP) AS ts FROM obs_cell)
   SELECT c.iy, c.ix, h.ts, {r6('o.temperatura_c_qc')} AS temperatura_c_qc
   FROM cells c CROSS JOIN h LEFT JOIN obs_cell o ON o.iy = c.iy AND o.ix = c.ix AND o.ts = h.ts""")
 def scatter(spark, d):
-    hours = obs_cell(spark, d).select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).distinct()
+    hours = obs_cell(spark, d).select("ts").distinct()
     values = obs_cell(spark, d).drop("n_est_cel")
     return rounded(G.scatter(cells(spark, d).select("iy", "ix"), values, hours))
 
